@@ -19,7 +19,7 @@ from checks.frames import (
 )
 from patronlens import schema
 from patronlens.functions import clip, cut, qcut_code, qcut_label, quantile_edges, safe_divide
-from patronlens.operators import clean, evaluate, features, labels, reports, serving, split
+from patronlens.operators import clean, evaluate, features, labels, moments, reports, serving, split
 from patronlens.operators import profile as prof
 from patronlens.operators.models import ChurnModel, ClvModel, SegmentModel
 from patronlens.plans.dashboard import scored_customers
@@ -240,7 +240,7 @@ def account_violations(spark: SparkSession, folder: str) -> DataFrame:
 
 def quarantine_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Rows per set of broken rules, the valid ones under the empty set."""
-    marked = clean.mark_violations(dirty_profile(spark, folder))
+    marked = clean.mark_violations(stage(dirty_profile(spark, folder), "records"))
     reasons = F.array_join("violations", ",").alias("violations")
     bad = clean.quarantined_records(marked).select(reasons)
     good = clean.valid_records(marked).select(F.lit("").alias("violations"))
@@ -414,6 +414,11 @@ def segment_model_profiles(spark: SparkSession, folder: str) -> DataFrame:
     return SegmentModel(**SMALL_SEGMENTS).fit(table).profiles(table)
 
 
+def segment_model_characteristics(spark: SparkSession, folder: str) -> DataFrame:
+    table = staged_features(spark, folder)
+    return SegmentModel(**SMALL_SEGMENTS).fit(table).characteristics(table)
+
+
 def segment_model_quality(spark: SparkSession, folder: str) -> DataFrame:
     table = staged_features(spark, folder)
     metrics = SegmentModel(**SMALL_SEGMENTS).fit(table).evaluate(table)
@@ -516,7 +521,7 @@ def top_risk_factors(spark: SparkSession, folder: str) -> DataFrame:
 
 def batch_scores(spark: SparkSession, folder: str) -> DataFrame:
     run = small_training(spark, folder)
-    records = dirty_profile(spark, folder).select(*schema.SCORING.names)
+    records = stage(dirty_profile(spark, folder).select(*schema.SCORING.names), "records")
     return score_batch(records, run.models, new_path(spark, "batch"))
 
 
@@ -625,7 +630,7 @@ def monthly_kpi_delta(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def feature_correlations(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(reports.correlation_matrix(feature_table(spark, folder), schema.FEATURES_REF))
+    return rounded(moments.correlation_matrix(staged_features(spark, folder), schema.FEATURES_REF))
 
 
 def segment_radar(spark: SparkSession, folder: str) -> DataFrame:
@@ -707,6 +712,7 @@ REGISTERED: list[Callable[[SparkSession, str], DataFrame]] = [
     churn_probabilities,
     segment_model,
     segment_model_profiles,
+    segment_model_characteristics,
     segment_model_quality,
     feature_importance,
     top_feature_importance,

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import Bucketizer, VectorAssembler
+from pyspark.ml.feature import Bucketizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from patronlens import schema
 from patronlens.functions import safe_divide
 from patronlens.functions.windows import over_few_rows
 from patronlens.operators.labels import percentile_threshold
+from patronlens.operators.moments import cluster_moments, gap_between, points_of
 
 MAX_CLUSTERS = 10_000
 
@@ -167,74 +170,68 @@ def business_impact(
 # --- clusters -----------------------------------------------------------------------------------
 
 
-def _cluster_moments(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
-    """Size, centre and sum of squares around it, one row per cluster."""
-    return df.groupBy(F.col(label).alias("label")).agg(
-        F.count("*").alias("n"),
-        F.array(*[F.avg(f) for f in features]).alias("center"),
-        (F.count("*") * sum([F.var_pop(f) for f in features], F.lit(0.0))).alias("within"),
+def calinski_harabasz(df: DataFrame, features: Sequence[str] | str, label: str = "segment_id") -> DataFrame:
+    """Between- to within-cluster variance; one pass over the rows, the rest on one row per cluster."""
+    clusters = cluster_moments(df, features, label)
+    whole = clusters.agg(
+        F.sum("n").alias("rows"),
+        F.count("*").alias("k"),
+        F.sum(F.col("n") * F.aggregate("variances", F.lit(0.0), lambda a, x: a + x)).alias("within"),
+        F.collect_list(F.struct("n", "center")).alias("clusters"),
+    )
+    # The mean of all rows from the centres, then the weighted squares around it.
+    weighted = F.transform(
+        "clusters", lambda c: F.transform(c["center"], lambda x: x * c["n"] / F.col("rows"))
+    )
+    zero = F.transform(F.col("clusters")[0]["center"], lambda x: F.lit(0.0))
+    mean = F.aggregate(weighted, zero, lambda a, c: F.zip_with(a, c, lambda x, y: x + y))
+    spread = F.transform(
+        "clusters", lambda c: c["n"] * F.pow(gap_between(c["center"], F.col("mean")), F.lit(2.0))
+    )
+    between = F.aggregate(spread, F.lit(0.0), lambda a, x: a + x)
+    return whole.withColumn("mean", mean).select(
+        F.try_divide(
+            F.try_divide(between, F.col("k") - 1), F.try_divide(F.col("within"), F.col("rows") - F.col("k"))
+        ).alias("calinski_harabasz_score")
     )
 
 
-def calinski_harabasz(df: DataFrame, features: Sequence[str], label: str = "segment_id") -> DataFrame:
-    """Between- to within-cluster variance; one pass over the rows, the rest on one row per cluster."""
-    clusters = _cluster_moments(df, features, label)
-    d = len(features)
-    n, k = F.sum("n"), F.count("*")
-    # Sum over clusters of n * |center - mean|^2, as n * center^2 minus the part of the overall mean.
-    between = sum(
-        [
-            F.sum(F.col("n") * (F.col("center")[i] - F.col(f"mean_{i}")) * (F.col("center")[i] - F.col(f"mean_{i}")))
-            for i in range(d)
-        ],
-        F.lit(0.0),
-    )
-    whole = over_few_rows()
-    total = F.sum("n").over(whole)
-    means = {f"mean_{i}": F.sum(F.col("n") * F.col("center")[i]).over(whole) / total for i in range(d)}
-    return clusters.withColumns(means).agg(
-        F.try_divide(F.try_divide(between, k - 1), F.try_divide(F.sum("within"), n - k)).alias("calinski_harabasz_score")
-    )
-
-
-def davies_bouldin(df: DataFrame, features: Sequence[str], label: str = "segment_id") -> DataFrame:
+def davies_bouldin(df: DataFrame, features: Sequence[str] | str, label: str = "segment_id") -> DataFrame:
     """Mean over clusters of the worst (spread + spread) / distance to another cluster.
 
-    The centres are few and checked to be; they become literals, so the second pass over the rows
-    is a plain aggregate.
+    The centres are few, which is checked, so they are broadcast to the second pass over the rows and
+    the comparison of clusters with each other happens on the driver.
     """
-    rows = _cluster_moments(df, features, label).select("label", "center").limit(MAX_CLUSTERS + 1).collect()
+    moments = cluster_moments(df, features, label).select("label", "center")
+    rows = moments.limit(MAX_CLUSTERS + 1).collect()
     if len(rows) > MAX_CLUSTERS:
         raise ValueError(f"more than {MAX_CLUSTERS} clusters")
     spark = df.sparkSession
-    centers = spark.createDataFrame([(r["label"], r["center"]) for r in rows], f"label {df.schema[label].dataType.simpleString()}, center array<double>")
-    squares = [F.pow(F.col(f) - F.col("center")[i], F.lit(2.0)) for i, f in enumerate(features)]
+    centers = spark.createDataFrame(rows, moments.schema)
     spread = (
-        df.select(F.col(label).alias("label"), *features)
+        points_of(df, features)
+        .select(F.col(label).alias("label"), vector_to_array("point").alias("point"))
         .join(F.broadcast(centers), "label")
         .groupBy("label")
-        .agg(F.avg(F.sqrt(sum(squares[1:], squares[0]))).alias("spread"))
+        .agg(F.avg(gap_between(F.col("point"), F.col("center"))).alias("spread"))
     )
-    spreads = {r["label"]: r["spread"] for r in spread.collect()}
-    points = [(spreads[r["label"]], r["center"]) for r in rows]
+    spreads = {row["label"]: row["spread"] for row in spread.collect()}
+    points = np.array([row["center"] for row in rows])
+    radii = np.array([spreads[row["label"]] for row in rows])
     worst = []
-    for i, (s, a) in enumerate(points):
-        ratios = []
-        for j, (t, b) in enumerate(points):
-            gap = sum((x - y) ** 2 for x, y in zip(a, b)) ** 0.5
-            if i != j and gap > 0:
-                ratios.append((s + t) / gap)
-        worst.append(max(ratios, default=0.0))
-    score = sum(worst) / len(worst) if worst else None
+    for i in range(len(rows)):
+        apart = np.sqrt(((points - points[i]) ** 2).sum(axis=1))
+        others = apart > 0
+        worst.append(((radii[others] + radii[i]) / apart[others]).max(initial=0.0))
+    score = float(np.mean(worst)) if worst else None
     return spark.createDataFrame([(score,)], "davies_bouldin_score double")
 
 
-def silhouette_squared(df: DataFrame, features: Sequence[str], label: str = "segment_id") -> float:
+def silhouette_squared(df: DataFrame, features: Sequence[str] | str, label: str = "segment_id") -> float:
     """Mean silhouette with squared Euclidean distance: linear in the rows, where the plain form needs all pairs."""
-    points = VectorAssembler(inputCols=list(features), outputCol="point").transform(df)
     return ClusteringEvaluator(
         featuresCol="point", predictionCol=label, metricName="silhouette", distanceMeasure="squaredEuclidean"
-    ).evaluate(points)
+    ).evaluate(points_of(df, features))
 
 
 def cluster_count(df: DataFrame, label: str = "segment_id") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from patronlens import schema
 from patronlens.functions import cut, exact_quantiles, qcut_label, quantile_edges
 from patronlens.functions.windows import over_few_rows
+from patronlens.operators.moments import cluster_moments
 
 
 def _col(column: Column | str) -> Column:
@@ -159,12 +160,15 @@ def segment_profiles(df: DataFrame, segments: int = len(schema.SEGMENT_NAMES)) -
     return filled.withColumn("percentage", F.coalesce(F.try_divide(F.col("size") * 100.0, total), F.lit(0.0)))
 
 
-def segment_characteristics(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Size, share, mean and population deviation of each feature, one row per segment."""
-    stats = []
-    for name in features:
-        stats += [F.avg(name).alias(f"{name}_mean"), F.stddev_pop(name).alias(f"{name}_std")]
-    grouped = df.groupBy("segment_id").agg(F.count("*").alias("size"), *stats)
-    share = F.col("size") * 100.0 / F.sum("size").over(over_few_rows())
-    return grouped.withColumn("percentage", share)
+def segment_characteristics(df: DataFrame, features: Sequence[str], vector: str | None = None) -> DataFrame:
+    """Size, share, mean and population deviation of each feature, one row per segment.
 
+    With ``vector`` the features are the parts of that column.
+    """
+    moments = cluster_moments(df, vector or features)
+    share = F.col("n") * 100.0 / F.sum("n").over(over_few_rows())
+    stats = []
+    for i, name in enumerate(features):
+        stats.append(F.col("center")[i].alias(f"{name}_mean"))
+        stats.append(F.sqrt(F.col("variances")[i]).alias(f"{name}_std"))
+    return moments.select(F.col("label").alias("segment_id"), F.col("n").alias("size"), *stats, share.alias("percentage"))

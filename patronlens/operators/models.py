@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from patronlens import schema
 from patronlens.functions import clip
 from patronlens.operators import evaluate, labels
+from patronlens.operators.moments import gap_between
 from patronlens.operators.split import mark_folds
 from patronlens.staging import ensure_checkpoint_dir, stage
 
@@ -235,38 +236,38 @@ class SegmentModel(CustomerModel):
         finally:
             points.unpersist()
 
-    def centers(self) -> list[list[float]]:
-        """Centres in the scaled space by segment id."""
+    def _clusters_by_spend(self) -> list[int]:
+        """Cluster numbers of k-means in the order of segment ids."""
         self._require_trained()
-        points = [[float(x) for x in center] for center in self.pipeline.stages[-1].clusterCenters()]
+        points = [center.tolist() for center in self.pipeline.stages[-1].clusterCenters()]
         place = self.features.index(self.order_feature) if self.order_feature in self.features else 0
-        return sorted(points, key=lambda point: (-point[place], point))
+        return sorted(range(len(points)), key=lambda i: (-points[i][place], points[i]))
 
-    def scaled(self, df: DataFrame) -> DataFrame:
-        """``df`` with the scaled features as array column ``scaled``."""
-        self._require_trained()
-        vectors = PipelineModel(self.pipeline.stages[:-1]).transform(df)
-        return vectors.select(*df.columns, vector_to_array("scaled").alias("scaled"))
+    def centers(self) -> list[list[float]]:
+        """Centres in the scaled space by segment id."""
+        points = self.pipeline.stages[-1].clusterCenters()
+        return [points[i].tolist() for i in self._clusters_by_spend()]
 
     def _add_predictions(self, df: DataFrame) -> DataFrame:
-        columns = [F.col("scaled")[i] for i in range(len(self.features))]
-        assigned = labels.assign_segment(self.scaled(df), columns, self.centers())
-        return assigned.withColumn("segment_name", labels.segment_name())
+        order = self._clusters_by_spend()
+        ids = F.array(*[F.lit(order.index(cluster)) for cluster in range(len(order))])
+        centers = F.array(*[F.array(*[F.lit(x) for x in center]) for center in self.centers()])
+        assigned = self.pipeline.transform(df).withColumn("segment_id", F.get(ids, F.col("prediction")))
+        gap = gap_between(vector_to_array("scaled"), F.get(centers, F.col("segment_id")))
+        return assigned.withColumns({"segment_name": labels.segment_name(), "distance_to_center": gap})
 
-    def assigned_features(self, df: DataFrame) -> DataFrame:
-        """Segment id and the scaled features as columns, for quality metrics and profiles."""
-        columns = [F.col("scaled")[i] for i in range(len(self.features))]
-        assigned = labels.assign_segment(self.scaled(df), columns, self.centers())
-        return assigned.select("segment_id", *[c.alias(f) for c, f in zip(columns, self.features)])
+    def assigned_points(self, df: DataFrame) -> DataFrame:
+        """Segment id and the scaled vector, for quality metrics and profiles."""
+        return self._add_predictions(df).select("segment_id", "scaled")
 
     def evaluate(self, test: DataFrame) -> dict[str, float]:
         """Silhouette (squared distance), Calinski-Harabasz, Davies-Bouldin, number of segments."""
-        assigned = stage(self.assigned_features(test), "segment-evaluation")
+        assigned = stage(self.assigned_points(test), "segment-evaluation")
         clusters = evaluate.cluster_count(assigned).first()[0]
         self.metrics = {
-            "silhouette_sq": evaluate.silhouette_squared(assigned, self.features) if clusters > 1 else None,
-            "calinski_harabasz_score": evaluate.calinski_harabasz(assigned, self.features).first()[0],
-            "davies_bouldin_score": evaluate.davies_bouldin(assigned, self.features).first()[0],
+            "silhouette_sq": evaluate.silhouette_squared(assigned, "scaled") if clusters > 1 else None,
+            "calinski_harabasz_score": evaluate.calinski_harabasz(assigned, "scaled").first()[0],
+            "davies_bouldin_score": evaluate.davies_bouldin(assigned, "scaled").first()[0],
             "n_clusters": float(clusters),
         }
         return self.metrics
@@ -275,9 +276,9 @@ class SegmentModel(CustomerModel):
         """Size, share and centre of every segment."""
         spark = df.sparkSession
         centers = spark.createDataFrame(list(enumerate(self.centers())), "segment_id int, center array<double>")
-        sizes = labels.segment_profiles(self.transform(df).select("segment_id"), len(self.centers()))
+        sizes = labels.segment_profiles(self.assigned_points(df), len(self.centers()))
         return sizes.join(centers, "segment_id")
 
     def characteristics(self, df: DataFrame) -> DataFrame:
         """Mean and deviation of the scaled features per segment."""
-        return labels.segment_characteristics(self.assigned_features(df), self.features)
+        return labels.segment_characteristics(self.assigned_points(df), self.features, "scaled")

@@ -90,10 +90,11 @@ def add_purchases(df: DataFrame) -> DataFrame:
 
 def add_dates(df: DataFrame, as_of: Column) -> DataFrame:
     """Tenure and recency in days; without orders they stand at the unfavourable bound."""
-    return df.withColumns(
+    days = {"days_first": F.datediff(as_of, "first_order"), "days_last": F.datediff(as_of, "last_order")}
+    return df.withColumns(days).withColumns(
         {
-            "tenure_days": F.coalesce(clip(F.datediff(as_of, "first_order"), 1, MAX_TENURE), F.lit(1)),
-            "recency": F.coalesce(clip(F.datediff(as_of, "last_order"), 0, MAX_RECENCY), F.lit(MAX_RECENCY)),
+            "tenure_days": F.coalesce(clip("days_first", 1, MAX_TENURE), F.lit(1)),
+            "recency": F.coalesce(clip("days_last", 0, MAX_RECENCY), F.lit(MAX_RECENCY)),
         }
     )
 

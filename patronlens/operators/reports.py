@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -102,19 +101,6 @@ def series_with_change(series: DataFrame) -> DataFrame:
     return series.withColumn("delta", F.col("value") - previous)
 
 
-def correlation_matrix(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every pair of features in one aggregate, in long form."""
-    pairs = list(combinations(features, 2))
-    wide = df.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    cells = []
-    for i, (a, b) in enumerate(pairs):
-        cells.append(F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"c{i}").alias("correlation")))
-        cells.append(F.struct(F.lit(b).alias("feature_a"), F.lit(a).alias("feature_b"), F.col(f"c{i}").alias("correlation")))
-    for a in features:
-        cells.append(F.struct(F.lit(a).alias("feature_a"), F.lit(a).alias("feature_b"), F.lit(1.0).alias("correlation")))
-    return wide.select(F.inline(F.array(*cells)))
-
-
 def segment_radar(characteristics: DataFrame, features: Sequence[str]) -> DataFrame:
     """Mean of each feature per segment in long form."""
     means = characteristics.select("segment_id", *[F.col(f"{f}_mean").alias(f) for f in features])
