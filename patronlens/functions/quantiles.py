@@ -39,36 +39,50 @@ class _Span:
         return F.when(keep, column)
 
 
+def _neighbours(spans: list[_Span]) -> list[list[_Span]]:
+    """Spans over the same rows whose ranks follow each other, such as the two ranks around a quantile."""
+    groups: list[list[_Span]] = []
+    for span in sorted(spans, key=lambda s: (s.name, str(s.low), str(s.high), s.rank)):
+        last = groups[-1][-1] if groups else None
+        if last and (last.name, last.low, last.high) == (span.name, span.low, span.high) and span.rank - last.rank <= 1:
+            groups[-1].append(span)
+        else:
+            groups.append([span])
+    return groups
+
+
 def _narrow(df: DataFrame, columns: Mapping[str, Column], spans: list[_Span], answers: dict) -> list[_Span]:
     """One sketch pass and one counting pass; returns the smaller spans still open."""
     margin = 2 / SKETCH_ACCURACY
+    groups = _neighbours(spans)
     sketches = []
-    for i, span in enumerate(spans):
-        place = (span.rank + 0.5) / span.rows
-        ends = [max(0.0, place - margin), min(1.0, place + margin)]
-        sketches.append(F.percentile_approx(span.values(columns[span.name]), ends, SKETCH_ACCURACY).alias(f"s{i}"))
+    for i, group in enumerate(groups):
+        first, last = group[0], group[-1]
+        ends = [max(0.0, (first.rank + 0.5) / first.rows - margin), min(1.0, (last.rank + 0.5) / last.rows + margin)]
+        sketches.append(F.percentile_approx(first.values(columns[first.name]), ends, SKETCH_ACCURACY).alias(f"s{i}"))
     cuts = [tuple(pair) for pair in df.agg(*sketches).first()]
 
     counts = []
-    for i, (span, (low, high)) in enumerate(zip(spans, cuts)):
-        v = span.values(columns[span.name])
+    for i, (group, (low, high)) in enumerate(zip(groups, cuts)):
+        v = group[0].values(columns[group[0].name])
         tests = [v < low, v <= low, v < high, v <= high]
         counts += [F.count_if(test).alias(f"c{i}_{j}") for j, test in enumerate(tests)]
     row = df.agg(*counts).first()
 
     still_open = []
-    for i, (span, (low, high)) in enumerate(zip(spans, cuts)):
+    for i, (group, (low, high)) in enumerate(zip(groups, cuts)):
         lt_low, le_low, lt_high, le_high = row[4 * i : 4 * i + 4]
-        if span.rank < lt_low:
-            still_open.append(replace(span, high=low, rows=lt_low))
-        elif span.rank < le_low:
-            answers[span.name, span.asked] = low
-        elif span.rank < lt_high:
-            still_open.append(replace(span, low=low, high=high, rank=span.rank - le_low, rows=lt_high - le_low))
-        elif span.rank < le_high:
-            answers[span.name, span.asked] = high
-        else:
-            still_open.append(replace(span, low=high, rank=span.rank - le_high, rows=span.rows - le_high))
+        for span in group:
+            if span.rank < lt_low:
+                still_open.append(replace(span, high=low, rows=lt_low))
+            elif span.rank < le_low:
+                answers[span.name, span.asked] = low
+            elif span.rank < lt_high:
+                still_open.append(replace(span, low=low, high=high, rank=span.rank - le_low, rows=lt_high - le_low))
+            elif span.rank < le_high:
+                answers[span.name, span.asked] = high
+            else:
+                still_open.append(replace(span, low=high, rank=span.rank - le_high, rows=span.rows - le_high))
     return still_open
 
 

@@ -38,5 +38,11 @@ def records_table(
     spark: SparkSession, records: Iterable[Mapping], struct: T.StructType = schema.SCORING
 ) -> DataFrame:
     """A table from records already in memory, such as the body of one request."""
-    rows = [tuple(record.get(name) for name in struct.names) for record in records]
+    doubles = {f.name for f in struct if f.dataType == T.DoubleType()}
+
+    def value(record: Mapping, name: str):
+        found = record.get(name)
+        return float(found) if name in doubles and found is not None else found
+
+    rows = [tuple(value(record, name) for name in struct.names) for record in records]
     return spark.createDataFrame(rows, struct)
