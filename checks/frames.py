@@ -40,12 +40,11 @@ def number() -> Column:
 
 def dirty_profile(spark: SparkSession, folder: str) -> DataFrame:
     """The profile with defects: second copies, nulls, negative values, an unknown account type."""
-    clean = profile(spark, folder).withColumn("copy", F.lit(0))
-    copies = clean.filter(number() % 50 == 0).withColumns(
-        {"copy": F.lit(1), "avg_purchase_amount": F.col("avg_purchase_amount") + 1}
-    )
-    return clean.unionByName(copies).withColumns(
+    copies = F.when(number() % 50 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    copied = profile(spark, folder).withColumn("copy", F.explode(copies))
+    return copied.withColumns(
         {
+            "avg_purchase_amount": F.col("avg_purchase_amount") + F.col("copy"),
             "monetary": F.when(number() % 17 != 0, F.col("monetary")),
             "support_tickets": F.when(number() % 13 != 0, F.col("support_tickets")),
             "age": F.when(number() % 97 == 0, -5).otherwise(F.col("age")),

@@ -30,6 +30,10 @@ class _Span:
     low: float | None = None
     high: float | None = None
 
+    @property
+    def region(self) -> tuple[str, float | None, float | None]:
+        return self.name, self.low, self.high
+
     def values(self, column: Column) -> Column:
         keep = column.isNotNull()
         if self.low is not None:
@@ -44,7 +48,7 @@ def _neighbours(spans: list[_Span]) -> list[list[_Span]]:
     groups: list[list[_Span]] = []
     for span in sorted(spans, key=lambda s: (s.name, str(s.low), str(s.high), s.rank)):
         last = groups[-1][-1] if groups else None
-        if last and (last.name, last.low, last.high) == (span.name, span.low, span.high) and span.rank - last.rank <= 1:
+        if last and last.region == span.region and span.rank - last.rank <= 1:
             groups[-1].append(span)
         else:
             groups.append([span])
@@ -55,12 +59,18 @@ def _narrow(df: DataFrame, columns: Mapping[str, Column], spans: list[_Span], an
     """One sketch pass and one counting pass; returns the smaller spans still open."""
     margin = 2 / SKETCH_ACCURACY
     groups = _neighbours(spans)
-    sketches = []
-    for i, group in enumerate(groups):
+    # One sketch answers for all ranks among the same rows.
+    ends: dict[tuple, list[float]] = {}
+    for group in groups:
         first, last = group[0], group[-1]
-        ends = [max(0.0, (first.rank + 0.5) / first.rows - margin), min(1.0, (last.rank + 0.5) / last.rows + margin)]
-        sketches.append(F.percentile_approx(first.values(columns[first.name]), ends, SKETCH_ACCURACY).alias(f"s{i}"))
-    cuts = [tuple(pair) for pair in df.agg(*sketches).first()]
+        low, high = (first.rank + 0.5) / first.rows - margin, (last.rank + 0.5) / last.rows + margin
+        ends.setdefault(first.region, []).extend([max(0.0, low), min(1.0, high)])
+    sketches = [
+        F.percentile_approx(_Span(name, 0, 0, 0, low, high).values(columns[name]), places, SKETCH_ACCURACY).alias(f"s{i}")
+        for i, ((name, low, high), places) in enumerate(ends.items())
+    ]
+    found = dict(zip(ends, (iter(values) for values in df.agg(*sketches).first())))
+    cuts = [(next(found[group[0].region]), next(found[group[0].region])) for group in groups]
 
     counts = []
     for i, (group, (low, high)) in enumerate(zip(groups, cuts)):
@@ -109,7 +119,7 @@ def order_statistics(
     if ready:
         groups: dict[tuple, list[_Span]] = {}
         for span in ready:
-            groups.setdefault((span.name, span.low, span.high), []).append(span)
+            groups.setdefault(span.region, []).append(span)
         lists = df.agg(
             *[
                 F.sort_array(F.collect_list(group[0].values(doubles[group[0].name]))).alias(f"g{i}")

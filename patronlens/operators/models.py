@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
+from multiprocessing.pool import ThreadPool
 from typing import Any
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.ml import Estimator, PipelineModel, Transformer
 from pyspark.ml.classification import RandomForestClassifier
@@ -221,6 +222,7 @@ class SegmentModel(CustomerModel):
     defaults = schema.SEGMENT_PARAMS
     prediction_columns = ["segment_id", "segment_name", "distance_to_center"]
     order_feature = "monetary"
+    parallel_restarts = 4
 
     def build(self) -> KMeans:
         params = {k: v for k, v in self.params.items() if k != "restarts"}
@@ -230,8 +232,14 @@ class SegmentModel(CustomerModel):
         points = scaled.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             base = self.build()
+            points.count()
             seeds = range(self.params["seed"], self.params["seed"] + self.params["restarts"])
-            fitted = [base.copy({base.seed: seed}).fit(points) for seed in seeds]
+            fit_one = inheritable_thread_target(points.sparkSession)(
+                lambda seed: base.copy({base.seed: seed}).fit(points)
+            )
+            # Restarts are independent: their jobs share the cluster instead of waiting for each other.
+            with ThreadPool(min(self.parallel_restarts, len(seeds))) as pool:
+                fitted = pool.map(fit_one, seeds)
             return min(fitted, key=lambda model: model.summary.trainingCost)
         finally:
             points.unpersist()

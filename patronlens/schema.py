@@ -25,6 +25,39 @@ CUSTOMER = T.StructType(
     ]
 )
 
+# The source tables of the profile.
+SOURCE_TABLES = {
+    "customer": T.StructType(
+        [
+            T.StructField("c_custkey", T.LongType()),
+            T.StructField("c_name", T.StringType()),
+            T.StructField("c_nationkey", T.IntegerType()),
+            T.StructField("c_acctbal", T.DoubleType()),
+            T.StructField("c_mktsegment", T.StringType()),
+        ]
+    ),
+    "orders": T.StructType(
+        [
+            T.StructField("o_orderkey", T.LongType()),
+            T.StructField("o_custkey", T.LongType()),
+            T.StructField("o_orderstatus", T.StringType()),
+            T.StructField("o_totalprice", T.DoubleType()),
+            T.StructField("o_orderdate", T.TimestampNTZType()),
+            T.StructField("o_orderpriority", T.StringType()),
+        ]
+    ),
+    "events": T.StructType(
+        [
+            T.StructField("event_id", T.LongType()),
+            T.StructField("ts", T.TimestampNTZType()),
+            T.StructField("user_id", T.LongType()),
+            T.StructField("event_type", T.StringType()),
+            T.StructField("value", T.DoubleType()),
+            T.StructField("props", T.StringType()),
+        ]
+    ),
+}
+
 # What a scoring request carries, besides an optional customer_id.
 SCORING_FIELDS = [
     "age",

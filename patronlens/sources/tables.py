@@ -12,7 +12,8 @@ from patronlens import schema
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
+    """One of the source tables of the profile."""
+    return spark.read.schema(schema.SOURCE_TABLES[name]).parquet(os.path.join(folder, f"{name}.parquet"))
 
 
 def read_customers_csv(spark: SparkSession, path: str) -> DataFrame:
