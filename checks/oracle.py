@@ -413,6 +413,15 @@ ORACLE: dict[str, str] = {
         count(*) OVER (PARTITION BY churned) AS n FROM p)
       SELECT customer_id, churned, place <= (n * 20 + 50) // 100 AS is_test FROM placed""",
     "folds": f"WITH {PROFILE} SELECT customer_id, ({HASH8} % 5)::INTEGER AS fold FROM p",
+    # models: what holds for any trained model
+    "model_round_trip": f"WITH {PROFILE} SELECT count(*) AS customers, count(*) AS same_predictions FROM p",
+    "batch_scores": f"""WITH {DIRTY}, checked AS (SELECT {ALL_VIOLATIONS} AS v FROM dirty)
+      SELECT count(*) FILTER (v = '') AS total_customers, count(*) FILTER (v <> '') AS rejected_records, true AS was_timed
+      FROM checked""",
+    "stream_against_batch": f"""WITH {DIRTY}, checked AS (SELECT customer_id, {ALL_VIOLATIONS} AS v FROM dirty)
+      SELECT count(DISTINCT customer_id) FILTER (v = '') AS customers,
+      count(DISTINCT customer_id) FILTER (v = '') AS same_answers, count(*) FILTER (v <> '') AS rejected_records
+      FROM checked""",
     # labels on predictions
     "center_distances": scores("customer_id, segment_id, distance_to_center"),
     "clv_quartile_segments": f"""WITH {SCORES}, e AS (SELECT {edges("predicted_clv", 4)} AS pe FROM s)

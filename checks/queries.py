@@ -24,7 +24,7 @@ from patronlens.operators import profile as prof
 from patronlens.operators.models import ChurnModel, ClvModel, SegmentModel
 from patronlens.plans.dashboard import scored_customers
 from patronlens.plans.scoring import ModelSet, score_batch, score_records
-from patronlens.plans.training import TrainingRun, train
+from patronlens.plans.training import TrainingData, TrainingRun, fit_models, prepare, train
 from patronlens.sources import sinks
 from patronlens.sources import tables as sources
 from patronlens.staging import new_path, stage
@@ -125,17 +125,14 @@ def training_report_file(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def model_round_trip(spark: SparkSession, folder: str) -> DataFrame:
-    """Predictions of saved and reloaded models beside those of the originals."""
-    run = small_training(spark, folder)
+    """How many customers get the same predictions from the saved and reloaded models."""
+    data, models = small_models(spark, folder)
     path = new_path(spark, "models")
-    run.models.save(path)
+    models.save(path)
     again = ModelSet.load(spark, path)
-    before = run.models.transform(run.features).select(
-        "customer_id", F.struct("predicted_clv", "churn_probability", "segment_id").alias("before")
-    )
-    after = again.transform(run.features).select(
-        "customer_id", F.struct("predicted_clv", "churn_probability", "segment_id").alias("after")
-    )
+    predictions = F.struct("predicted_clv", "churn_probability", "segment_id")
+    before = models.transform(data.features).select("customer_id", predictions.alias("before"))
+    after = again.transform(data.features).select("customer_id", predictions.alias("after"))
     return before.join(after, "customer_id").agg(
         F.count("*").alias("customers"), F.count_if(F.col("before") == F.col("after")).alias("same_predictions")
     )
@@ -383,6 +380,11 @@ def small_training(spark: SparkSession, folder: str) -> TrainingRun:
     return train(profile(spark, folder), clv=SMALL_CLV, churn=SMALL_CHURN, segments=SMALL_SEGMENTS)
 
 
+def small_models(spark: SparkSession, folder: str) -> tuple[TrainingData, ModelSet]:
+    data = prepare(profile(spark, folder))
+    return data, fit_models(data, SMALL_CLV, SMALL_CHURN, SMALL_SEGMENTS)
+
+
 def clv_model(spark: SparkSession, folder: str) -> DataFrame:
     """Predictions for the held-out part by a model trained without the leaking features."""
     marked = split.mark_hash_split(staged_features(spark, folder))
@@ -510,8 +512,8 @@ def segment_actions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def comprehensive_scores(spark: SparkSession, folder: str) -> DataFrame:
-    run = small_training(spark, folder)
-    return score_records(profile(spark, folder).select(*schema.SCORING.names), run.models)
+    _, models = small_models(spark, folder)
+    return score_records(profile(spark, folder).select(*schema.SCORING.names), models)
 
 
 def top_risk_factors(spark: SparkSession, folder: str) -> DataFrame:
@@ -520,9 +522,13 @@ def top_risk_factors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def batch_scores(spark: SparkSession, folder: str) -> DataFrame:
-    run = small_training(spark, folder)
+    """Counts of a scored batch, defects included, and whether it was timed."""
+    _, models = small_models(spark, folder)
     records = stage(dirty_profile(spark, folder).select(*schema.SCORING.names), "records")
-    return score_batch(records, run.models, new_path(spark, "batch"))
+    summary = score_batch(records, models, new_path(spark, "batch"))
+    return summary.select(
+        "total_customers", "rejected_records", (F.col("processing_time_seconds") > 0).alias("was_timed")
+    )
 
 
 # --- metrics ------------------------------------------------------------------------------------
@@ -589,8 +595,8 @@ def cluster_count(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def dashboard_customers(spark: SparkSession, folder: str) -> DataFrame:
-    run = small_training(spark, folder)
-    return scored_customers(profile(spark, folder), run.stats, run.models)
+    data, models = small_models(spark, folder)
+    return scored_customers(profile(spark, folder), data.stats, models)
 
 
 def dashboard_kpis(spark: SparkSession, folder: str) -> DataFrame:
@@ -645,15 +651,37 @@ def first_customers(spark: SparkSession, folder: str) -> DataFrame:
 # --- stream -------------------------------------------------------------------------------------
 
 
-def stream_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """Answers of a stream over JSON records of all customers, defects included."""
-    run = small_training(spark, folder)
+def scored_stream(spark: SparkSession, folder: str, models: ModelSet) -> tuple[DataFrame, str]:
+    """Records of all customers, defects included, and the folder with the answers of a stream over them."""
     incoming, out, checkpoint = (new_path(spark, name) for name in ("incoming", "answers", "stream-state"))
     dirty_profile(spark, folder).select(*schema.SCORING.names).write.json(incoming)
-    score_stream(read_record_stream(spark, incoming), run.models, out, checkpoint).awaitTermination()
+    score_stream(read_record_stream(spark, incoming), models, out, checkpoint).awaitTermination()
+    return sources.read_records_json(spark, incoming), out
+
+
+def stream_scores(spark: SparkSession, folder: str) -> DataFrame:
+    _, models = small_models(spark, folder)
+    _, out = scored_stream(spark, folder, models)
     return spark.read.parquet(f"{out}/predictions").drop("batch_id")
 
 
+def stream_against_batch(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct answers of the stream, how many of them the batch gives too, and the rejected records."""
+    _, models = small_models(spark, folder)
+    records, out = scored_stream(spark, folder, models)
+    batch = new_path(spark, "batch")
+    score_batch(records, models, batch)
+    key, answer = "customer_id", F.struct("clv", "churn", "segment")
+    streamed = spark.read.parquet(f"{out}/predictions").select(key, answer.alias("streamed")).dropDuplicates()
+    batched = spark.read.parquet(f"{batch}/predictions").select(key, answer.alias("batched")).dropDuplicates()
+    rejected = spark.read.parquet(f"{out}/quarantine").agg(F.count("*")).scalar()
+    return streamed.join(batched, key, "full").filter(F.col(key).isNotNull()).agg(
+        F.count_distinct(key).alias("customers"),
+        F.count_distinct(F.when(F.col("streamed") == F.col("batched"), F.col(key))).alias("same_answers"),
+        F.any_value(rejected).alias("rejected_records"),
+    )
+
+
 REGISTERED: list[Callable[[SparkSession, str], DataFrame]] = [
     quantile_bins,
     quantile_labels,
@@ -763,4 +791,5 @@ REGISTERED: list[Callable[[SparkSession, str], DataFrame]] = [
     segment_radar,
     first_customers,
     stream_scores,
+    stream_against_batch,
 ]

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,14 +22,24 @@ from patronlens.sources.sinks import write_report
 from patronlens.staging import stage
 
 
-@dataclass
+@dataclass(frozen=True)
+class TrainingData:
+    """Fitted statistics and the staged feature tables."""
+
+    stats: FeatureStats
+    names: list[str]
+    features: DataFrame
+    clv_split: DataFrame
+    churn_split: DataFrame
+
+
+@dataclass(frozen=True)
 class TrainingRun:
     """Everything a training run yields."""
 
-    stats: FeatureStats
+    data: TrainingData
     models: ModelSet
-    features: DataFrame
-    report: dict[str, Any] = field(default_factory=dict)
+    report: dict[str, Any]
 
     def report_table(self, spark: SparkSession) -> DataFrame:
         """The report as one nested row."""
@@ -38,7 +50,7 @@ class TrainingRun:
     def save(self, spark: SparkSession, path: str) -> None:
         """Models, fitted statistics and the JSON report."""
         self.models.save(f"{path}/models")
-        self.stats.to_table(spark).coalesce(1).write.mode("overwrite").json(f"{path}/feature_stats")
+        self.data.stats.to_table(spark).coalesce(1).write.mode("overwrite").json(f"{path}/feature_stats")
         write_report(self.report_table(spark), f"{path}/training_report")
 
 
@@ -46,6 +58,44 @@ def load_stats(spark: SparkSession, path: str) -> FeatureStats:
     return FeatureStats.from_json(spark.read.schema("stats string").json(f"{path}/feature_stats").first()[0])
 
 
+def together(spark: SparkSession, *steps) -> list:
+    """Run independent steps at the same time; each submits its own jobs."""
+    with ThreadPool(len(steps)) as pool:
+        return pool.map(lambda step: step(), [inheritable_thread_target(spark)(step) for step in steps], chunksize=1)
+
+
+def prepare(customers: DataFrame, features: list[str] | None = None, clean_first: bool = True) -> TrainingData:
+    """Clean, fit the features and mark the held-out rows.
+
+    ``clean_first=False`` computes the features on the raw rows and cleans afterwards, the order in
+    which the lifetime value inside the features is not capped; segments then see uncleaned rows.
+    """
+    names = features or schema.FEATURES_REF
+    base = stage(clean_customers(customers) if clean_first else customers, "customers")
+    stats = fit_features(base)
+    table = stage(feature_table(base, stats, names), "features")
+    modelling = table if clean_first else stage(clean_customers(table), "clean-features")
+    by_label = mark_stratified_split(modelling, schema.CHURN_TARGET)
+    return TrainingData(stats, names, table, mark_hash_split(modelling), by_label)
+
+
+def fit_models(
+    data: TrainingData,
+    clv: dict[str, Any] | None = None,
+    churn: dict[str, Any] | None = None,
+    segments: dict[str, Any] | None = None,
+) -> ModelSet:
+    """Fit the three models, which do not depend on each other; the arguments override their settings."""
+    return ModelSet(
+        *together(
+            data.features.sparkSession,
+            lambda: ClvModel(**(clv or {})).fit(train_part(data.clv_split), data.names),
+            lambda: ChurnModel(**(churn or {})).fit(train_part(data.churn_split), data.names),
+            lambda: SegmentModel(**(segments or {})).fit(data.features, data.names),
+        )
+    )
+
+
 def held_out_impact(models: ModelSet, clv_test: DataFrame, churn_test: DataFrame) -> DataFrame:
     """Business metrics over the customers that neither model saw, truth and prediction joined by key."""
     clv = models.clv.transform(clv_test).select(
@@ -57,6 +107,28 @@ def held_out_impact(models: ModelSet, clv_test: DataFrame, churn_test: DataFrame
     return evaluate.business_impact(stage(clv.join(churn, "customer_id"), "impact"))
 
 
+def evaluate_models(data: TrainingData, models: ModelSet) -> dict[str, Any]:
+    """Metrics on the held-out rows, importances, segment profiles and business impact."""
+    spark = data.features.sparkSession
+    clv_test, churn_test = test_part(data.clv_split), test_part(data.churn_split)
+    clv, churn, segments, profiles, impact = together(
+        spark,
+        lambda: models.clv.evaluate(clv_test),
+        lambda: models.churn.evaluate(churn_test),
+        lambda: models.segments.evaluate(data.features),
+        lambda: models.segments.profiles(data.features).drop("center").orderBy("segment_id").collect(),
+        lambda: held_out_impact(models, clv_test, churn_test).first(),
+    )
+    importance = [{"feature": name, "importance": value} for name, value in models.clv.importances()[:10]]
+    factors = [{"churn_factor": name, "importance_score": value} for name, value in models.churn.importances()[:5]]
+    return {
+        "clv_model": {"metrics": clv, "feature_importance": importance},
+        "churn_model": {"metrics": churn, "churn_factors": factors},
+        "segmentation_model": {"metrics": segments, "segment_profiles": [row.asDict() for row in profiles]},
+        "business_impact": impact.asDict(),
+    }
+
+
 def train(
     customers: DataFrame,
     features: list[str] | None = None,
@@ -65,39 +137,7 @@ def train(
     churn: dict[str, Any] | None = None,
     segments: dict[str, Any] | None = None,
 ) -> TrainingRun:
-    """Fit all models on a customer table.
-
-    ``clean_first=False`` computes the features on the raw rows and cleans afterwards, the order in
-    which the lifetime value inside the features is not capped; segments then see uncleaned rows.
-    ``clv``, ``churn`` and ``segments`` override model settings.
-    """
-    features = features or schema.FEATURES_REF
-    base = stage(clean_customers(customers) if clean_first else customers, "customers")
-    stats = fit_features(base)
-    table = stage(feature_table(base, stats, features), "features")
-    modelling = table if clean_first else stage(clean_customers(table), "clean-features")
-
-    by_hash = mark_hash_split(modelling)
-    by_label = mark_stratified_split(modelling, schema.CHURN_TARGET)
-    models = ModelSet(
-        ClvModel(**(clv or {})).fit(train_part(by_hash), features),
-        ChurnModel(**(churn or {})).fit(train_part(by_label), features),
-        SegmentModel(**(segments or {})).fit(table, features),
-    )
-    spark = customers.sparkSession
-    report = {
-        "clv_model": {
-            "metrics": models.clv.evaluate(test_part(by_hash)),
-            "feature_importance": [{"feature": f, "importance": v} for f, v in models.clv.importances()[:10]],
-        },
-        "churn_model": {
-            "metrics": models.churn.evaluate(test_part(by_label)),
-            "churn_factors": [r.asDict() for r in models.churn.churn_factors(spark, 5).collect()],
-        },
-        "segmentation_model": {
-            "metrics": models.segments.evaluate(table),
-            "segment_profiles": [r.asDict() for r in models.segments.profiles(table).drop("center").orderBy("segment_id").collect()],
-        },
-        "business_impact": held_out_impact(models, test_part(by_hash), test_part(by_label)).first().asDict(),
-    }
-    return TrainingRun(stats, models, table, report)
+    """The whole run on a customer table."""
+    data = prepare(customers, features, clean_first)
+    models = fit_models(data, clv, churn, segments)
+    return TrainingRun(data, models, evaluate_models(data, models))

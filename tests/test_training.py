@@ -15,7 +15,7 @@ from test_clean import RECORD
 
 
 def test_lifetime_value_predictions(training):
-    test = held_out(mark_hash_split(training.features))
+    test = held_out(mark_hash_split(training.data.features))
     out = training.models.clv.transform(test)
     assert out.count() == test.count()
     assert out.filter("predicted_clv < 0").count() == 0
@@ -23,16 +23,16 @@ def test_lifetime_value_predictions(training):
 
 
 def test_churn_predictions(training):
-    out = training.models.churn.transform(training.features)
+    out = training.models.churn.transform(training.data.features)
     assert out.filter(~F.col("churn_prediction").isin(0, 1)).count() == 0
     assert out.filter(~F.col("churn_probability").between(0, 1)).count() == 0
-    proba = training.models.churn.predict_proba(training.features).first()["probabilities"]
+    proba = training.models.churn.predict_proba(training.data.features).first()["probabilities"]
     assert len(proba) == 2 and sum(proba) == pytest.approx(1)
 
 
 def test_segments(training):
     model = training.models.segments
-    out = model.transform(training.features)
+    out = model.transform(training.data.features)
     assert out.filter(~F.col("segment_id").between(0, 4)).count() == 0
     place = model.features.index("monetary")
     spend = [center[place] for center in model.centers()]
@@ -43,7 +43,7 @@ def test_segment_is_the_nearest_center(training):
     import numpy as np
 
     model = training.models.segments
-    points = model._add_predictions(training.features).select("segment_id", "scaled", "distance_to_center").collect()
+    points = model._add_predictions(training.data.features).select("segment_id", "scaled", "distance_to_center").collect()
     centers = np.array(model.centers())
     for row in points:
         gaps = np.linalg.norm(centers - row["scaled"].toArray(), axis=1)
@@ -54,7 +54,7 @@ def test_segment_is_the_nearest_center(training):
 def test_scaled_features_have_population_deviation_one(training):
     from patronlens.operators.moments import cluster_moments
 
-    points = training.models.segments.assigned_points(training.features).withColumn("all", F.lit(0))
+    points = training.models.segments.assigned_points(training.data.features).withColumn("all", F.lit(0))
     row = cluster_moments(points, "scaled", "all").first()
     assert row["center"] == pytest.approx([0.0] * 18, abs=1e-9)
     assert [v for v in row["variances"] if v > 1e-12] == pytest.approx([1.0] * sum(v > 1e-12 for v in row["variances"]))
@@ -72,7 +72,7 @@ def test_report(training, spark):
 def test_models_must_be_trained(spark, training, tmp_path):
     for model in (ClvModel(), ChurnModel(), SegmentModel()):
         with pytest.raises(ValueError, match="must be trained"):
-            model.transform(training.features)
+            model.transform(training.data.features)
         with pytest.raises(ValueError, match="must be trained"):
             model.save(str(tmp_path / "x"))
         assert not model.info(spark).first()["is_trained"]
@@ -93,10 +93,10 @@ def test_save_and_load(spark, training, tmp_path):
     path = str(tmp_path / "run")
     training.save(spark, path)
     again = ModelSet.load(spark, f"{path}/models")
-    before = sorted(training.models.transform(training.features).collect(), key=lambda r: r["customer_id"])
-    after = sorted(again.transform(training.features).collect(), key=lambda r: r["customer_id"])
+    before = sorted(training.models.transform(training.data.features).collect(), key=lambda r: r["customer_id"])
+    after = sorted(again.transform(training.data.features).collect(), key=lambda r: r["customer_id"])
     assert before == after
-    assert load_stats(spark, path) == training.stats
+    assert load_stats(spark, path) == training.data.stats
     assert [tuple(r) for r in again.info(spark).collect()] == [tuple(r) for r in training.models.info(spark).collect()]
     assert spark.read.json(f"{path}/training_report").count() == 1
 
@@ -110,7 +110,7 @@ def test_missing_or_wrong_model(spark, training, tmp_path):
 
 
 def test_cross_validation(training):
-    got = ClvModel(**SMALL_CLV | {"maxIter": 3}).cross_validate(training.features, folds=3)
+    got = ClvModel(**SMALL_CLV | {"maxIter": 3}).cross_validate(training.data.features, folds=3)
     assert got["cv_r2_min"] <= got["cv_r2_mean"] <= got["cv_r2_max"]
     assert set(got) == {"cv_r2_mean", "cv_r2_std", "cv_r2_min", "cv_r2_max"}
 
