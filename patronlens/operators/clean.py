@@ -41,14 +41,22 @@ class CleanStats:
     clv_cap: float | None
 
 
+def present(column: str) -> Column:
+    """The value as a double, null where it is missing; NaN counts as missing."""
+    value = F.col(column).cast("double")
+    return F.when(~F.isnan(value), value)
+
+
 def fit_medians(df: DataFrame) -> dict[str, float | None]:
     """Exact median of every numeric column."""
-    return {name: values[0] for name, values in exact_quantiles(df, {c: ["0.5"] for c in numeric_columns(df)}).items()}
+    names = numeric_columns(df)
+    found = exact_quantiles(df, {c: ["0.5"] for c in names}, {c: present(c) for c in names})
+    return {name: values[0] for name, values in found.items()}
 
 
 def fill_medians(df: DataFrame, medians: dict[str, float | None]) -> DataFrame:
-    """Nulls become the median; filled columns are doubles, as a median may fall between two integers."""
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(m)) for c, m in medians.items() if m is not None})
+    """Missing values become the median; filled columns are doubles, as a median may fall between two integers."""
+    return df.withColumns({c: F.coalesce(present(c), F.lit(m)) for c, m in medians.items() if m is not None})
 
 
 def fit_clv_cap(df: DataFrame) -> float | None:

@@ -24,15 +24,17 @@ def hash_order(key: Column | str = "customer_id") -> Column:
     return hash_percent(key) * F.lit(2**44) + _hex(key, 9, 11)
 
 
-def mark_hash_split(df: DataFrame, test_percent: int = 20, key: str = "customer_id") -> DataFrame:
-    """Add ``is_test``, true for about ``test_percent`` of the keys."""
-    return df.withColumn("is_test", hash_percent(key) < test_percent)
+def mark_hash_split(
+    df: DataFrame, test_percent: int = 20, key: str = "customer_id", flag: str = "is_test"
+) -> DataFrame:
+    """Add ``flag``, true for about ``test_percent`` of the keys."""
+    return df.withColumn(flag, hash_percent(key) < test_percent)
 
 
 def mark_stratified_split(
-    staged: DataFrame, label: str, test_percent: int = 20, key: str = "customer_id"
+    staged: DataFrame, label: str, test_percent: int = 20, key: str = "customer_id", flag: str = "is_test"
 ) -> DataFrame:
-    """Add ``is_test`` with the share exact in each label: the first keys of each label in hash order.
+    """Add ``flag`` with the share exact in each label: the first keys of each label in hash order.
 
     The last place that still belongs to the test part is an order statistic per label, so no label
     is sorted or gathered whole.
@@ -48,7 +50,7 @@ def mark_stratified_split(
     for v, n in wanted.items():
         if n:
             test = test | ((F.col(label).cast("string") == v) & (place <= int(last[v, n - 1])))
-    return staged.withColumn("is_test", test)
+    return staged.withColumn(flag, test)
 
 
 def mark_folds(df: DataFrame, folds: int = 5, key: str = "customer_id") -> DataFrame:
@@ -56,9 +58,9 @@ def mark_folds(df: DataFrame, folds: int = 5, key: str = "customer_id") -> DataF
     return df.withColumn("fold", (_hex(key, 1, 8) % folds).cast("int"))
 
 
-def train_part(df: DataFrame) -> DataFrame:
-    return df.filter(~F.col("is_test")).drop("is_test")
+def train_part(df: DataFrame, flag: str = "is_test") -> DataFrame:
+    return df.filter(~F.col(flag)).drop(flag)
 
 
-def test_part(df: DataFrame) -> DataFrame:
-    return df.filter("is_test").drop("is_test")
+def test_part(df: DataFrame, flag: str = "is_test") -> DataFrame:
+    return df.filter(flag).drop(flag)

@@ -24,13 +24,16 @@ from patronlens.staging import stage
 
 @dataclass(frozen=True)
 class TrainingData:
-    """Fitted statistics and the staged feature tables."""
+    """Fitted statistics and the feature tables.
+
+    ``features`` is what segments are fitted on; ``split`` adds the flags ``clv_test`` and ``churn_test``
+    of the rows held out from the two supervised models.
+    """
 
     stats: FeatureStats
     names: list[str]
     features: DataFrame
-    clv_split: DataFrame
-    churn_split: DataFrame
+    split: DataFrame
 
 
 @dataclass(frozen=True)
@@ -75,8 +78,8 @@ def prepare(customers: DataFrame, features: list[str] | None = None, clean_first
     stats = fit_features(base)
     table = stage(feature_table(base, stats, names), "features")
     modelling = table if clean_first else stage(clean_customers(table), "clean-features")
-    by_label = mark_stratified_split(modelling, schema.CHURN_TARGET)
-    return TrainingData(stats, names, table, mark_hash_split(modelling), by_label)
+    split = mark_stratified_split(modelling, schema.CHURN_TARGET, flag="churn_test")
+    return TrainingData(stats, names, table, mark_hash_split(split, flag="clv_test"))
 
 
 def fit_models(
@@ -89,35 +92,35 @@ def fit_models(
     return ModelSet(
         *together(
             data.features.sparkSession,
-            lambda: ClvModel(**(clv or {})).fit(train_part(data.clv_split), data.names),
-            lambda: ChurnModel(**(churn or {})).fit(train_part(data.churn_split), data.names),
+            lambda: ClvModel(**(clv or {})).fit(train_part(data.split, "clv_test"), data.names),
+            lambda: ChurnModel(**(churn or {})).fit(train_part(data.split, "churn_test"), data.names),
             lambda: SegmentModel(**(segments or {})).fit(data.features, data.names),
         )
     )
 
 
-def held_out_impact(models: ModelSet, clv_test: DataFrame, churn_test: DataFrame) -> DataFrame:
-    """Business metrics over the customers that neither model saw, truth and prediction joined by key."""
-    clv = models.clv.transform(clv_test).select(
-        "customer_id", F.col(schema.CLV_TARGET).alias("true_clv"), "predicted_clv"
-    )
-    churn = models.churn.transform(churn_test).select(
-        "customer_id", F.col(schema.CHURN_TARGET).alias("true_churn"), "churn_prediction"
+def held_out_impact(data: TrainingData, models: ModelSet) -> DataFrame:
+    """Business metrics over the customers that neither model saw, truth and prediction from the same row."""
+    unseen = data.split.filter("clv_test AND churn_test")
+    predicted = models.churn.transform(models.clv.transform(unseen)).select(
+        F.col(schema.CLV_TARGET).alias("true_clv"),
+        F.col(schema.CHURN_TARGET).alias("true_churn"),
+        "predicted_clv",
+        "churn_prediction",
     )
-    return evaluate.business_impact(stage(clv.join(churn, "customer_id"), "impact"))
+    return evaluate.business_impact(stage(predicted, "impact"))
 
 
 def evaluate_models(data: TrainingData, models: ModelSet) -> dict[str, Any]:
     """Metrics on the held-out rows, importances, segment profiles and business impact."""
     spark = data.features.sparkSession
-    clv_test, churn_test = test_part(data.clv_split), test_part(data.churn_split)
     clv, churn, segments, profiles, impact = together(
         spark,
-        lambda: models.clv.evaluate(clv_test),
-        lambda: models.churn.evaluate(churn_test),
+        lambda: models.clv.evaluate(test_part(data.split, "clv_test")),
+        lambda: models.churn.evaluate(test_part(data.split, "churn_test")),
         lambda: models.segments.evaluate(data.features),
         lambda: models.segments.profiles(data.features).drop("center").orderBy("segment_id").collect(),
-        lambda: held_out_impact(models, clv_test, churn_test).first(),
+        lambda: held_out_impact(data, models).first(),
     )
     importance = [{"feature": name, "importance": value} for name, value in models.clv.importances()[:10]]
     factors = [{"churn_factor": name, "importance_score": value} for name, value in models.churn.importances()[:5]]

@@ -49,6 +49,13 @@ def test_clean_fills_caps_and_floors(spark):
     assert abs(got["c99"]["customer_lifetime_value"] - 98.01) < 1e-9
 
 
+def test_not_a_number_is_filled_like_null(spark):
+    rows = [("a", 1.0), ("b", float("nan")), ("c", 3.0), ("d", None)]
+    df = spark.createDataFrame(rows, "customer_id string, x double")
+    filled = clean.fill_medians(df, clean.fit_medians(df)).orderBy("customer_id")
+    assert [r["x"] for r in filled.collect()] == [1.0, 2.0, 3.0, 2.0]
+
+
 def test_row_counts(spark):
     df = spark.range(10)
     assert tuple(clean.row_counts(df, df.filter("id < 4")).first()) == (10, 4)
