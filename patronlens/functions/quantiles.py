@@ -191,12 +191,12 @@ def approximate_quantiles(
 
 
 def quantile_edges(
-    df: DataFrame, bins: Mapping[str, int], approximate: bool = False, max_sorted_rows: int = MAX_SORTED_ROWS
+    df: DataFrame, bins: Mapping[str, int], approximate: bool = False, sizes: Mapping[str, int] | None = None
 ) -> dict[str, list[float]]:
     """Distinct, ascending edges that cut each column into ``bins[name]`` equal-count bins."""
     wanted = {name: [Fraction(i, q) for i in range(q + 1)] for name, q in bins.items()}
     if approximate:
         found = approximate_quantiles(df, wanted)
     else:
-        found = exact_quantiles(df, wanted, max_sorted_rows=max_sorted_rows)
+        found = exact_quantiles(df, wanted, sizes=sizes)
     return {name: sorted({v for v in values if v is not None}) for name, values in found.items()}

@@ -170,52 +170,48 @@ def business_impact(
 # --- clusters -----------------------------------------------------------------------------------
 
 
+def few_clusters(df: DataFrame, features: Sequence[str] | str, label: str) -> DataFrame:
+    """Size, centre and variances per cluster as a local table, after a check that the clusters are few."""
+    moments = cluster_moments(df, features, label)
+    rows = moments.limit(MAX_CLUSTERS + 1).collect()
+    if len(rows) > MAX_CLUSTERS:
+        raise ValueError(f"more than {MAX_CLUSTERS} clusters")
+    return df.sparkSession.createDataFrame(rows, moments.schema)
+
+
 def calinski_harabasz(df: DataFrame, features: Sequence[str] | str, label: str = "segment_id") -> DataFrame:
     """Between- to within-cluster variance; one pass over the rows, the rest on one row per cluster."""
-    clusters = cluster_moments(df, features, label)
-    whole = clusters.agg(
-        F.sum("n").alias("rows"),
-        F.count("*").alias("k"),
-        F.sum(F.col("n") * F.aggregate("variances", F.lit(0.0), lambda a, x: a + x)).alias("within"),
-        F.collect_list(F.struct("n", "center")).alias("clusters"),
-    )
-    # The mean of all rows from the centres, then the weighted squares around it.
-    weighted = F.transform(
-        "clusters", lambda c: F.transform(c["center"], lambda x: x * c["n"] / F.col("rows"))
-    )
-    zero = F.transform(F.col("clusters")[0]["center"], lambda x: F.lit(0.0))
-    mean = F.aggregate(weighted, zero, lambda a, c: F.zip_with(a, c, lambda x, y: x + y))
-    spread = F.transform(
-        "clusters", lambda c: c["n"] * F.pow(gap_between(c["center"], F.col("mean")), F.lit(2.0))
-    )
-    between = F.aggregate(spread, F.lit(0.0), lambda a, x: a + x)
-    return whole.withColumn("mean", mean).select(
-        F.try_divide(
-            F.try_divide(between, F.col("k") - 1), F.try_divide(F.col("within"), F.col("rows") - F.col("k"))
-        ).alias("calinski_harabasz_score")
-    )
+    clusters = few_clusters(df, features, label).collect()
+    score = None
+    if clusters:
+        sizes = np.array([row["n"] for row in clusters])
+        centers = np.array([row["center"] for row in clusters])
+        variances = np.array([row["variances"] for row in clusters])
+        n, k = int(sizes.sum()), len(clusters)
+        mean = sizes @ centers / n
+        between = sizes @ ((centers - mean) ** 2).sum(axis=1)
+        within = sizes @ variances.sum(axis=1)
+        if k > 1 and within > 0:
+            score = float(between / (k - 1) / (within / (n - k)))
+    return df.sparkSession.createDataFrame([(score,)], "calinski_harabasz_score double")
 
 
 def davies_bouldin(df: DataFrame, features: Sequence[str] | str, label: str = "segment_id") -> DataFrame:
     """Mean over clusters of the worst (spread + spread) / distance to another cluster.
 
-    The centres are few, which is checked, so they are broadcast to the second pass over the rows and
-    the comparison of clusters with each other happens on the driver.
+    The centres are few, so they are broadcast to the second pass over the rows and the clusters are
+    compared with each other on the driver.
     """
-    moments = cluster_moments(df, features, label).select("label", "center")
-    rows = moments.limit(MAX_CLUSTERS + 1).collect()
-    if len(rows) > MAX_CLUSTERS:
-        raise ValueError(f"more than {MAX_CLUSTERS} clusters")
-    spark = df.sparkSession
-    centers = spark.createDataFrame(rows, moments.schema)
+    clusters = few_clusters(df, features, label)
     spread = (
         points_of(df, features)
         .select(F.col(label).alias("label"), vector_to_array("point").alias("point"))
-        .join(F.broadcast(centers), "label")
+        .join(F.broadcast(clusters.select("label", "center")), "label")
         .groupBy("label")
         .agg(F.avg(gap_between(F.col("point"), F.col("center"))).alias("spread"))
     )
     spreads = {row["label"]: row["spread"] for row in spread.collect()}
+    rows = clusters.collect()
     points = np.array([row["center"] for row in rows])
     radii = np.array([spreads[row["label"]] for row in rows])
     worst = []
@@ -224,7 +220,7 @@ def davies_bouldin(df: DataFrame, features: Sequence[str] | str, label: str = "s
         others = apart > 0
         worst.append(((radii[others] + radii[i]) / apart[others]).max(initial=0.0))
     score = float(np.mean(worst)) if worst else None
-    return spark.createDataFrame([(score,)], "davies_bouldin_score double")
+    return df.sparkSession.createDataFrame([(score,)], "davies_bouldin_score double")
 
 
 def silhouette_squared(df: DataFrame, features: Sequence[str] | str, label: str = "segment_id") -> float:

@@ -58,18 +58,19 @@ def fit_features(customers: DataFrame, approximate: bool = False) -> FeatureStat
     bins = {"recency": schema.RFM_QUANTILES, "frequency": schema.RFM_QUANTILES, "monetary": schema.RFM_QUANTILES}
     if schema.CLV_TARGET in customers.columns:
         bins[schema.CLV_TARGET] = len(schema.VALUE_TIERS)
-    edges = quantile_edges(customers, bins, approximate)
-    maxima = customers.agg(
-        F.max("website_visits_per_month").cast("double").alias("visits"),
-        F.max("support_tickets").cast("double").alias("tickets"),
+    whole = customers.agg(
+        F.max("website_visits_per_month").cast("double").alias("max_visits"),
+        F.max("support_tickets").cast("double").alias("max_tickets"),
+        *[F.count(name).alias(name) for name in bins],
     ).first()
+    edges = quantile_edges(customers, bins, approximate, {name: whole[name] for name in bins})
     return FeatureStats(
         recency_edges=tuple(edges["recency"]),
         frequency_edges=tuple(edges["frequency"]),
         monetary_edges=tuple(edges["monetary"]),
         clv_edges=tuple(edges.get(schema.CLV_TARGET, ())),
-        max_visits=maxima["visits"],
-        max_tickets=maxima["tickets"],
+        max_visits=whole["max_visits"],
+        max_tickets=whole["max_tickets"],
         account_types=tuple(distinct_labels(customers, "account_type")),
     )
 

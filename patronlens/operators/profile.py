@@ -90,8 +90,8 @@ def add_purchases(df: DataFrame) -> DataFrame:
 
 def add_dates(df: DataFrame, as_of: Column) -> DataFrame:
     """Tenure and recency in days; without orders they stand at the unfavourable bound."""
-    days = {"days_first": F.datediff(as_of, "first_order"), "days_last": F.datediff(as_of, "last_order")}
-    return df.withColumns(days).withColumns(
+    days = {"days_first": F.datediff("today", "first_order"), "days_last": F.datediff("today", "last_order")}
+    return df.withColumn("today", as_of).withColumns(days).withColumns(
         {
             "tenure_days": F.coalesce(clip("days_first", 1, MAX_TENURE), F.lit(1)),
             "recency": F.coalesce(clip("days_last", 0, MAX_RECENCY), F.lit(MAX_RECENCY)),
