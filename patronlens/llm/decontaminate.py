@@ -29,6 +29,7 @@ from patronlens.llm.text import ALNUM_WORD, alnum_words, cut_spans, utf8_values
 WINDOW = 10
 BLOCK_WORDS = 200_000
 MAX_COVERAGE = 0.5
+FOUND = ("n_words", "n_hit", "spans", "items")
 
 
 class Automaton:
@@ -236,7 +237,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, max_coverage: float = M
 
     What stands around a span stays as it is, as do all other columns; ``n_chars``, if there, is counted anew.
     """
-    text = options.get("text_column", "text")
-    found = find_contamination(docs, benchmark, tuple(docs.columns), **options)
-    clean = found.where(F.col("n_hit") <= max_coverage * F.col("n_words"))
-    return cut_spans(clean, text, ALNUM_WORD).select(*docs.columns)
+    text = options.pop("text_column", "text")
+    kept = [f"_kept_{c}" if c in FOUND else c for c in docs.columns]
+    text = kept[docs.columns.index(text)]
+    found = find_contamination(docs.toDF(*kept), benchmark, tuple(kept), text, **options)
+    clean = found.where(F.col("n_hit") <= max_coverage * F.col("n_words")).drop("n_words", "n_hit", "items")
+    return cut_spans(clean, text, "spans", ALNUM_WORD).toDF(*docs.columns)

@@ -46,16 +46,17 @@ def without_spans(data: bytes, spans: list[tuple[int, int]], pattern: re.Pattern
     return b"".join([*kept, data[at:]])
 
 
-def cut_spans(df: DataFrame, text_column: str, word: bytes) -> DataFrame:
-    """``df`` with its texts less the words in ``spans`` (array of first, last); ``n_chars`` counted anew."""
-    rows = df.withColumn("spans", F.col("spans").cast("array<struct<first:long,last:long>>"))
+def cut_spans(df: DataFrame, text_column: str, spans_column: str, word: bytes) -> DataFrame:
+    """``df`` less ``spans_column`` (array of first, last), its texts less the words in them; ``n_chars`` counted anew."""
+    rest = [c for c in df.columns if c != spans_column]
+    at = rest.index(text_column)
+    rows = df.select(*rest, F.col(spans_column).cast("array<struct<first:long,last:long>>"))
+    rows = rows.toDF(*[f"c{i}" for i in range(len(rest))], "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pattern = re.compile(word)
         for batch in batches:
-            at = batch.schema.names.index(text_column)
-            texts = batch.column(at)
-            spans = batch.column(batch.schema.names.index("spans")).to_pylist()
+            texts, spans = batch.column(at), batch.column(len(rest)).to_pylist()
             if any(spans):
                 values = texts.cast(pa.binary()).to_pylist()
                 for i, row in enumerate(spans):
@@ -66,7 +67,8 @@ def cut_spans(df: DataFrame, text_column: str, word: bytes) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
     cut = rows.mapInArrow(run, rows.schema)
-    if "n_chars" in df.columns:
-        length = F.length(text_column).cast(df.schema["n_chars"].dataType)
-        cut = cut.withColumn("n_chars", F.when(F.size("spans") > 0, length).otherwise(F.col("n_chars")))
-    return cut
+    if "n_chars" in rest:
+        name = f"c{rest.index('n_chars')}"
+        length = F.length(f"c{at}").cast(rows.schema[name].dataType)
+        cut = cut.withColumn(name, F.when(F.size("spans") > 0, length).otherwise(F.col(name)))
+    return cut.drop("spans").toDF(*rest)
