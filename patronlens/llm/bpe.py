@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 LONG = 512
 CACHED_PIECES = 200_000
+CHUNK_CHARACTERS = 2_000_000
 NONE = np.int32(2**31 - 1)
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -88,9 +89,16 @@ class Codec:
         self.pairs = PairTable(ranks)
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.known: dict[str, list[int]] = {}
+        self._forget()
 
-    def _merge_matrix(self, pieces: list[bytes]) -> list[list[int]]:
+    def _forget(self) -> None:
+        #: Place of a piece in ``sizes`` and ``starts``; its ids stand in ``flat``.
+        self.known: dict[str, int] = {}
+        self.sizes = self.starts = np.empty(0, np.int64)
+        self.flat = np.empty(0, np.int32)
+
+    def _merge_matrix(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each piece, and all ids in order."""
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         columns = np.arange(lengths.max())
         inside = columns < lengths[:, None]
@@ -99,14 +107,13 @@ class Codec:
         ids = np.pad(ids, ((0, 0), (0, 1)), constant_values=-1)
         ranks = self.pairs.find(ids[:, :-1], ids[:, 1:])
         ranks = np.pad(ranks, ((0, 0), (0, 1)), constant_values=NONE)
-        done: list[list[int]] = [[]] * len(pieces)
+        done = np.full((len(pieces), ids.shape[1]), -1, np.int32)
         rows, columns = np.arange(len(pieces)), np.arange(ids.shape[1])
         while len(rows):
             at = ranks.argmin(axis=1)  # the leftmost of the least
             best = ranks[np.arange(len(rows)), at]
-            for i in np.nonzero(best == NONE)[0]:
-                done[rows[i]] = ids[i][ids[i] >= 0].tolist()
             live = best != NONE
+            done[rows[~live], : ids.shape[1]] = ids[~live]
             rows, ids, ranks, at, best = rows[live], ids[live], ranks[live], at[live], best[live]
             if not len(rows):
                 break
@@ -121,7 +128,7 @@ class Codec:
             ranks[each, before] = left
             width = int((ids >= 0).sum(axis=1).max()) + 1
             ids, ranks, columns = ids[:, :width], ranks[:, :width], columns[:width]
-        return done
+        return (done >= 0).sum(axis=1), done[done >= 0]
 
     def _merge_long(self, piece: bytes) -> list[int]:
         ids = self.byte_ids[np.frombuffer(piece, np.uint8)].tolist()
@@ -145,35 +152,49 @@ class Codec:
                         heapq.heappush(heap, (r, a, ids[a], ids[b]))
         return [i for i in ids if i >= 0]
 
-    def _learn(self, pieces: set[str]) -> None:
-        if len(self.known) > CACHED_PIECES:
-            self.known.clear()
-        buckets: dict[int, list[tuple[str, bytes]]] = {}
-        for piece in pieces:
-            data = piece.encode()
-            rank = self.ranks.get(data)
-            if rank is not None:
-                self.known[piece] = [rank]
-            elif len(data) > LONG:
-                self.known[piece] = self._merge_long(data)
-            else:
-                buckets.setdefault((len(data) - 1).bit_length(), []).append((piece, data))
-        for bits, bucket in buckets.items():
-            rows = max(1, (1 << 18) >> bits)
+    def _add(self, pieces: list[str], sizes: np.ndarray, flat: np.ndarray) -> None:
+        self.known.update(zip(pieces, range(len(self.sizes), len(self.sizes) + len(pieces))))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
+
+    def _learn(self, pieces: list[str]) -> None:
+        data = [p.encode() for p in pieces]
+        whole = np.fromiter((self.ranks.get(d, -1) for d in data), np.int64, len(data))
+        lengths = np.fromiter(map(len, data), np.int64, len(data))
+        at = np.nonzero(whole >= 0)[0]
+        self._add([pieces[i] for i in at], np.ones(len(at), np.int64), whole[at])
+        for i in np.nonzero((whole < 0) & (lengths > LONG))[0]:
+            ids = np.array(self._merge_long(data[i]))
+            self._add([pieces[i]], np.array([len(ids)]), ids)
+        width = 1
+        while width < LONG:
+            bucket = np.nonzero((whole < 0) & (lengths > width) & (lengths <= 2 * width))[0]
+            width *= 2
+            rows = max(1, (1 << 18) // width)
             for start in range(0, len(bucket), rows):
-                some = bucket[start : start + rows]
-                self.known.update(zip((p for p, _ in some), self._merge_matrix([d for _, d in some])))
+                some = bucket[start : start + rows].tolist()
+                self._add([pieces[i] for i in some], *self._merge_matrix([data[i] for i in some]))
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in order, without special tokens, and where each text ends in them.
+
+        Pieces that are new in any of the texts are merged together.
+        """
+        cut = [self.cut(text) for text in texts]
+        used = set().union(*cut)
+        if len(self.known) > CACHED_PIECES:
+            self._forget()
+        self._learn(list(used.difference(self.known)))
+        ends = np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))
+        places = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, int(ends[-1]) if len(ends) else 0)
+        sizes = self.sizes[places]
+        after = np.concatenate([[0], np.cumsum(sizes)])
+        shift = np.repeat(self.starts[places] - after[:-1], sizes)
+        return self.flat[shift + np.arange(after[-1])], after[ends]
 
     def encode(self, text: str) -> list[int]:
-        """The ids of a text, without special tokens."""
-        pieces = self.cut(text)
-        known = self.known
-        new = {p for p in pieces if p not in known}
-        if new:
-            if len(known) > CACHED_PIECES:
-                new = set(pieces)
-            self._learn(new)
-        return list(chain.from_iterable(map(known.__getitem__, pieces)))
+        return self.encode_all([text])[0].tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -198,7 +219,7 @@ def _mapped(df: DataFrame, column: str, out: list[T.StructField], path: str, pat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared, pattern)
         for batch in batches:
-            columns = work(codec, batch.column(0).to_pylist())
+            columns = work(codec, batch.column(0))
             arrays = [*batch.columns[1:], *columns]
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in (*fields, *made)])
 
@@ -207,14 +228,30 @@ def _mapped(df: DataFrame, column: str, out: list[T.StructField], path: str, pat
     return mapped.toDF(*names)
 
 
+def _chunks(texts: pa.Array) -> Iterator[list[str]]:
+    """Texts in order, null as empty, in lists of about ``CHUNK_CHARACTERS``."""
+    some, size = [], 0
+    for value in texts:
+        text = value.as_py() or ""
+        some.append(text)
+        size += len(text)
+        if size >= CHUNK_CHARACTERS:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 def encode(df: DataFrame, path: str, pattern: str, text_column: str = "text", ids_column: str = "ids") -> DataFrame:
     """``df`` with ``ids_column``, the token ids of ``text_column`` by the rank file at ``path``, in place of the text."""
 
-    def work(codec: Codec, texts: list) -> list[pa.Array]:
-        ids = [np.array(codec.encode(t or ""), np.int32) for t in texts]
-        ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-        flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
-        return [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+    def work(codec: Codec, texts: pa.Array) -> list[pa.Array]:
+        flat, ends = [np.empty(0, np.int32)], [np.zeros(1, np.int64)]
+        for some in _chunks(texts):
+            ids, after = codec.encode_all(some)
+            ends.append(ends[-1][-1] + after)
+            flat.append(ids)
+        return [pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), pa.array(np.concatenate(flat)))]
 
     field = T.StructField(ids_column, T.ArrayType(T.IntegerType()))
     return _mapped(df, text_column, [field], path, pattern, work)
@@ -223,8 +260,9 @@ def encode(df: DataFrame, path: str, pattern: str, text_column: str = "text", id
 def decode(df: DataFrame, path: str, pattern: str, ids_column: str = "ids", bytes_column: str = "decoded") -> DataFrame:
     """``df`` with ``bytes_column``, the bytes that ``ids_column`` stands for, beside the ids."""
 
-    def work(codec: Codec, rows: list) -> list[pa.Array]:
-        return [pa.array([codec.decode(ids or []) for ids in rows], pa.binary())]
+    def work(codec: Codec, rows: pa.Array) -> list[pa.Array]:
+        ids, ends = rows.values.to_numpy(zero_copy_only=False), rows.offsets.to_numpy()
+        return [pa.array([codec.decode(ids[a:b].tolist()) for a, b in zip(ends, ends[1:])], pa.binary())]
 
     field = T.StructField(bytes_column, T.BinaryType())
     copied = df.withColumn("_ids", F.col(ids_column))
