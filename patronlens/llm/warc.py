@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LEAST_REVISIT = 1000
-FILE_BYTES = 16 * 1024 * 1024
+FILE_BYTES = 32 * 1024 * 1024
 CRLF = "\r\n"
 RECORD = (
     "record_id string, type string, concurrent_to string, refers_to string, target_uri string, date string, page_id long, "
@@ -70,10 +70,10 @@ def capture_rows(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFr
 
 
 def write_archives(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
-    """Archives of ``pages`` (page_id, url, html) under ``path``; about ``file_bytes`` of payload a file, one payload at least."""
+    """Archives of ``pages`` (page_id, url, html) under ``path``; files of ``file_bytes`` before compression for payloads of mean size."""
     captures = capture_rows(pages)
-    total = pages.agg(F.sum(F.octet_length("html").cast("long") + 2000)).first()[0] or 0
-    files = max(1, -(-total // file_bytes))
+    total, rows = pages.agg(F.sum(F.octet_length(F.coalesce("html", F.lit(""))).cast("long") + 2000), F.count(F.lit(1))).first()
+    per_file = max(1, file_bytes * rows // total) if rows else 1
     url = F.col("url")
     common = {"WARC-Date": F.col("date"), "WARC-Target-URI": url}
     page = {"WARC-Page-ID": F.col("page_id").cast("string")}
@@ -95,9 +95,8 @@ def write_archives(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES) ->
     metadata = _record("metadata", {"WARC-Record-ID": F.col("metadata_id")} | concurrent | common | page, fields, "application/warc-fields")
     answer = F.when(F.col("revisit"), revisit).otherwise(response)
     # One line per capture; the writer ends it with the blank lines that end a record.
-    spread = captures.repartition(files, "response_id")
-    lines = spread.select(F.concat_ws(CRLF * 2, request, answer, metadata).alias("value"))
-    lines.write.option("lineSep", CRLF * 2).option("compression", "gzip").text(path)
+    lines = captures.select(F.concat_ws(CRLF * 2, request, answer, metadata).alias("value"))
+    lines.write.option("maxRecordsPerFile", per_file).option("lineSep", CRLF * 2).option("compression", "gzip").text(path)
 
 
 def _header(block: bytes) -> dict[str, str]:
