@@ -13,6 +13,7 @@ Texts of any length are searched whole. Columns that are not asked for are ignor
 
 from __future__ import annotations
 
+import re
 import string
 
 from pyspark.sql import Column, DataFrame
@@ -21,15 +22,16 @@ from pyspark.sql import functions as F
 from patronlens.llm.license_rules import PRIORITY, Rule, all_rules
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# Parts of words that most rules need; what has none of them is passed over after these searches.
+ROOTS = ("licen", "gpl", "perm", "copy", "distribut", "warrant", "merchant", "commercial", "commons", "public", "rights", "org", "without", "software", "mpl", " cc ")
 LEVELS = max(PRIORITY.values()) + 1
 DETECTION = "array<struct<first:bigint,last:bigint,label:string,kind:string,weight:int,kept:boolean>>"
 
 
 def spaced(text: Column) -> Column:
-    """Words in lower case, each with a blank before and behind; empty without words."""
+    """Words in lower case, each with a blank before and behind, and one more blank at either end."""
     lower = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    words = F.trim(F.regexp_replace(lower, SEPARATORS, "  "))
-    return F.when(words == "", "").otherwise(F.concat(F.lit(" "), words, F.lit(" ")))
+    return F.regexp_replace(F.concat(F.lit(" "), lower, F.lit(" ")), SEPARATORS, "  ")
 
 
 def signature(rule: Rule) -> str:
@@ -45,20 +47,40 @@ def keyword(rule: Rule) -> str:
 
 
 def _words(column: Column) -> Column:
+    """Words in a part of a spaced text; a single blank at an end does not matter."""
     return ((F.length(column) - F.length(F.replace(column, F.lit(" "), F.lit("")))) / 2).cast("long")
 
 
+def needs(rule: Rule, part: str) -> bool:
+    """Whether every match of the rule holds ``part``: it stands in its keyword, or outside of alternatives and options."""
+    left, before = rule.regex, None
+    while left != before:
+        before = left
+        left = re.sub(r"\([^()]*\)\?", " ", left)
+        left = re.sub(r"\(([^()|]*)\)(?![?{])", r"\1", left)
+    plain = re.sub(r"\([^()]*\)", " ", left)
+    return part in keyword(rule) or ("|" not in plain and part in plain)
+
+
+def root(rule: Rule) -> str:
+    """The first of ``ROOTS`` that every match holds, else the keyword."""
+    return next((part for part in ROOTS if needs(rule, part)), keyword(rule))
+
+
 def _rule_groups(rules: list[Rule]) -> Column:
-    groups: dict[str, list[Rule]] = {}
+    """Rules by keyword, and keywords by root: a text is searched for the few roots first."""
+    groups: dict[str, dict[str, list[Rule]]] = {}
     for rule in rules:
-        groups.setdefault(keyword(rule), []).append(rule)
+        groups.setdefault(root(rule), {}).setdefault(keyword(rule), []).append(rule)
+
     def one(r: Rule) -> Column:
         values = {"regex": signature(r), "label": r.label, "kind": r.kind, "priority": r.priority, "weight": r.weight}
         return F.struct(*[F.lit(v).alias(k) for k, v in values.items()])
 
-    return F.array(
-        *[F.struct(F.lit(k).alias("keyword"), F.array(*map(one, some)).alias("rules")) for k, some in groups.items()]
-    )
+    def keywords(some: dict[str, list[Rule]]) -> Column:
+        return F.array(*[F.struct(F.lit(k).alias("keyword"), F.array(*map(one, r)).alias("rules")) for k, r in some.items()])
+
+    return F.array(*[F.struct(F.lit(k).alias("root"), keywords(some).alias("keywords")) for k, some in groups.items()])
 
 
 def _places(text: Column, rule: Column) -> Column:
@@ -94,7 +116,8 @@ def _detections(text: Column, rules: list[Rule]) -> Column:
             ),
         )
 
-    gated = F.filter(_rule_groups(rules), lambda g: F.contains(text, g["keyword"]))
+    near = F.flatten(F.transform(F.filter(_rule_groups(rules), lambda g: F.contains(text, g["root"])), lambda g: g["keywords"]))
+    gated = F.filter(near, lambda g: F.contains(text, g["keyword"]))
     chosen = F.flatten(F.transform(gated, lambda g: g["rules"]))
     return F.array_sort(F.flatten(F.transform(chosen, of_rule)))
 
@@ -127,7 +150,7 @@ def scan_licenses(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), text_
     chosen = all_rules() if rules is None else rules
     names = [f"c{i}" for i in range(len(columns))]
     spaced_text = docs.select(*[F.col(c).alias(n) for c, n in zip(columns, names)], spaced(F.col(text_column).cast("string")).alias("words"))
-    found = spaced_text.select(*names, _words(F.col("words")).alias("n_words"), _detections(F.col("words"), chosen).alias("found"))
+    found = spaced_text.select(*names, (_words(F.col("words")) - 1).alias("n_words"), _detections(F.col("words"), chosen).alias("found"))
     return found.select(*[F.col(n).alias(c) for c, n in zip(columns, names)], "n_words", _resolve(F.col("found")).alias("detections"))
 
 
