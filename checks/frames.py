@@ -55,7 +55,17 @@ def dirty_profile(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def scored_by_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """:func:`rule_scores` with the distances to all centres."""
+    return _rule_scores(spark, folder)
+
+
 def rule_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Truth and rule-based predictions per customer."""
+    return _rule_scores(spark, folder).drop("center_distances")
+
+
+def _rule_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Truth and rule-based predictions per customer, in the columns the models would fill."""
     m = measures(spark, folder)
     no_retention = F.col("avg_purchase_amount") * F.col("frequency") * 12 * (F.col("tenure_days") / 365)
@@ -75,8 +85,7 @@ def rule_scores(spark: SparkSession, folder: str) -> DataFrame:
     scored = scored.withColumns(
         {"churn_prediction": labels.churn_prediction(), "risk_category": labels.risk_category_batch()}
     )
-    assigned = labels.assign_segment(scored, [F.col(c) for c in CENTER_FEATURES], CENTERS)
-    return assigned.drop("center_distances")
+    return labels.assign_segment(scored, [F.col(c) for c in CENTER_FEATURES], CENTERS)
 
 
 def staged_scores(spark: SparkSession, folder: str) -> DataFrame:

@@ -217,6 +217,16 @@ FEATURES = f"{PROFILE},{features_over('p')}"
 HASH8 = "('0x' || substr(md5(customer_id), 1, 8))::BIGINT"
 HASH11 = "('0x' || substr(md5(customer_id), 9, 11))::BIGINT"
 
+CLEANED = f"""{FILLED},
+cap AS (SELECT quantile_cont(customer_lifetime_value, 0.99) AS cap FROM filled),
+capped AS (SELECT * REPLACE (least(customer_lifetime_value, cap) AS customer_lifetime_value) FROM filled, cap),
+cleaned AS (SELECT {", ".join(f"{bounded(c, low=0)} AS {c}" if c in NON_NEGATIVE else c for c in schema.CUSTOMER.names)} FROM capped)"""
+MISSING = " + ".join(f"count(*) FILTER ({c} IS NULL)" for c in schema.FEATURES_REF)
+
+STRATIFIED = f"""placed AS (SELECT *, row_number() OVER (PARTITION BY churned ORDER BY {HASH8} % 100, {HASH11}) AS place,
+        count(*) OVER (PARTITION BY churned) AS n FROM p),
+      marked AS (SELECT *, place <= (n * 20 + 50) // 100 AS churn_test, {HASH8} % 100 < 20 AS clv_test FROM placed)"""
+
 SERVING = f"""
 sv AS (
   SELECT customer_id, age,
@@ -415,15 +425,60 @@ ORACLE: dict[str, str] = {
     "folds": f"WITH {PROFILE} SELECT customer_id, ({HASH8} % 5)::INTEGER AS fold FROM p",
     # models: what holds for any trained model
     "model_round_trip": f"WITH {PROFILE} SELECT count(*) AS customers, count(*) AS same_predictions FROM p",
-    "batch_scores": f"""WITH {DIRTY}, checked AS (SELECT {ALL_VIOLATIONS} AS v FROM dirty)
-      SELECT count(*) FILTER (v = '') AS total_customers, count(*) FILTER (v <> '') AS rejected_records, true AS was_timed
-      FROM checked""",
-    "stream_against_batch": f"""WITH {DIRTY}, checked AS (SELECT customer_id, {ALL_VIOLATIONS} AS v FROM dirty)
-      SELECT count(DISTINCT customer_id) FILTER (v = '') AS customers,
-      count(DISTINCT customer_id) FILTER (v = '') AS same_answers, count(*) FILTER (v <> '') AS rejected_records
-      FROM checked""",
+    "training_report_file": f"""WITH {PROFILE}, {STRATIFIED}
+      SELECT 'business_impact,churn_model,clv_model,filled_values,segmentation_model' AS parts,
+        10 AS importances, 5 AS factors, 5 AS segments, count(*) AS customers, true AS explains, true AS separates,
+        count(*) FILTER (churn_test) AS churn_test_rows,
+        {r("1 - avg(churned) FILTER (churn_test AND clv_test)")} AS actual_retention_rate FROM marked""",
+    "cross_validation": "SELECT 5::BIGINT AS folds, 5::BIGINT AS in_range, true AS summary_fits, true AS in_order",
+    "clv_model": f"""WITH {PROFILE} SELECT customer_id, {r("customer_lifetime_value", 2)} AS customer_lifetime_value,
+      true AS not_negative, true AS explains FROM p WHERE {HASH8} % 100 < 20""",
+    "churn_model": f"""WITH {PROFILE}, {STRATIFIED}
+      SELECT customer_id, churned, true AS in_range, true AS prediction_fits FROM marked WHERE churn_test""",
+    "churn_probabilities": f"WITH {PROFILE} SELECT customer_id, 2 AS classes, 1.0::DOUBLE AS total, true AS in_range FROM p",
+    "segment_model": f"""WITH {PROFILE} SELECT customer_id, 5 AS centers, true AS named, true AS nearest, true AS distance_fits FROM p""",
+    "segment_model_profiles": f"""WITH {PROFILE} SELECT 5 AS segments, count(*) AS customers, 100.0::DOUBLE AS percent,
+      true AS by_spend FROM p""",
+    "segment_model_characteristics": f"""WITH {PROFILE} SELECT 5::BIGINT AS segments, count(*) AS customers,
+      100.0::DOUBLE AS percent, {len(schema.FEATURES_REF)} AS features FROM p""",
+    "segment_model_quality": "SELECT 5 AS n_clusters, true AS silhouette_in_range, true AS apart, true AS spread",
+    "feature_importance": f"SELECT {len(schema.FEATURES_REF)} AS features, 1.0::DOUBLE AS total, true AS descending, true AS all_known",
+    "top_feature_importance": "SELECT i::INTEGER AS place, true AS same FROM range(10) t(i)",
+    "churn_factors": "SELECT i AS place, true AS same FROM range(10) t(i)",
+    "model_info": f"""SELECT unnest(['CLV Predictor', 'Churn Predictor', 'Customer Segmentation']) AS model_name, true AS is_trained,
+      {len(schema.FEATURES_REF)} AS n_features, '{",".join(schema.FEATURES_REF)}' AS feature_names""",
+    "training_on_dirty_rows": f"""WITH {CLEANED},{features_over("cleaned")}
+      SELECT (SELECT count(*) FROM dirty) AS rows_in, count(*) AS customers, count(*) AS complete, count(*) AS split_rows,
+        {MISSING} AS filled, count(*) FILTER (purchase_velocity IS NULL) AS filled_velocity FROM ft""",
+    "rows_kept": f"""WITH {PROFILE}, k AS (SELECT *, substr(customer_id, 6)::BIGINT AS k FROM p),
+      holes AS (SELECT CASE WHEN k % 7 <> 0 THEN customer_id END AS customer_id, CASE WHEN k % 5 <> 0 THEN churned END AS churned,
+        CASE WHEN k % 11 = 0 THEN 9 WHEN k % 13 <> 0 THEN k % 5 END AS segment_id FROM k),
+      strata AS (SELECT (count(*) * 20 + 50) // 100 AS t FROM holes GROUP BY churned),
+      found AS (SELECT DISTINCT segment_id FROM holes UNION SELECT unnest([0, 1, 2, 3, 4])),
+      hashed AS (SELECT count(*) FILTER (customer_id IS NOT NULL AND {HASH8} % 100 < 20) AS t, count(*) AS n FROM holes)
+      SELECT n - t AS hash_train, t AS hash_test, n - (SELECT sum(t) FROM strata)::BIGINT AS label_train,
+        (SELECT sum(t) FROM strata)::BIGINT AS label_test, n AS profiled, (SELECT count(*) FROM found) AS profiles,
+        100.0::DOUBLE AS percent FROM hashed""",
+    "comprehensive_scores": f"""WITH {PROFILE} SELECT customer_id, true AS clv_fits, true AS churn_fits, true AS risk_fits,
+      true AS segment_fits, 3 AS factors, 3 AS actions, true AS confidence_fits FROM p""",
+    "top_risk_factors": f"WITH {PROFILE} SELECT count(*) AS customers, count(*) AS same FROM p",
+    "batch_scores": f"""WITH {DIRTY}, checked AS (SELECT {ALL_VIOLATIONS} <> '' OR substr(customer_id, 6)::BIGINT % 59 = 0 AS bad,
+        substr(customer_id, 6)::BIGINT % 59 = 0 AS unread FROM dirty),
+      n AS (SELECT count(*) FILTER (NOT bad) AS good, count(*) FILTER (bad) AS bad, count(*) FILTER (unread) AS unread FROM checked)
+      SELECT good AS total_customers, bad AS rejected_records, true AS was_timed, good AS answers, good AS good_answers,
+        bad AS quarantined, unread FROM n""",
+    "unread_records": f"""WITH {DIRTY} SELECT count(*) AS records, count(*) AS whole_texts
+      FROM dirty WHERE substr(customer_id, 6)::BIGINT % 59 = 0""",
+    "stream_scores": f"""WITH {DIRTY}, checked AS (SELECT customer_id, {ALL_VIOLATIONS} AS v FROM dirty)
+      SELECT customer_id, count(*) AS answers, count(*) AS good_answers FROM checked WHERE v = '' GROUP BY 1""",
+    "stream_against_batch": f"""WITH {DIRTY}, checked AS (SELECT customer_id, {ALL_VIOLATIONS} AS v FROM dirty),
+      n AS (SELECT count(*) FILTER (v = '') AS good, count(*) FILTER (v <> '') AS bad FROM checked)
+      SELECT good AS streamed_answers, good AS batch_answers, good AS same_answers, bad AS same_rejected, 0::BIGINT AS different FROM n""",
+    "dashboard_customers": f"""WITH {PROFILE} SELECT customer_id, account_type, true AS not_negative, true AS in_range,
+      true AS risk_fits, true AS named FROM p""",
     # labels on predictions
-    "center_distances": scores("customer_id, segment_id, distance_to_center"),
+    "center_distances": f"""WITH {SCORES} SELECT customer_id, segment_id,
+      {", ".join(f"{r(center_distance(c), 8)} AS distance_{i}" for i, c in enumerate(CENTERS))} FROM s""",
     "clv_quartile_segments": f"""WITH {SCORES}, e AS (SELECT {edges("predicted_clv", 4)} AS pe FROM s)
       SELECT customer_id, predicted_clv, {bin_label("predicted_clv", "pe", schema.CLV_SEGMENTS)} AS clv_segment FROM s, e""",
     "high_value_customers": scores(

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.frames import (
     CENTER_FEATURES,
+    CENTERS,
     dirty_profile,
     measures,
+    number,
     profile,
     rule_scores,
+    scored_by_rules,
     staged_profile,
     staged_scores,
     tables,
@@ -21,25 +25,24 @@ from patronlens import schema
 from patronlens.functions import clip, cut, qcut_code, qcut_label, quantile_edges, safe_divide
 from patronlens.operators import clean, evaluate, features, labels, moments, reports, serving, split
 from patronlens.operators import profile as prof
-from patronlens.operators.models import ChurnModel, ClvModel, SegmentModel
+from patronlens.operators.models import ChurnModel, ClvModel, summary_of_scores
 from patronlens.plans.dashboard import scored_customers
-from patronlens.plans.scoring import ModelSet, score_batch, score_records
-from patronlens.plans.training import TrainingData, TrainingRun, fit_models, prepare, train
+from patronlens.plans.scoring import ModelSet, answers, quarantine, read_scored, score_batch, score_records
+from patronlens.plans.training import TrainingRun, prepare, train
 from patronlens.sources import sinks
 from patronlens.sources import tables as sources
 from patronlens.staging import new_path, stage
 from patronlens.streaming.scoring import read_record_stream, score_stream
 
-# Smaller models than the defaults, through the override by keyword, so that a check takes seconds.
-SMALL_CLV = {"maxIter": 10, "maxDepth": 4, "stepSize": 0.3}
-SMALL_CHURN = {"numTrees": 20, "maxDepth": 6}
-SMALL_SEGMENTS = {"restarts": 3, "maxIter": 50}
-
 
 def r(column: str, digits: int = 4):
     return F.round(F.col(column), digits).alias(column)
 
 
+def r_of(column, digits: int):
+    return F.round(column, digits)
+
+
 def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
     """Doubles rounded, everything else as it is; for aggregates, whose last bits depend on the row order."""
     return df.select(*[r(n, digits) if t == "double" else F.col(n) for n, t in df.dtypes])
@@ -114,24 +117,35 @@ def parquet_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 def json_records(spark: SparkSession, folder: str) -> DataFrame:
     path = new_path(spark, "records-json")
     profile(spark, folder).select(*schema.SCORING.names).write.json(path)
-    return sources.read_records_json(spark, path)
+    return sources.read_records_json(spark, path).select(*schema.SCORING.names)
 
 
 def training_report_file(spark: SparkSession, folder: str) -> DataFrame:
+    """What the written report holds of each part."""
     path = new_path(spark, "report")
-    run = small_training(spark, folder)
-    sinks.write_report(run.report_table(spark), path)
-    return spark.read.json(path)
+    sinks.write_report(trained(spark, folder).run.report_table(spark), path)
+    report = spark.read.json(path)
+    sizes = F.aggregate("segmentation_model.segment_profiles", F.lit(0).cast("long"), lambda n, p: n + p["size"])
+    return report.select(
+        F.array_join(F.array_sort(F.array(*map(F.lit, report.columns))), ",").alias("parts"),
+        F.size("clv_model.feature_importance").alias("importances"),
+        F.size("churn_model.churn_factors").alias("factors"),
+        F.size("segmentation_model.segment_profiles").alias("segments"),
+        sizes.alias("customers"),
+        (F.col("clv_model.metrics.r2") > 0).alias("explains"),
+        F.col("churn_model.metrics.auc_roc").between(0.5, 1).alias("separates"),
+        (sum((F.col(f"churn_model.metrics.{c}") for c in CONFUSION), F.lit(0)).cast("long")).alias("churn_test_rows"),
+        F.round("business_impact.actual_retention_rate", 4).alias("actual_retention_rate"),
+    )
 
 
 def model_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """How many customers get the same predictions from the saved and reloaded models."""
-    data, models = small_models(spark, folder)
-    path = new_path(spark, "models")
-    models.save(path)
-    again = ModelSet.load(spark, path)
+    full = trained(spark, folder)
+    again = ModelSet.load(spark, f"{full.path}/models")
     predictions = F.struct("predicted_clv", "churn_probability", "segment_id")
-    before = models.transform(data.features).select("customer_id", predictions.alias("before"))
+    data = full.run.data
+    before = full.run.models.transform(data.features).select("customer_id", predictions.alias("before"))
     after = again.transform(data.features).select("customer_id", predictions.alias("after"))
     return before.join(after, "customer_id").agg(
         F.count("*").alias("customers"), F.count_if(F.col("before") == F.col("after")).alias("same_predictions")
@@ -369,82 +383,208 @@ def folds(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def cross_validation(spark: SparkSession, folder: str) -> DataFrame:
-    scores = ClvModel(**SMALL_CLV).cross_validate(staged_features(spark, folder), folds=3)
-    return spark.createDataFrame(list(scores.items()), "metric string, value double")
+    """The summary against the scores of the five folds, for a model with its full settings."""
+    table = staged_features(spark, folder)
+    scores = ChurnModel().fold_scores(table)
+    rows = spark.createDataFrame([(s,) for s in scores], "score double")
+    summary = summary_of_scores(scores, "auc_roc")
+    close = [
+        F.abs(F.lit(summary[f"cv_auc_roc_{name}"]) - expected) < 1e-9
+        for name, expected in (("mean", F.avg("score")), ("std", F.stddev_pop("score")), ("min", F.min("score")), ("max", F.max("score")))
+    ]
+    return rows.agg(
+        F.count("score").alias("folds"),
+        F.count_if(F.col("score").between(0, 1)).alias("in_range"),
+        (close[0] & close[1] & close[2] & close[3]).alias("summary_fits"),
+        ((F.min("score") <= F.avg("score")) & (F.avg("score") <= F.max("score"))).alias("in_order"),
+    )
 
 
 # --- models -------------------------------------------------------------------------------------
 
 
-def small_training(spark: SparkSession, folder: str) -> TrainingRun:
-    return train(profile(spark, folder), clv=SMALL_CLV, churn=SMALL_CHURN, segments=SMALL_SEGMENTS)
+@dataclass(frozen=True)
+class Trained:
+    """A training run with the full settings, and where it is saved."""
+
+    run: TrainingRun
+    path: str
+
+
+TRAINED: dict[tuple[str, str], Trained] = {}
+CONFUSION = ["true_negatives", "false_positives", "false_negatives", "true_positives"]
+
+
+def trained(spark: SparkSession, folder: str) -> Trained:
+    """Trained once per session and folder, over the whole tables; what comes after training reads it."""
+    key = spark.sparkContext.applicationId, folder
+    if key not in TRAINED:
+        path = new_path(spark, "trained")
+        run = train(profile(spark, folder))
+        run.save(spark, path)
+        TRAINED[key] = Trained(run, path)
+    return TRAINED[key]
+
+
+def models_of(spark: SparkSession, folder: str) -> ModelSet:
+    """The saved models."""
+    return ModelSet.load(spark, f"{trained(spark, folder).path}/models")
 
 
-def small_models(spark: SparkSession, folder: str) -> tuple[TrainingData, ModelSet]:
-    data = prepare(profile(spark, folder))
-    return data, fit_models(data, SMALL_CLV, SMALL_CHURN, SMALL_SEGMENTS)
+def features_of(spark: SparkSession, folder: str) -> DataFrame:
+    return trained(spark, folder).run.data.features
 
 
 def clv_model(spark: SparkSession, folder: str) -> DataFrame:
-    """Predictions for the held-out part by a model trained without the leaking features."""
+    """Held-out customers of a model trained without the leaking features, and whether its predictions are of use."""
     marked = split.mark_hash_split(staged_features(spark, folder))
-    model = ClvModel(**SMALL_CLV).fit(split.train_part(marked), schema.FEATURES_SAFE)
-    return model.transform(split.test_part(marked)).select("customer_id", schema.CLV_TARGET, "predicted_clv")
+    model = ClvModel().fit(split.train_part(marked), schema.FEATURES_SAFE)
+    test = stage(model.transform(split.test_part(marked)), "clv-test")
+    r2 = evaluate.regression_metrics(test, schema.CLV_TARGET, "predicted_clv").first()["r2"]
+    return test.select(
+        "customer_id",
+        r(schema.CLV_TARGET, 2),
+        (F.col("predicted_clv") >= 0).alias("not_negative"),
+        F.lit(r2 > 0.5).alias("explains"),
+    )
 
 
 def churn_model(spark: SparkSession, folder: str) -> DataFrame:
-    marked = split.mark_stratified_split(staged_features(spark, folder), schema.CHURN_TARGET)
-    model = ChurnModel(**SMALL_CHURN).fit(split.train_part(marked))
-    out = model.transform(split.test_part(marked))
-    return out.select("customer_id", "churned", "churn_probability", "churn_prediction")
+    """Held-out customers with the contract of a churn prediction."""
+    run = trained(spark, folder).run
+    test = run.models.churn.transform(split.test_part(run.data.split, "churn_test"))
+    probability = F.col("churn_probability")
+    return test.select(
+        "customer_id",
+        F.col("churned").cast("int").alias("churned"),
+        probability.between(0, 1).alias("in_range"),
+        (F.col("churn_prediction") == (probability >= 0.5).cast("int")).alias("prediction_fits"),
+    )
 
 
 def churn_probabilities(spark: SparkSession, folder: str) -> DataFrame:
-    table = staged_features(spark, folder)
-    model = ChurnModel(**SMALL_CHURN).fit(table)
-    return model.predict_proba(table).select("customer_id", "probabilities")
+    both = models_of(spark, folder).churn.predict_proba(features_of(spark, folder))
+    p = F.col("probabilities")
+    return both.select(
+        "customer_id",
+        F.size(p).alias("classes"),
+        F.round(F.aggregate(p, F.lit(0.0), lambda a, x: a + x), 9).alias("total"),
+        F.forall(p, lambda x: x.between(0, 1)).alias("in_range"),
+    )
 
 
 def segment_model(spark: SparkSession, folder: str) -> DataFrame:
-    table = staged_features(spark, folder)
-    model = SegmentModel(**SMALL_SEGMENTS).fit(table)
-    return model.transform(table).select("customer_id", "segment_id", "segment_name", "distance_to_center")
+    """Every customer with the contract of a segment: a known id, its name, the nearest centre."""
+    model = models_of(spark, folder).segments
+    table = features_of(spark, folder)
+    named = model.transform(table).select("customer_id", "segment_id", "segment_name", "distance_to_center")
+    gaps = model.center_distances(table).select("customer_id", "center_distances")
+    joined = named.join(gaps, "customer_id")
+    least = F.array_min("center_distances")
+    return joined.select(
+        "customer_id",
+        F.size("center_distances").alias("centers"),
+        (F.col("segment_name") == F.get(F.array(*map(F.lit, schema.SEGMENT_NAMES)), F.col("segment_id"))).alias("named"),
+        (F.abs(F.get("center_distances", F.col("segment_id")) - least) < 1e-6).alias("nearest"),
+        (F.abs(F.col("distance_to_center") - least) < 1e-6).alias("distance_fits"),
+    )
 
 
 def segment_model_profiles(spark: SparkSession, folder: str) -> DataFrame:
-    table = staged_features(spark, folder)
-    return SegmentModel(**SMALL_SEGMENTS).fit(table).profiles(table)
+    """Totals over the profiles of all segments."""
+    model = models_of(spark, folder).segments
+    place = model.features.index(model.order_feature)
+    spend = F.col("center")[place]
+    profiles = model.profiles(features_of(spark, folder)).withColumn("spend", spend)
+    ordered = profiles.agg(F.array_sort(F.collect_list(F.struct("segment_id", -spend))).alias("rows"), F.sum("size").alias("customers"), F.round(F.sum("percentage"), 6).alias("percent"))
+    return ordered.select(
+        F.size("rows").alias("segments"),
+        "customers",
+        "percent",
+        (F.array_sort(F.transform("rows", lambda x: x["col2"])) == F.transform("rows", lambda x: x["col2"])).alias("by_spend"),
+    )
 
 
 def segment_model_characteristics(spark: SparkSession, folder: str) -> DataFrame:
-    table = staged_features(spark, folder)
-    return SegmentModel(**SMALL_SEGMENTS).fit(table).characteristics(table)
+    """The means of all segments, weighted by size, are those of all customers: 0 after scaling."""
+    model = models_of(spark, folder).segments
+    found = model.characteristics(features_of(spark, folder))
+    means = [F.abs(F.sum(F.col(f"{f}_mean") * F.col("size"))) / F.sum("size") < 1e-6 for f in model.features]
+    return found.agg(
+        F.count("*").alias("segments"), F.sum("size").alias("customers"), F.round(F.sum("percentage"), 6).alias("percent"),
+        sum((m.cast("int") for m in means), F.lit(0)).alias("features"),
+    )
 
 
 def segment_model_quality(spark: SparkSession, folder: str) -> DataFrame:
-    table = staged_features(spark, folder)
-    metrics = SegmentModel(**SMALL_SEGMENTS).fit(table).evaluate(table)
-    return spark.createDataFrame(list(metrics.items()), "metric string, value double")
+    """Ranges of the metrics, and the silhouette of the best of several starts."""
+    metrics = models_of(spark, folder).segments.evaluate(features_of(spark, folder))
+    row = spark.createDataFrame([tuple(metrics.values())], ", ".join(f"{m} double" for m in metrics))
+    return row.select(
+        F.col("n_clusters").cast("int").alias("n_clusters"),
+        F.col("silhouette_sq").between(0, 1).alias("silhouette_in_range"),
+        (F.col("calinski_harabasz_score") > 0).alias("apart"),
+        (F.col("davies_bouldin_score") > 0).alias("spread"),
+    )
+
+
+def importance_facts(found: DataFrame) -> DataFrame:
+    """One row: how many, their total, whether they descend and are all known."""
+    listed = found.agg(F.collect_list(F.struct("feature", "importance")).alias("rows"), F.round(F.sum("importance"), 6).alias("total"))
+    values = F.transform("rows", lambda x: x["importance"])
+    names = F.transform("rows", lambda x: x["feature"])
+    known = F.array(*map(F.lit, schema.FEATURES_REF))
+    return listed.select(
+        F.size("rows").alias("features"),
+        "total",
+        (F.reverse(F.array_sort(values)) == values).alias("descending"),
+        (F.array_sort(names) == F.array_sort(known)).alias("all_known"),
+    )
 
 
 def feature_importance(spark: SparkSession, folder: str) -> DataFrame:
-    return ClvModel(**SMALL_CLV).fit(staged_features(spark, folder)).feature_importance(spark)
+    return importance_facts(models_of(spark, folder).clv.feature_importance(spark).coalesce(1))
 
 
 def top_feature_importance(spark: SparkSession, folder: str) -> DataFrame:
-    return reports.top_importance(feature_importance(spark, folder))
+    """The ten in ascending order are the head of the whole list."""
+    model = models_of(spark, folder).clv
+    top = [tuple(row) for row in reports.top_importance(model.feature_importance(spark)).collect()]
+    head = model.importances()[:10]
+    rows = spark.createDataFrame([(i, *a, *b) for i, (a, b) in enumerate(zip(top, reversed(head)))], "place int, feature string, importance double, wanted string, value double")
+    same = (F.col("feature") == F.col("wanted")) & (F.col("importance") == F.col("value"))
+    return rows.select("place", same.alias("same"))
 
 
 def churn_factors(spark: SparkSession, folder: str) -> DataFrame:
-    return ChurnModel(**SMALL_CHURN).fit(staged_features(spark, folder)).churn_factors(spark)
+    """The factors are the head of the importances under other names."""
+    model = models_of(spark, folder).churn
+    factors = model.churn_factors(spark).withColumn("place", F.monotonically_increasing_id())
+    ranked = spark.createDataFrame([(i, *x) for i, x in enumerate(model.importances())], "place long, feature string, importance double")
+    joined = factors.coalesce(1).join(ranked, factors.churn_factor == ranked.feature, "left")
+    return joined.select(ranked.place, (F.col("importance_score") == F.col("importance")).alias("same"))
 
 
 def model_info(spark: SparkSession, folder: str) -> DataFrame:
-    return small_training(spark, folder).models.info(spark)
+    info = models_of(spark, folder).info(spark)
+    return info.select("model_name", "is_trained", "n_features", F.array_join("feature_names", ",").alias("feature_names"))
+
+
+def training_on_dirty_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows in, rows after cleaning, rows of the feature table, and the missing features that were filled."""
+    dirty = dirty_profile(spark, folder)
+    data = prepare(dirty, order_by=["copy"])
+    filled = sum(data.filled.values())
+    complete = data.features.dropna(subset=data.names).count()
+    row = (dirty.count(), data.features.count(), complete, data.split.count(), filled, data.filled["purchase_velocity"])
+    return spark.createDataFrame([row], "rows_in long, customers long, complete long, split_rows long, filled long, filled_velocity long")
 
 
 def center_distances(spark: SparkSession, folder: str) -> DataFrame:
-    return rule_scores(spark, folder).select("customer_id", "segment_id", "distance_to_center")
+    """Distance of every customer to each centre."""
+    scored = scored_by_rules(spark, folder)
+    gaps = [r_of(F.col("center_distances")[i], 8).alias(f"distance_{i}") for i in range(len(CENTERS))]
+    return scored.select("customer_id", "segment_id", *gaps)
 
 
 # --- labels on predictions ----------------------------------------------------------------------
@@ -512,23 +652,74 @@ def segment_actions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def comprehensive_scores(spark: SparkSession, folder: str) -> DataFrame:
-    _, models = small_models(spark, folder)
-    return score_records(profile(spark, folder).select(*schema.SCORING.names), models)
+    """Every customer's nested answer, with its labels held against the numbers in it."""
+    models = models_of(spark, folder)
+    records = profile(spark, folder).select(*schema.SCORING.names)
+    return answer_facts(score_records(records, models)).join(records.select("customer_id", "tenure_days"), "customer_id").select(
+        "customer_id", "clv_fits", "churn_fits", "risk_fits", "segment_fits", "factors", "actions",
+        (F.col("confidence") == labels.confidence()).alias("confidence_fits"),
+    )
+
+
+def answer_facts(answers: DataFrame) -> DataFrame:
+    clv, churn, segment = F.col("clv"), F.col("churn"), F.col("segment")
+    probability = churn["churn_probability"]
+    near = F.abs(probability - 0.5) < 1e-4  # the answer is rounded, the class is not
+    names = F.array(*map(F.lit, schema.SEGMENT_NAMES))
+    return answers.select(
+        "customer_id",
+        ((clv["customer_lifetime_value"] >= 0) & (clv["clv_segment"] == labels.clv_fixed_segment(clv["customer_lifetime_value"]))).alias("clv_fits"),
+        (probability.between(0, 1) & (near | (churn["churn_prediction"] == labels.churn_prediction(probability)))).alias("churn_fits"),
+        (churn["risk_category"].isin(schema.RISK_LABELS) & risk_fits(probability, churn["risk_category"])).alias("risk_fits"),
+        ((segment["segment_name"] == F.get(names, segment["segment_id"])) & (segment["distance_to_center"] >= 0)).alias("segment_fits"),
+        F.size(churn["top_risk_factors"]).alias("factors"),
+        F.size(segment["recommended_actions"]).alias("actions"),
+        clv["confidence"].alias("confidence"),
+    )
+
+
+def risk_fits(probability: F.Column, category: F.Column) -> F.Column:
+    """The category of the number, or of one that is rounded to it."""
+    around = [labels.risk_category_request(probability + d) == category for d in (-5e-5, 0.0, 5e-5)]
+    return around[0] | around[1] | around[2]
 
 
 def top_risk_factors(spark: SparkSession, folder: str) -> DataFrame:
-    scores = comprehensive_scores(spark, folder)
-    return scores.groupBy(F.col("churn.top_risk_factors")).agg(F.count("*").alias("customers"))
+    """All answers name the three most important features of the churn model."""
+    models = models_of(spark, folder)
+    scores = score_records(profile(spark, folder).select(*schema.SCORING.names), models)
+    head = F.array(*[F.lit(name) for name, _ in models.churn.importances()[:3]])
+    return scores.agg(F.count("*").alias("customers"), F.count_if(F.col("churn.top_risk_factors") == head).alias("same"))
+
+
+def scoring_input(spark: SparkSession, folder: str) -> DataFrame:
+    """Records of all customers as text read back, defects and lines that are no record included."""
+    path = new_path(spark, "records-json")
+    records = dirty_profile(spark, folder)
+    fields = [F.col(c) for c in schema.SCORING.names]
+    broken = number() % 59 == 0
+    text = F.when(broken, F.concat(F.lit('{"age": "x'), F.to_json(F.struct(*fields)))).otherwise(F.to_json(F.struct(*fields)))
+    records.select(text.alias("value")).write.text(path)
+    return sources.read_records_json(spark, path)
 
 
 def batch_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """Counts of a scored batch, defects included, and whether it was timed."""
-    _, models = small_models(spark, folder)
-    records = stage(dirty_profile(spark, folder).select(*schema.SCORING.names), "records")
-    summary = score_batch(records, models, new_path(spark, "batch"))
-    return summary.select(
-        "total_customers", "rejected_records", (F.col("processing_time_seconds") > 0).alias("was_timed")
-    )
+    """Every record of a scored batch once: the counts, what the table holds, and whether all answers are as they should be."""
+    models = models_of(spark, folder)
+    out = new_path(spark, "batch")
+    summary = score_batch(scoring_input(spark, folder), models, out)
+    facts = answer_facts(answers(spark, out))
+    good = F.col("clv_fits") & F.col("churn_fits") & F.col("risk_fits") & F.col("segment_fits")
+    answered = facts.agg(F.count("*").alias("answers"), F.count_if(good).alias("good_answers"))
+    put_aside = quarantine(spark, out).agg(F.count("*").alias("quarantined"), F.count(schema.UNREAD).alias("unread"))
+    return summary.select("total_customers", "rejected_records", (F.col("processing_time_seconds") > 0).alias("was_timed")).crossJoin(answered).crossJoin(put_aside)
+
+
+def unread_records(spark: SparkSession, folder: str) -> DataFrame:
+    """The text of every line that is no record, as quarantine keeps it."""
+    marked = clean.mark_violations(scoring_input(spark, folder))
+    kept = clean.quarantined_records(marked).where(F.col(schema.UNREAD).isNotNull())
+    return kept.agg(F.count("*").alias("records"), F.count_if(F.col(schema.UNREAD).startswith('{"age": "x{')).alias("whole_texts"))
 
 
 # --- metrics ------------------------------------------------------------------------------------
@@ -595,8 +786,18 @@ def cluster_count(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def dashboard_customers(spark: SparkSession, folder: str) -> DataFrame:
-    data, models = small_models(spark, folder)
-    return scored_customers(profile(spark, folder), data.stats, models)
+    """Every customer with the labels of the dashboard held against its numbers."""
+    run = trained(spark, folder).run
+    scored = scored_customers(profile(spark, folder), run.data.stats, models_of(spark, folder))
+    names = F.array(*map(F.lit, schema.SEGMENT_NAMES))
+    return scored.select(
+        "customer_id",
+        "account_type",
+        (F.col("predicted_clv") >= 0).alias("not_negative"),
+        F.col("churn_probability").between(0, 1).alias("in_range"),
+        F.col("risk_category").eqNullSafe(labels.risk_category_batch()).alias("risk_fits"),
+        (F.col("segment_name") == F.get(names, F.col("segment_id"))).alias("named"),
+    )
 
 
 def dashboard_kpis(spark: SparkSession, folder: str) -> DataFrame:
@@ -660,28 +861,62 @@ def scored_stream(spark: SparkSession, folder: str, models: ModelSet) -> tuple[D
 
 
 def stream_scores(spark: SparkSession, folder: str) -> DataFrame:
-    _, models = small_models(spark, folder)
-    _, out = scored_stream(spark, folder, models)
-    return spark.read.parquet(f"{out}/predictions").drop("batch_id")
+    """How often each customer is answered by the stream, and how many of these answers are as they should be."""
+    _, out = scored_stream(spark, folder, models_of(spark, folder))
+    facts = answer_facts(answers(spark, out))
+    good = F.col("clv_fits") & F.col("churn_fits") & F.col("risk_fits") & F.col("segment_fits")
+    return facts.groupBy("customer_id").agg(F.count("*").alias("answers"), F.count_if(good).alias("good_answers"))
 
 
 def stream_against_batch(spark: SparkSession, folder: str) -> DataFrame:
-    """Distinct answers of the stream, how many of them the batch gives too, and the rejected records."""
-    _, models = small_models(spark, folder)
+    """All records of both, with how often they occur: a doubled, lost or different one is counted as such."""
+    models = models_of(spark, folder)
     records, out = scored_stream(spark, folder, models)
     batch = new_path(spark, "batch")
     score_batch(records, models, batch)
-    key, answer = "customer_id", F.struct("clv", "churn", "segment")
-    streamed = spark.read.parquet(f"{out}/predictions").select(key, answer.alias("streamed")).dropDuplicates()
-    batched = spark.read.parquet(f"{batch}/predictions").select(key, answer.alias("batched")).dropDuplicates()
-    rejected = spark.read.parquet(f"{out}/quarantine").agg(F.count("*")).scalar()
-    return streamed.join(batched, key, "full").filter(F.col(key).isNotNull()).agg(
-        F.count_distinct(key).alias("customers"),
-        F.count_distinct(F.when(F.col("streamed") == F.col("batched"), F.col(key))).alias("same_answers"),
-        F.any_value(rejected).alias("rejected_records"),
+
+    def counted(path: str, name: str) -> DataFrame:
+        table = read_scored(spark, path)
+        text = F.to_json(F.struct("customer_id", "clv", "churn", "segment", "record", "violations", "outcome"))
+        return table.groupBy(text.alias("text"), "outcome").agg(F.count("*").alias(name))
+
+    both = counted(out, "streamed").join(counted(batch, "batched"), ["text", "outcome"], "full")
+    streamed, batched = F.coalesce("streamed", F.lit(0)), F.coalesce("batched", F.lit(0))
+    answered = F.col("outcome") == "answered"
+    return both.agg(
+        F.sum(F.when(answered, streamed).otherwise(0)).alias("streamed_answers"),
+        F.sum(F.when(answered, batched).otherwise(0)).alias("batch_answers"),
+        F.sum(F.when(answered, F.least(streamed, batched)).otherwise(0)).alias("same_answers"),
+        F.sum(F.when(~answered, F.least(streamed, batched)).otherwise(0)).alias("same_rejected"),
+        F.sum(F.abs(streamed - batched)).alias("different"),
     )
 
 
+def rows_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows with no key, no label or an unknown segment are in one part each, and in the profiles."""
+    p = staged_profile(spark, folder)
+    holes = stage(
+        p.select(
+            F.when(number() % 7 != 0, F.col("customer_id")).alias("customer_id"),
+            F.when(number() % 5 != 0, F.col("churned")).alias("churned"),
+            F.when(number() % 11 == 0, 9).when(number() % 13 != 0, (number() % 5).cast("int")).alias("segment_id"),
+        ),
+        "holes",
+    )
+    hashed = split.mark_hash_split(holes)
+    stratified = split.mark_stratified_split(holes, "churned")
+    profiles = labels.segment_profiles(holes)
+
+    def count(df: DataFrame, name: str) -> DataFrame:
+        return df.agg(F.count("*").alias(name))
+
+    return (
+        count(split.train_part(hashed), "hash_train").crossJoin(count(split.test_part(hashed), "hash_test"))
+        .crossJoin(count(split.train_part(stratified), "label_train")).crossJoin(count(split.test_part(stratified), "label_test"))
+        .crossJoin(profiles.agg(F.sum("size").alias("profiled"), F.count("*").alias("profiles"), F.round(F.sum("percentage"), 6).alias("percent")))
+    )
+
+
 REGISTERED: list[Callable[[SparkSession, str], DataFrame]] = [
     quantile_bins,
     quantile_labels,
@@ -733,6 +968,7 @@ REGISTERED: list[Callable[[SparkSession, str], DataFrame]] = [
     feature_skew,
     hash_split,
     stratified_split,
+    rows_kept,
     folds,
     cross_validation,
     clv_model,
@@ -746,6 +982,7 @@ REGISTERED: list[Callable[[SparkSession, str], DataFrame]] = [
     top_feature_importance,
     churn_factors,
     model_info,
+    training_on_dirty_rows,
     center_distances,
     clv_quartile_segments,
     high_value_customers,
@@ -764,6 +1001,7 @@ REGISTERED: list[Callable[[SparkSession, str], DataFrame]] = [
     comprehensive_scores,
     top_risk_factors,
     batch_scores,
+    unread_records,
     regression_metrics,
     relative_error,
     classification_metrics,

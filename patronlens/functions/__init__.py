@@ -1,4 +1,4 @@
-from patronlens.functions.bins import clip, cut, qcut_code, qcut_label, round_half_even, safe_divide
+from patronlens.functions.bins import clip, cut, present, qcut_code, qcut_label, round_half_even, safe_divide
 from patronlens.functions.quantiles import exact_quantiles, order_statistics, quantile_edges
 
 __all__ = [
@@ -6,6 +6,7 @@ __all__ = [
     "cut",
     "exact_quantiles",
     "order_statistics",
+    "present",
     "qcut_code",
     "qcut_label",
     "quantile_edges",

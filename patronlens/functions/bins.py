@@ -48,12 +48,18 @@ def cut(column: Column | str, bins: Sequence[float], labels: Sequence[str]) -> C
     return out
 
 
+def present(column: Column | str) -> Column:
+    """The value as a double, null where it is missing; NaN counts as missing."""
+    value = _col(column).cast("double")
+    return F.when(~F.isnan(value), value)
+
+
 def qcut_code(column: Column | str, edges: Sequence[float]) -> Column:
     """Bin number for distinct, ascending quantile ``edges``: right-closed, lowest edge included.
 
-    Values beyond the outer edges fall in the outer bins. A single edge gives null, as there is no bin.
+    Values beyond the outer edges fall in the outer bins; a missing value (null or NaN) has no bin. A single edge gives null, as there is no bin.
     """
-    c = _col(column)
+    c = present(column)
     if len(edges) < 2:
         return F.lit(None).cast("int")
     out = F.when(c.isNull(), F.lit(None).cast("int"))

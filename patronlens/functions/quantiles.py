@@ -1,139 +1,117 @@
-"""Exact order statistics and quantiles by repeated aggregation.
-
-Spark's exact ``percentile`` keeps every distinct value of the column in one task, which a
-continuous column over all customers outgrows. Here a bounded sketch proposes a span that holds the
-wanted rank, exact counts confirm it, and the span shrinks until few enough rows are left to sort
-in one aggregate. Nothing but a handful of numbers per round reaches the driver.
+"""Exact order statistics and quantiles by counting.
+
+Spark's exact ``percentile`` keeps every distinct value of a column in one task, and a sketch of a whole column ends in
+one task as well. Here each round counts the values of a range in ``BUCKETS`` equal buckets, with the
+least and the greatest value of each: an ordinary hash aggregate, combined in the map tasks, whose result has
+``BUCKETS`` rows per range whatever the table. The bucket that holds the wanted rank is the next
+range; a bucket of one distinct value is the answer. All columns and ranks share the rounds, and
+tables of any size take the same path. Missing values (null and NaN) are left out.
 """
 
 from __future__ import annotations
 
+import math
+import sys
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SKETCH_ACCURACY = 10_000
-MAX_SORTED_ROWS = 100_000
+BUCKETS = 1024
+LARGEST = sys.float_info.max
+
+
+@dataclass(frozen=True)
+class Bounds:
+    """How many values a column has, and between which values."""
+
+    rows: int
+    low: float | None
+    high: float | None
 
 
 @dataclass(frozen=True)
 class _Span:
-    """Rows strictly between low and high; ``rank`` counts from the first of them."""
+    """Values from ``low`` to ``high``; the least of them has rank ``first``."""
 
     name: str
-    asked: int
-    rank: int
-    rows: int
-    low: float | None = None
-    high: float | None = None
-
-    @property
-    def region(self) -> tuple[str, float | None, float | None]:
-        return self.name, self.low, self.high
-
-    def values(self, column: Column) -> Column:
-        keep = column.isNotNull()
-        if self.low is not None:
-            keep = keep & (column > self.low)
-        if self.high is not None:
-            keep = keep & (column < self.high)
-        return F.when(keep, column)
-
-
-def _neighbours(spans: list[_Span]) -> list[list[_Span]]:
-    """Spans over the same rows whose ranks follow each other, such as the two ranks around a quantile."""
-    groups: list[list[_Span]] = []
-    for span in sorted(spans, key=lambda s: (s.name, str(s.low), str(s.high), s.rank)):
-        last = groups[-1][-1] if groups else None
-        if last and last.region == span.region and span.rank - last.rank <= 1:
-            groups[-1].append(span)
-        else:
-            groups.append([span])
-    return groups
-
-
-def _narrow(df: DataFrame, columns: Mapping[str, Column], spans: list[_Span], answers: dict) -> list[_Span]:
-    """One sketch pass and one counting pass; returns the smaller spans still open."""
-    margin = 2 / SKETCH_ACCURACY
-    groups = _neighbours(spans)
-    # One sketch answers for all ranks among the same rows.
-    ends: dict[tuple, list[float]] = {}
-    for group in groups:
-        first, last = group[0], group[-1]
-        low, high = (first.rank + 0.5) / first.rows - margin, (last.rank + 0.5) / last.rows + margin
-        ends.setdefault(first.region, []).extend([max(0.0, low), min(1.0, high)])
-    sketches = [
-        F.percentile_approx(_Span(name, 0, 0, 0, low, high).values(columns[name]), places, SKETCH_ACCURACY).alias(f"s{i}")
-        for i, ((name, low, high), places) in enumerate(ends.items())
-    ]
-    found = dict(zip(ends, (iter(values) for values in df.agg(*sketches).first())))
-    cuts = [(next(found[group[0].region]), next(found[group[0].region])) for group in groups]
-
-    counts = []
-    for i, (group, (low, high)) in enumerate(zip(groups, cuts)):
-        v = group[0].values(columns[group[0].name])
-        tests = [v < low, v <= low, v < high, v <= high]
-        counts += [F.count_if(test).alias(f"c{i}_{j}") for j, test in enumerate(tests)]
-    row = df.agg(*counts).first()
-
-    still_open = []
-    for i, (group, (low, high)) in enumerate(zip(groups, cuts)):
-        lt_low, le_low, lt_high, le_high = row[4 * i : 4 * i + 4]
-        for span in group:
-            if span.rank < lt_low:
-                still_open.append(replace(span, high=low, rows=lt_low))
-            elif span.rank < le_low:
-                answers[span.name, span.asked] = low
-            elif span.rank < lt_high:
-                still_open.append(replace(span, low=low, high=high, rank=span.rank - le_low, rows=lt_high - le_low))
-            elif span.rank < le_high:
-                answers[span.name, span.asked] = high
-            else:
-                still_open.append(replace(span, low=high, rank=span.rank - le_high, rows=span.rows - le_high))
-    return still_open
+    low: float
+    high: float
+    first: int
+    ranks: tuple[int, ...]
+
+    def bucket(self, value: Column) -> Column:
+        """0..BUCKETS-1, never falling as the value rises; the two ends are in different buckets."""
+        half = 0.5 if math.isinf(self.high - self.low) else 1.0
+        width = self.high * half - self.low * half
+        place = (value * half - self.low * half) / width * BUCKETS
+        return F.least(F.floor(place), F.lit(BUCKETS - 1)).cast("int")
+
+    def cell(self, value: Column, number: int) -> Column:
+        inside = (value >= self.low) & (value <= self.high)
+        return F.when(inside, F.struct(F.lit(number).alias("span"), self.bucket(value).alias("bucket"), value.alias("value")))
+
+
+def _value(column: Column) -> Column:
+    """A finite double, null where the value is missing; an infinite one becomes the largest."""
+    value = column.cast("double")
+    finite = F.greatest(F.least(value, F.lit(LARGEST)), F.lit(-LARGEST))
+    return F.when(value.isNotNull() & ~F.isnan(value), finite)
+
+
+def column_bounds(df: DataFrame, columns: Mapping[str, Column]) -> dict[str, Bounds]:
+    """All bounds in one aggregate."""
+    wanted = []
+    for i, column in enumerate(columns.values()):
+        value = _value(column)
+        wanted += [F.count(value).alias(f"n{i}"), F.min(value).alias(f"l{i}"), F.max(value).alias(f"h{i}")]
+    row = df.agg(*wanted).first()
+    return {name: Bounds(*row[3 * i : 3 * i + 3]) for i, name in enumerate(columns)}
+
+
+def _open_or_answer(name, low, high, first, ranks, answers) -> list[_Span]:
+    if not ranks:
+        return []
+    if low == high:
+        whole = math.copysign(math.inf, low) if abs(low) == LARGEST else low
+        answers.update({(name, rank): whole for rank in ranks})
+        return []
+    return [_Span(name, low, high, first, tuple(ranks))]
 
 
 def order_statistics(
     df: DataFrame,
     columns: Mapping[str, Column],
     ranks: Mapping[str, Sequence[int]],
-    sizes: Mapping[str, int],
-    max_sorted_rows: int = MAX_SORTED_ROWS,
+    bounds: Mapping[str, Bounds] | None = None,
 ) -> dict[tuple[str, int], float]:
-    """Values at 0-based ``ranks`` of the ascending non-null values of each column.
+    """Values at 0-based ``ranks`` of the ascending values of each column.
 
-    ``sizes`` are the non-null counts. Pass a staged table: every round reads it again.
+    Pass a staged table: every round reads it again, three or four times for most columns.
     """
-    doubles = {name: column.cast("double") for name, column in columns.items()}
-    spans = [_Span(name, rank, rank, sizes[name]) for name in ranks for rank in sorted(set(ranks[name]))]
+    bounds = bounds or column_bounds(df, columns)
+    values = {name: _value(column) for name, column in columns.items()}
     answers: dict[tuple[str, int], float] = {}
-    ready = [s for s in spans if s.rows <= max_sorted_rows]
-    wide = [s for s in spans if s.rows > max_sorted_rows]
-    while wide:
-        narrowed = _narrow(df, doubles, wide, answers)
-        ready += [s for s in narrowed if s.rows <= max_sorted_rows]
-        wide = [s for s in narrowed if s.rows > max_sorted_rows]
-    if ready:
-        groups: dict[tuple, list[_Span]] = {}
-        for span in ready:
-            groups.setdefault(span.region, []).append(span)
-        lists = df.agg(
-            *[
-                F.sort_array(F.collect_list(group[0].values(doubles[group[0].name]))).alias(f"g{i}")
-                for i, group in enumerate(groups.values())
-            ]
+    spans: list[_Span] = []
+    for name, some in ranks.items():
+        found = bounds[name]
+        spans += _open_or_answer(name, found.low, found.high, 0, sorted(set(some)), answers)
+    while spans:
+        cells = F.array_compact(F.array(*[s.cell(values[s.name], i) for i, s in enumerate(spans)]))
+        counted = (
+            df.select(F.explode(cells).alias("c"))
+            .groupBy("c.span", "c.bucket")
+            .agg(F.count("*").alias("n"), F.min("c.value").alias("low"), F.max("c.value").alias("high"))
         )
-        wanted = [
-            F.get(f"g{i}", F.lit(span.rank)).alias(f"v{i}_{j}")
-            for i, group in enumerate(groups.values())
-            for j, span in enumerate(group)
-        ]
-        row = lists.select(*wanted).first()
-        flat = [span for group in groups.values() for span in group]
-        answers.update({(span.name, span.asked): value for span, value in zip(flat, row)})
+        at = [s.first for s in spans]
+        further: list[_Span] = []
+        for number, _, n, low, high in sorted(map(tuple, counted.collect())):
+            inside = [r for r in spans[number].ranks if at[number] <= r < at[number] + n]
+            further += _open_or_answer(spans[number].name, low, high, at[number], inside, answers)
+            at[number] += n
+        spans = further
     return answers
 
 
@@ -141,62 +119,41 @@ def exact_quantiles(
     df: DataFrame,
     wanted: Mapping[str, Sequence[Fraction | float | str]],
     columns: Mapping[str, Column] | None = None,
-    sizes: Mapping[str, int] | None = None,
-    max_sorted_rows: int = MAX_SORTED_ROWS,
 ) -> dict[str, list[float | None]]:
-    """Linear-interpolated quantiles of several columns; null values are left out.
+    """Linear-interpolated quantiles of several columns; missing values are left out.
 
     ``wanted`` maps a name to probabilities (fractions keep ranks free of rounding); ``columns`` maps
     a name to an expression where it is not simply the column of that name.
     """
     columns = {name: (columns or {}).get(name, F.col(name)) for name in wanted}
-    if sizes is None:
-        names = list(wanted)
-        sizes = dict(zip(names, df.agg(*[F.count(columns[n]).alias(f"n{i}") for i, n in enumerate(names)]).first()))
+    if not columns:
+        return {}
+    bounds = column_bounds(df, columns)
     positions = {
-        name: [Fraction(str(p)) * (sizes[name] - 1) for p in probabilities] if sizes[name] else []
+        name: [Fraction(str(p)) * (bounds[name].rows - 1) for p in probabilities] if bounds[name].rows else []
         for name, probabilities in wanted.items()
     }
-    ranks = {}
-    for name, places in positions.items():
-        low = [int(place) for place in places]
-        ranks[name] = sorted(set(low) | {r + 1 for r, place in zip(low, places) if place != r})
-    found = order_statistics(df, columns, ranks, sizes, max_sorted_rows) if any(ranks.values()) else {}
+    ranks = {
+        name: sorted({int(p) for p in places} | {int(p) + 1 for p in places if p != int(p)})
+        for name, places in positions.items()
+    }
+    found = order_statistics(df, columns, ranks, bounds)
 
     def interpolate(name: str, place: Fraction) -> float:
         rank = int(place)
         low = found[name, rank]
-        if place == rank:
+        if place == rank or found[name, rank + 1] == low:
             return low
         return low + (found[name, rank + 1] - low) * float(place - rank)
 
     return {
-        name: [interpolate(name, place) for place in positions[name]] if sizes[name] else [None] * len(probabilities)
+        name: [interpolate(name, place) for place in positions[name]] if bounds[name].rows else [None] * len(probabilities)
         for name, probabilities in wanted.items()
     }
 
 
-def approximate_quantiles(
-    df: DataFrame, wanted: Mapping[str, Sequence[float]], accuracy: int = SKETCH_ACCURACY
-) -> dict[str, list[float]]:
-    """One-pass alternative where a rank error of 1/accuracy is fine."""
-    names = list(wanted)
-    row = df.agg(
-        *[
-            F.percentile_approx(F.col(n).cast("double"), [float(Fraction(str(p))) for p in wanted[n]], accuracy).alias(n)
-            for n in names
-        ]
-    ).first()
-    return {n: list(row[n]) if row[n] else [None] * len(wanted[n]) for n in names}
-
-
-def quantile_edges(
-    df: DataFrame, bins: Mapping[str, int], approximate: bool = False, sizes: Mapping[str, int] | None = None
-) -> dict[str, list[float]]:
+def quantile_edges(df: DataFrame, bins: Mapping[str, int]) -> dict[str, list[float]]:
     """Distinct, ascending edges that cut each column into ``bins[name]`` equal-count bins."""
     wanted = {name: [Fraction(i, q) for i in range(q + 1)] for name, q in bins.items()}
-    if approximate:
-        found = approximate_quantiles(df, wanted)
-    else:
-        found = exact_quantiles(df, wanted, sizes=sizes)
+    found = exact_quantiles(df, wanted)
     return {name: sorted({v for v in values if v is not None}) for name, values in found.items()}

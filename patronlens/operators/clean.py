@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from patronlens import schema
-from patronlens.functions import clip, exact_quantiles
-from patronlens.staging import stage
+from patronlens.functions import clip, exact_quantiles, present
+from patronlens.staging import stage, staged
 
+# Columns that cannot be negative.
 NON_NEGATIVE = ["tenure_days", "total_purchases", "monetary", "customer_lifetime_value", "avg_purchase_amount"]
 
 
@@ -41,16 +42,10 @@ class CleanStats:
     clv_cap: float | None
 
 
-def present(column: str) -> Column:
-    """The value as a double, null where it is missing; NaN counts as missing."""
-    value = F.col(column).cast("double")
-    return F.when(~F.isnan(value), value)
-
-
 def fit_medians(df: DataFrame) -> dict[str, float | None]:
     """Exact median of every numeric column."""
     names = numeric_columns(df)
-    found = exact_quantiles(df, {c: ["0.5"] for c in names}, {c: present(c) for c in names})
+    found = exact_quantiles(df, {c: ["0.5"] for c in names})
     return {name: values[0] for name, values in found.items()}
 
 
@@ -94,9 +89,9 @@ def apply_clean(deduplicated: DataFrame, stats: CleanStats) -> DataFrame:
 
 
 def clean_customers(df: DataFrame, order_by: Sequence[str] = ()) -> DataFrame:
-    """Deduplicate, fill, cap and floor, in this order."""
-    deduplicated = stage(drop_duplicate_keys(df, order_by), "deduplicated")
-    return apply_clean(deduplicated, fit_clean(deduplicated))
+    """Deduplicate, fill, cap and floor, in this order; the result is a staged table."""
+    with staged(drop_duplicate_keys(df, order_by), "deduplicated") as deduplicated:
+        return stage(apply_clean(deduplicated, fit_clean(deduplicated)), "cleaned")
 
 
 def row_counts(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -143,12 +138,18 @@ def broken_account_rule() -> Column:
 
 
 def mark_violations(records: DataFrame) -> DataFrame:
-    """Add ``violations``, the names of the fields that break a rule."""
-    return records.withColumn("violations", F.concat(broken_range_rules(), broken_account_rule()))
+    """Add ``violations``, the names of the fields that break a rule.
+
+    A record that was read from text and did not fit (``schema.UNREAD`` holds the text) breaks the rule of that name too.
+    """
+    broken = [broken_range_rules(), broken_account_rule()]
+    if schema.UNREAD in records.columns:
+        broken.append(F.array_compact(F.array(F.when(F.col(schema.UNREAD).isNotNull(), schema.UNREAD))))
+    return records.withColumn("violations", F.concat(*broken))
 
 
 def valid_records(marked: DataFrame) -> DataFrame:
-    return marked.filter(F.size("violations") == 0).drop("violations")
+    return marked.filter(F.size("violations") == 0).drop("violations", schema.UNREAD)
 
 
 def quarantined_records(marked: DataFrame) -> DataFrame:

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import Bucketizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,13 +14,12 @@ from patronlens.functions import safe_divide
 from patronlens.functions.windows import over_few_rows
 from patronlens.operators.labels import percentile_threshold
 from patronlens.operators.moments import cluster_moments, gap_between, points_of
-
-MAX_CLUSTERS = 10_000
+from patronlens.staging import staged
 
 
 def regression_metrics(df: DataFrame, truth: str = "y_true", prediction: str = "y_pred") -> DataFrame:
-    """rmse, mae, r2 and mape in percent; rows with a true value of 0 have no relative error."""
-    y = F.col(truth)
+    """rmse, mae, r2 and mape in percent over rows with truth and prediction; a true value of 0 has no relative error."""
+    y = F.when(F.col(prediction).isNotNull(), F.col(truth))
     error = y - F.col(prediction)
     return df.agg(
         F.sqrt(F.avg(error * error)).alias("rmse"),
@@ -60,23 +57,22 @@ def classification_metrics(df: DataFrame, truth: str = "y_true", prediction: str
 
 
 def auc_roc(
-    df: DataFrame, truth: str = "y_true", probability: str = "probability", buckets: int = 256
+    staged: DataFrame, truth: str = "y_true", probability: str = "probability", ranges: int | None = None
 ) -> DataFrame:
     """Exact area under the ROC curve, ties counted half.
 
-    Rows collapse to one per distinct score. Sketched quantiles cut the scores into ranges of similar
-    size, each range is accumulated on its own, and only the totals of the ranges are accumulated in
-    one task. Where the cuts fall does not change the result.
+    Rows collapse to one per distinct score. The scores are cut into ``ranges`` of similar size (as many as the
+    shuffle has partitions), each range is accumulated on its own, and only the totals of the ranges are
+    accumulated in one task. Where the cuts fall does not change the result.
     """
-    points = [i / buckets for i in range(1, buckets)]
-    sketched = df.agg(F.percentile_approx(probability, points, 10 * buckets)).first()[0] or []
-    splits = [float("-inf"), *sorted({float(x) for x in sketched}), float("inf")]
+    count = ranges or int(staged.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     score = F.col(probability).cast("double")
-    per_score = df.groupBy(score.alias("score")).agg(
+    per_score = staged.groupBy(score.alias("score")).agg(
         F.count_if(F.col(truth) == 1).cast("double").alias("pos"),
         F.count_if(F.col(truth) == 0).cast("double").alias("neg"),
     )
-    ranged = Bucketizer(splits=splits, inputCol="score", outputCol="bucket").transform(per_score.dropna(subset=["score"]))
+    ordered = per_score.dropna(subset=["score"]).repartitionByRange(count, "score")
+    ranged = ordered.withColumn("bucket", F.spark_partition_id())
     inside = Window.partitionBy("bucket").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     below = F.coalesce(F.sum("neg").over(inside), F.lit(0.0))
     per_bucket = (
@@ -84,7 +80,7 @@ def auc_roc(
         .groupBy("bucket")
         .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("pairs").alias("pairs"))
     )
-    # At most `buckets` rows from here on.
+    # One row per range from here on.
     before = over_few_rows().orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     lower = F.coalesce(F.sum("neg").over(before), F.lit(0.0))
     return per_bucket.withColumn("pairs", F.col("pairs") + F.col("pos") * lower).agg(
@@ -170,56 +166,49 @@ def business_impact(
 # --- clusters -----------------------------------------------------------------------------------
 
 
-def few_clusters(df: DataFrame, features: Sequence[str] | str, label: str) -> DataFrame:
-    """Size, centre and variances per cluster as a local table, after a check that the clusters are few."""
-    moments = cluster_moments(df, features, label)
-    rows = moments.limit(MAX_CLUSTERS + 1).collect()
-    if len(rows) > MAX_CLUSTERS:
-        raise ValueError(f"more than {MAX_CLUSTERS} clusters")
-    return df.sparkSession.createDataFrame(rows, moments.schema)
+def with_cluster(df: DataFrame, label: str) -> DataFrame:
+    """Rows without a label belong to no cluster and count in none of the metrics."""
+    return df.filter(F.col(label).isNotNull())
 
 
 def calinski_harabasz(df: DataFrame, features: Sequence[str] | str, label: str = "segment_id") -> DataFrame:
-    """Between- to within-cluster variance; one pass over the rows, the rest on one row per cluster."""
-    clusters = few_clusters(df, features, label).collect()
-    score = None
-    if clusters:
-        sizes = np.array([row["n"] for row in clusters])
-        centers = np.array([row["center"] for row in clusters])
-        variances = np.array([row["variances"] for row in clusters])
-        n, k = int(sizes.sum()), len(clusters)
-        mean = sizes @ centers / n
-        between = sizes @ ((centers - mean) ** 2).sum(axis=1)
-        within = sizes @ variances.sum(axis=1)
-        if k > 1 and within > 0:
-            score = float(between / (k - 1) / (within / (n - k)))
-    return df.sparkSession.createDataFrame([(score,)], "calinski_harabasz_score double")
+    """Between- to within-cluster variance, null for a single cluster; one pass over the rows, the rest on one row per cluster."""
+    clusters = cluster_moments(with_cluster(df, label), features, label)
+    parts = clusters.select("n", F.posexplode(F.arrays_zip("center", "variances")).alias("place", "part"))
+    cells = parts.select("place", "n", F.col("part.center").alias("center"), F.col("part.variances").alias("variance"))
+    means = cells.groupBy("place").agg(
+        (F.sum(F.col("n") * F.col("center")) / F.sum("n")).alias("mean"), F.sum("n").alias("rows"), F.count("*").alias("k")
+    )
+    # One row per feature.
+    gap = F.col("center") - F.col("mean")
+    total = cells.join(F.broadcast(means), "place").agg(
+        F.sum(F.col("n") * gap * gap).alias("between"), F.sum(F.col("n") * F.col("variance")).alias("within"),
+        F.max("rows").alias("rows"), F.max("k").alias("k"),
+    )
+    spread = F.try_divide(F.col("within"), F.col("rows") - F.col("k"))
+    score = F.try_divide(F.try_divide(F.col("between"), F.col("k") - 1), spread)
+    return total.select(F.when(F.col("k") > 1, score).alias("calinski_harabasz_score"))
 
 
 def davies_bouldin(df: DataFrame, features: Sequence[str] | str, label: str = "segment_id") -> DataFrame:
-    """Mean over clusters of the worst (spread + spread) / distance to another cluster.
+    """Mean over clusters of the worst (spread + spread) / distance to another cluster; null for a single cluster.
 
-    The centres are few, so they are broadcast to the second pass over the rows and the clusters are
-    compared with each other on the driver.
+    Two passes over the rows; the comparison of the clusters with each other is a join of the centres.
+    Clusters with the same centre are not compared.
     """
-    clusters = few_clusters(df, features, label)
-    spread = (
-        points_of(df, features)
-        .select(F.col(label).alias("label"), vector_to_array("point").alias("point"))
-        .join(F.broadcast(clusters.select("label", "center")), "label")
-        .groupBy("label")
-        .agg(F.avg(gap_between(F.col("point"), F.col("center"))).alias("spread"))
+    labelled = with_cluster(df, label)
+    centers = cluster_moments(labelled, features, label).select("label", "center")
+    points = points_of(labelled, features).select(F.col(label).alias("label"), vector_to_array("point").alias("point"))
+    spread = points.join(centers, "label").groupBy("label").agg(
+        F.avg(gap_between(F.col("point"), F.col("center"))).alias("spread"), F.any_value("center").alias("center")
     )
-    spreads = {row["label"]: row["spread"] for row in spread.collect()}
-    rows = clusters.collect()
-    points = np.array([row["center"] for row in rows])
-    radii = np.array([spreads[row["label"]] for row in rows])
-    worst = []
-    for i in range(len(rows)):
-        apart = np.sqrt(((points - points[i]) ** 2).sum(axis=1))
-        others = apart > 0
-        worst.append(((radii[others] + radii[i]) / apart[others]).max(initial=0.0))
-    score = float(np.mean(worst)) if worst else None
+    with staged(spread, "clusters") as one:
+        other = one.select(F.col("label").alias("other"), F.col("spread").alias("other_spread"), F.col("center").alias("other_center"))
+        apart = gap_between(F.col("center"), F.col("other_center"))
+        ratio = F.when(apart > 0, (F.col("spread") + F.col("other_spread")) / apart)
+        pairs = one.join(other, F.col("label") != F.col("other"))
+        worst = pairs.groupBy("label").agg(F.coalesce(F.max(ratio), F.lit(0.0)).alias("worst"))
+        score = worst.agg(F.avg("worst")).first()[0]
     return df.sparkSession.createDataFrame([(score,)], "davies_bouldin_score double")
 
 
@@ -227,7 +216,7 @@ def silhouette_squared(df: DataFrame, features: Sequence[str] | str, label: str
     """Mean silhouette with squared Euclidean distance: linear in the rows, where the plain form needs all pairs."""
     return ClusteringEvaluator(
         featuresCol="point", predictionCol=label, metricName="silhouette", distanceMeasure="squaredEuclidean"
-    ).evaluate(points_of(df, features))
+    ).evaluate(points_of(with_cluster(df, label), features))
 
 
 def cluster_count(df: DataFrame, label: str = "segment_id") -> DataFrame:

@@ -8,20 +8,18 @@ rows are scored with the edges and maxima of the training data.
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patronlens import schema
-from patronlens.functions import clip, cut, qcut_code, qcut_label, quantile_edges, safe_divide
-
-MAX_CATEGORIES = 1000
+from patronlens.functions import clip, cut, present, qcut_code, qcut_label, quantile_edges, safe_divide
 
 
 @dataclass(frozen=True)
 class FeatureStats:
-    """What is fitted: quantile edges, maxima and the category order."""
+    """What is fitted: quantile edges, maxima, the category order, and what fills missing features."""
 
     recency_edges: tuple[float, ...]
     frequency_edges: tuple[float, ...]
@@ -30,6 +28,7 @@ class FeatureStats:
     max_visits: float | None
     max_tickets: float | None
     account_types: tuple[str, ...]
+    fills: dict[str, float] = field(default_factory=dict)
 
     def to_json(self) -> str:
         return json.dumps(asdict(self))
@@ -46,24 +45,20 @@ class FeatureStats:
 
 
 def distinct_labels(df: DataFrame, column: str) -> list[str]:
-    """Alphabetical distinct values of a category column, which must be few."""
-    rows = df.select(column).filter(F.col(column).isNotNull()).distinct().limit(MAX_CATEGORIES + 1).collect()
-    if len(rows) > MAX_CATEGORIES:
-        raise ValueError(f"{column} has more than {MAX_CATEGORIES} values, too many for a category")
-    return sorted(row[0] for row in rows)
+    """Alphabetical distinct values of a category column."""
+    return sorted(row[0] for row in df.select(column).filter(F.col(column).isNotNull()).distinct().collect())
 
 
-def fit_features(customers: DataFrame, approximate: bool = False) -> FeatureStats:
-    """Fit on a staged customer table (it is read several times)."""
+def fit_features(customers: DataFrame) -> FeatureStats:
+    """Fit on a staged customer table (it is read several times); NaN counts as missing."""
     bins = {"recency": schema.RFM_QUANTILES, "frequency": schema.RFM_QUANTILES, "monetary": schema.RFM_QUANTILES}
     if schema.CLV_TARGET in customers.columns:
         bins[schema.CLV_TARGET] = len(schema.VALUE_TIERS)
     whole = customers.agg(
-        F.max("website_visits_per_month").cast("double").alias("max_visits"),
-        F.max("support_tickets").cast("double").alias("max_tickets"),
-        *[F.count(name).alias(name) for name in bins],
+        F.max(present("website_visits_per_month")).alias("max_visits"),
+        F.max(present("support_tickets")).alias("max_tickets"),
     ).first()
-    edges = quantile_edges(customers, bins, approximate, {name: whole[name] for name in bins})
+    edges = quantile_edges(customers, bins)
     return FeatureStats(
         recency_edges=tuple(edges["recency"]),
         frequency_edges=tuple(edges["frequency"]),
@@ -134,13 +129,12 @@ def add_value_features(df: DataFrame, stats: FeatureStats) -> DataFrame:
 def label_code(column: str, labels: tuple[str, ...], unseen: str = "error") -> Column:
     """Position of the label; an unseen one fails, or becomes ``len(labels)`` with ``unseen="keep"``."""
     c = F.col(column)
-    out = F.when(c.isNull(), F.lit(None).cast("int"))
-    for code, label in enumerate(labels):
-        out = out.when(c == label, code)
+    place = F.array_position(F.lit(list(labels)) if labels else F.array().cast("array<string>"), c)
     if unseen == "keep":
-        return out.otherwise(len(labels))
-    message = F.concat(F.lit(f"unseen label in {column}: "), c)
-    return out.otherwise(F.raise_error(message).cast("int"))
+        other = F.lit(len(labels))
+    else:
+        other = F.raise_error(F.concat(F.lit(f"unseen label in {column}: "), c)).cast("int")
+    return F.when(place > 0, (place - 1).cast("int")).when(c.isNotNull(), other)
 
 
 def encode_account_type(df: DataFrame, stats: FeatureStats | None, unseen: str = "error") -> DataFrame:
@@ -174,6 +168,21 @@ def feature_table(df: DataFrame, stats: FeatureStats, features: list[str] | None
     return ready.select("customer_id", *chosen, *labels)
 
 
+def fit_fills(table: DataFrame, names: list[str]) -> tuple[dict[str, float], dict[str, int]]:
+    """Mean of every feature (0 if it is always missing), and how many rows miss it, in one aggregate."""
+    row = table.agg(
+        *[F.coalesce(F.avg(present(n)), F.lit(0.0)).alias(f"m{i}") for i, n in enumerate(names)],
+        *[F.count_if(present(n).isNull()).alias(f"c{i}") for i, n in enumerate(names)],
+    ).first()
+    return dict(zip(names, row[: len(names)])), dict(zip(names, row[len(names) :]))
+
+
+def fill_features(df: DataFrame, fills: dict[str, float]) -> DataFrame:
+    """Missing features (null and NaN) become their fitted value, so that a model loses no row."""
+    present_ones = {n: F.coalesce(present(n), F.lit(value)) for n, value in fills.items() if n in df.columns}
+    return df.withColumns(present_ones) if present_ones else df
+
+
 @dataclass(frozen=True)
 class ScaleStats:
     """Mean and population deviation per feature."""

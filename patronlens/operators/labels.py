@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patronlens import schema
-from patronlens.functions import cut, exact_quantiles, qcut_label, quantile_edges
+from patronlens.functions import cut, exact_quantiles, present, qcut_label, quantile_edges
 from patronlens.functions.windows import over_few_rows
 from patronlens.operators.moments import cluster_moments
 
@@ -37,7 +37,7 @@ def add_high_value_flag(
 ) -> DataFrame:
     """True at or above the percentile of the predictions."""
     threshold = percentile_threshold(staged, column, percentile)
-    return staged.withColumn("is_high_value", F.col(column) >= F.lit(threshold).cast("double"))
+    return staged.withColumn("is_high_value", present(column) >= F.lit(threshold).cast("double"))
 
 
 def clv_distribution(staged: DataFrame, column: str = "predicted_clv") -> DataFrame:
@@ -152,11 +152,11 @@ def recommended_actions(segment_id: Column | str = "segment_id") -> Column:
 
 
 def segment_profiles(df: DataFrame, segments: int = len(schema.SEGMENT_NAMES)) -> DataFrame:
-    """Size and share in percent of every segment, empty ones included."""
-    sizes = df.groupBy("segment_id").agg(F.count("*").alias("size"))
+    """Size and share in percent of every segment, empty ones included; rows with an unknown or no id have lines of their own."""
+    listed = df.sparkSession.range(segments).select(F.col("id").cast("int").alias("segment_id"), F.lit(0).alias("one"))
+    counted = listed.unionByName(df.select(F.col("segment_id").cast("int").alias("segment_id"), F.lit(1).alias("one")))
+    filled = counted.groupBy("segment_id").agg(F.sum("one").alias("size"))
     total = F.sum("size").over(over_few_rows())
-    listed = df.sparkSession.range(segments).select(F.col("id").cast("int").alias("segment_id"))
-    filled = listed.join(sizes, "segment_id", "left").withColumn("size", F.coalesce("size", F.lit(0)))
     return filled.withColumn("percentage", F.coalesce(F.try_divide(F.col("size") * 100.0, total), F.lit(0.0)))
 
 

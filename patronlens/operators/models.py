@@ -23,12 +23,17 @@ from patronlens.functions import clip
 from patronlens.operators import evaluate, labels
 from patronlens.operators.moments import gap_between
 from patronlens.operators.split import mark_folds
-from patronlens.staging import ensure_checkpoint_dir, stage
+from patronlens.staging import ensure_checkpoint_dir, staged
 
 INFO = "model_name string, is_trained boolean, n_features int, feature_names array<string>, metrics map<string,double>"
 IMPORTANCE = "feature string, importance double"
 
 
+def assembled(features: list[str]) -> PipelineModel:
+    """Features to a vector as they are; trees need no scaling."""
+    return PipelineModel([VectorAssembler(inputCols=features, outputCol="vector")])
+
+
 def fit_scaling(df: DataFrame, features: list[str]) -> PipelineModel:
     """Features to a vector scaled by mean and population deviation.
 
@@ -41,11 +46,21 @@ def fit_scaling(df: DataFrame, features: list[str]) -> PipelineModel:
     rows = df.count()
     factor = (rows / (rows - 1)) ** 0.5 if rows > 1 else 1.0
     correction = ElementwiseProduct(
-        scalingVec=Vectors.dense([factor] * len(features)), inputCol="sample_scaled", outputCol="scaled"
+        scalingVec=Vectors.dense([factor] * len(features)), inputCol="sample_scaled", outputCol="vector"
     )
     return PipelineModel([assembler, scaler, correction])
 
 
+def summary_of_scores(scores: list[float], scoring: str) -> dict[str, float]:
+    mean = sum(scores) / len(scores)
+    return {
+        f"cv_{scoring}_mean": mean,
+        f"cv_{scoring}_std": (sum((s - mean) ** 2 for s in scores) / len(scores)) ** 0.5,
+        f"cv_{scoring}_min": min(scores),
+        f"cv_{scoring}_max": max(scores),
+    }
+
+
 class CustomerModel:
     """Fit, predict, evaluate, cross-validate, explain, save and load one model."""
 
@@ -53,6 +68,7 @@ class CustomerModel:
     label: str | None = None
     defaults: dict[str, Any] = {}
     prediction_columns: list[str] = []
+    default_score: str
 
     def __init__(self, **overrides):
         self.params = self.defaults | overrides
@@ -71,19 +87,22 @@ class CustomerModel:
         if not self.is_trained:
             raise ValueError(f"{self.name} must be trained first")
 
-    def _fit_last_stage(self, scaled: DataFrame) -> Transformer:
-        return self.build().fit(scaled)
+    def _fit_last_stage(self, ready: DataFrame) -> Transformer:
+        return self.build().fit(ready)
 
     def fit(self, train: DataFrame, features: list[str] | None = None) -> CustomerModel:
         """Train on a staged feature table."""
         ensure_checkpoint_dir(train.sparkSession)
         self.features = list(features or [f for f in schema.FEATURES_REF if f in train.columns])
-        scaling = fit_scaling(train, self.features)
+        vectors = self._vectors(train)
         kept = [c for c in (self.label,) if c]
-        scaled = scaling.transform(train).select("scaled", *kept)
-        self.pipeline = PipelineModel([*scaling.stages, self._fit_last_stage(scaled)])
+        ready = vectors.transform(train).select("vector", *kept)
+        self.pipeline = PipelineModel([*vectors.stages, self._fit_last_stage(ready)])
         return self
 
+    def _vectors(self, train: DataFrame) -> PipelineModel:
+        return assembled(self.features)
+
     def transform(self, df: DataFrame) -> DataFrame:
         """``df`` with the prediction columns added."""
         self._require_trained()
@@ -100,21 +119,28 @@ class CustomerModel:
         return self.evaluate(test)[scoring]
 
     def cross_validate(
-        self, df: DataFrame, features: list[str] | None = None, folds: int = 5, scoring: str = "r2"
+        self, df: DataFrame, features: list[str] | None = None, folds: int = 5, scoring: str | None = None
     ) -> dict[str, float]:
-        """Mean, population deviation, minimum and maximum of the score over folds by key."""
+        """Mean, population deviation, minimum and maximum of the score over folds by key.
+
+        Folds without a score (such as the area under the curve of one class) are left out.
+        """
+        scoring = scoring or self.default_score
+        found = [s for s in self.fold_scores(df, features, folds, scoring) if s is not None]
+        if not found:
+            return {f"cv_{scoring}_{part}": None for part in ("mean", "std", "min", "max")}
+        return summary_of_scores(found, scoring)
+
+    def fold_scores(
+        self, df: DataFrame, features: list[str] | None = None, folds: int = 5, scoring: str | None = None
+    ) -> list[float | None]:
+        """Score of a fresh model on each fold, trained on the others."""
         folded = mark_folds(df, folds)
         scores = []
         for fold in range(folds):
             model = type(self)(**self.params).fit(folded.filter(F.col("fold") != fold), features)
-            scores.append(model.score(folded.filter(F.col("fold") == fold), scoring))
-        mean = sum(scores) / folds
-        return {
-            f"cv_{scoring}_mean": mean,
-            f"cv_{scoring}_std": (sum((s - mean) ** 2 for s in scores) / folds) ** 0.5,
-            f"cv_{scoring}_min": min(scores),
-            f"cv_{scoring}_max": max(scores),
-        }
+            scores.append(model.score(folded.filter(F.col("fold") == fold), scoring or self.default_score))
+        return scores
 
     def importances(self) -> list[tuple[str, float]]:
         """Feature and importance, most important first."""
@@ -163,11 +189,12 @@ class ClvModel(CustomerModel):
 
     name = "CLV Predictor"
     label = schema.CLV_TARGET
+    default_score = "r2"
     defaults = schema.CLV_PARAMS
     prediction_columns = ["predicted_clv"]
 
     def build(self) -> GBTRegressor:
-        return GBTRegressor(featuresCol="scaled", labelCol=self.label, **self.params)
+        return GBTRegressor(featuresCol="vector", labelCol=self.label, **self.params)
 
     def _add_predictions(self, df: DataFrame) -> DataFrame:
         return self.pipeline.transform(df).withColumn("predicted_clv", clip("prediction", low=0.0))
@@ -183,11 +210,12 @@ class ChurnModel(CustomerModel):
 
     name = "Churn Predictor"
     label = schema.CHURN_TARGET
+    default_score = "auc_roc"
     defaults = schema.CHURN_PARAMS
     prediction_columns = ["churn_probability", "churn_prediction"]
 
     def build(self) -> RandomForestClassifier:
-        return RandomForestClassifier(featuresCol="scaled", labelCol=self.label, **self.params)
+        return RandomForestClassifier(featuresCol="vector", labelCol=self.label, **self.params)
 
     def _add_predictions(self, df: DataFrame) -> DataFrame:
         scored = self.pipeline.transform(df)
@@ -200,9 +228,9 @@ class ChurnModel(CustomerModel):
         return self.pipeline.transform(df).select(*df.columns, vector_to_array("probability").alias("probabilities"))
 
     def evaluate(self, test: DataFrame) -> dict[str, float]:
-        predicted = stage(self.transform(test).select(self.label, *self.prediction_columns), "churn-evaluation")
-        counts = evaluate.classification_metrics(predicted, self.label, "churn_prediction").first().asDict()
-        area = evaluate.auc_roc(predicted, self.label, "churn_probability").first().asDict()
+        with staged(self.transform(test).select(self.label, *self.prediction_columns), "churn-evaluation") as predicted:
+            counts = evaluate.classification_metrics(predicted, self.label, "churn_prediction").first().asDict()
+            area = evaluate.auc_roc(predicted, self.label, "churn_probability").first().asDict()
         self.metrics = {k: None if v is None else float(v) for k, v in (counts | area).items()}
         return self.metrics
 
@@ -219,6 +247,7 @@ class SegmentModel(CustomerModel):
     """
 
     name = "Customer Segmentation"
+    default_score = "silhouette_sq"
     defaults = schema.SEGMENT_PARAMS
     prediction_columns = ["segment_id", "segment_name", "distance_to_center"]
     order_feature = "monetary"
@@ -226,10 +255,13 @@ class SegmentModel(CustomerModel):
 
     def build(self) -> KMeans:
         params = {k: v for k, v in self.params.items() if k != "restarts"}
-        return KMeans(featuresCol="scaled", **params)
+        return KMeans(featuresCol="vector", **params)
+
+    def _vectors(self, train: DataFrame) -> PipelineModel:
+        return fit_scaling(train, self.features)
 
-    def _fit_last_stage(self, scaled: DataFrame) -> Transformer:
-        points = scaled.persist(StorageLevel.MEMORY_AND_DISK)
+    def _fit_last_stage(self, ready: DataFrame) -> Transformer:
+        points = ready.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             base = self.build()
             points.count()
@@ -261,23 +293,30 @@ class SegmentModel(CustomerModel):
         ids = F.array(*[F.lit(order.index(cluster)) for cluster in range(len(order))])
         centers = F.array(*[F.array(*[F.lit(x) for x in center]) for center in self.centers()])
         assigned = self.pipeline.transform(df).withColumn("segment_id", F.get(ids, F.col("prediction")))
-        gap = gap_between(vector_to_array("scaled"), F.get(centers, F.col("segment_id")))
+        gap = gap_between(vector_to_array("vector"), F.get(centers, F.col("segment_id")))
         return assigned.withColumns({"segment_name": labels.segment_name(), "distance_to_center": gap})
 
+    def center_distances(self, df: DataFrame) -> DataFrame:
+        """``df`` with the segment id and ``center_distances``, the distance to every centre by segment id."""
+        self._require_trained()
+        gaps = [gap_between(vector_to_array("vector"), F.array(*[F.lit(x) for x in center])) for center in self.centers()]
+        distances = self._add_predictions(df).withColumn("center_distances", F.array(*gaps))
+        return distances.select(*df.columns, "segment_id", "center_distances")
+
     def assigned_points(self, df: DataFrame) -> DataFrame:
         """Segment id and the scaled vector, for quality metrics and profiles."""
-        return self._add_predictions(df).select("segment_id", "scaled")
+        return self._add_predictions(df).select("segment_id", F.col("vector").alias("scaled"))
 
     def evaluate(self, test: DataFrame) -> dict[str, float]:
         """Silhouette (squared distance), Calinski-Harabasz, Davies-Bouldin, number of segments."""
-        assigned = stage(self.assigned_points(test), "segment-evaluation")
-        clusters = evaluate.cluster_count(assigned).first()[0]
-        self.metrics = {
-            "silhouette_sq": evaluate.silhouette_squared(assigned, "scaled") if clusters > 1 else None,
-            "calinski_harabasz_score": evaluate.calinski_harabasz(assigned, "scaled").first()[0],
-            "davies_bouldin_score": evaluate.davies_bouldin(assigned, "scaled").first()[0],
-            "n_clusters": float(clusters),
-        }
+        with staged(self.assigned_points(test), "segment-evaluation") as assigned:
+            clusters = evaluate.cluster_count(assigned).first()[0]
+            self.metrics = {
+                "silhouette_sq": evaluate.silhouette_squared(assigned, "scaled") if clusters > 1 else None,
+                "calinski_harabasz_score": evaluate.calinski_harabasz(assigned, "scaled").first()[0],
+                "davies_bouldin_score": evaluate.davies_bouldin(assigned, "scaled").first()[0],
+                "n_clusters": float(clusters),
+            }
         return self.metrics
 
     def profiles(self, df: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Moments of feature columns per group and correlations, by the summaries of Spark ML."""
+"""Moments of feature columns per group, by the summaries of Spark ML, and correlations."""
 
 from __future__ import annotations
 
@@ -6,10 +6,15 @@ from collections.abc import Sequence
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.stat import Correlation, Summarizer
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from patronlens.operators.features import fit_scaler, scale_features
+
+# Sums in one aggregate; more of them would not fit the generated code.
+SUMS_AT_ONCE = 80
+
 
 def points_of(df: DataFrame, features: Sequence[str] | str) -> DataFrame:
     """``df`` with the features as vector column ``point``; a single name is a vector column already."""
@@ -50,14 +55,18 @@ def cluster_moments(df: DataFrame, features: Sequence[str] | str, label: str = "
 def correlation_matrix(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Pearson correlation of every pair of features, in long form; the matrix has features**2 cells.
 
-    A feature that does not vary has no correlation and gives null.
+    Rows that miss a feature are left out. A feature that does not vary has no correlation and gives null.
+    The products of the scaled features are summed by plain aggregates, ``SUMS_AT_ONCE`` pairs per pass.
     """
-    points = points_of(df, features).select("point")
-    matrix = Correlation.corr(points, "point").first()[0].toArray()
-    cells = [
-        (a, b, 1.0 if i == j else float(matrix[i, j]))
-        for i, a in enumerate(features)
-        for j, b in enumerate(features)
-    ]
-    table = df.sparkSession.createDataFrame(cells, "feature_a string, feature_b string, correlation double")
-    return table.withColumn("correlation", F.nanvl("correlation", F.lit(None).cast("double")))
+    names = list(features)
+    whole = df.select(*[F.col(n).cast("double").alias(n) for n in names]).dropna()
+    stats = fit_scaler(whole, names)
+    scaled = scale_features(whole, stats)
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[:i]]
+    found: dict[tuple[str, str], float | None] = {}
+    for start in range(0, len(pairs), SUMS_AT_ONCE):
+        some = pairs[start : start + SUMS_AT_ONCE]
+        row = scaled.agg(*[F.avg(F.col(a) * F.col(b)).alias(f"p{i}") for i, (a, b) in enumerate(some)]).first()
+        found.update({pair: value if all(stats.deviations[x] for x in pair) else None for pair, value in zip(some, row)})
+    cells = [(a, b, 1.0 if a == b else found.get((a, b), found.get((b, a)))) for a in names for b in names]
+    return df.sparkSession.createDataFrame(cells, "feature_a string, feature_b string, correlation double")

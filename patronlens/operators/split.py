@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from patronlens.functions import order_statistics
-from patronlens.operators.features import distinct_labels
 
 
 def _hex(key: Column | str, start: int, length: int) -> Column:
@@ -27,8 +25,34 @@ def hash_order(key: Column | str = "customer_id") -> Column:
 def mark_hash_split(
     df: DataFrame, test_percent: int = 20, key: str = "customer_id", flag: str = "is_test"
 ) -> DataFrame:
-    """Add ``flag``, true for about ``test_percent`` of the keys."""
-    return df.withColumn(flag, hash_percent(key) < test_percent)
+    """Add ``flag``, true for about ``test_percent`` of the keys; rows without a key are for training."""
+    return df.withColumn(flag, F.coalesce(hash_percent(key) < test_percent, F.lit(False)))
+
+
+#: Bits of a place that one round leaves open, from the widest cells to single places.
+ROUNDS = (40, 29, 18, 7, 0)
+
+
+def _last_places(keyed: DataFrame, test_percent: int) -> DataFrame:
+    """``stratum, last``: the place of the last row of each stratum that belongs to the test part, null for none.
+
+    Every round counts the rows of a stratum in cells of the hash order and goes on in the cell that holds the
+    wanted row; a round sees some thousand cells per stratum and never the rows of one in one task.
+    """
+    wanted = F.floor((F.count("*") * test_percent + 50) / 100)
+    strata = keyed.groupBy("stratum").agg(wanted.alias("wanted"))
+    inside = keyed
+    for bits in ROUNDS:
+        cells = inside.groupBy("stratum", F.floor(F.col("place") / F.lit(2**bits)).alias("cell")).agg(F.count("*").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("stratum").orderBy("cell"))
+        summed = cells.withColumn("upto", upto).join(strata, "stratum")
+        hit = summed.where((F.col("upto") >= F.col("wanted")) & (F.col("upto") - F.col("n") < F.col("wanted")))
+        found = hit.select("stratum", F.col("cell").alias("found"), (F.col("wanted") - F.col("upto") + F.col("n")).alias("wanted"))
+        strata = found.select("stratum", "wanted")
+        if bits:
+            cell = F.floor(F.col("place") / F.lit(2**bits))
+            inside = keyed.join(found.select("stratum", "found"), "stratum").where(cell == F.col("found")).select("stratum", "place")
+    return found.select("stratum", F.col("found").alias("last"))
 
 
 def mark_stratified_split(
@@ -36,26 +60,20 @@ def mark_stratified_split(
 ) -> DataFrame:
     """Add ``flag`` with the share exact in each label: the first keys of each label in hash order.
 
-    The last place that still belongs to the test part is an order statistic per label, so no label
-    is sorted or gathered whole.
+    Any number of labels; rows without one are a stratum of their own. Rows without a key come last in the order, rows with
+    one key stay together.
     """
-    values = distinct_labels(staged.select(F.col(label).cast("string").alias(label)), label)
-    place = hash_order(key)
-    columns = {v: F.when(F.col(label).cast("string") == v, place) for v in values}
-    counts = staged.agg(*[F.count(columns[v]).alias(f"n{i}") for i, v in enumerate(values)]).first()
-    sizes = dict(zip(values, counts))
-    wanted = {v: (sizes[v] * test_percent + 50) // 100 for v in values}
-    last = order_statistics(staged, columns, {v: [n - 1] for v, n in wanted.items() if n}, sizes)
-    test = F.lit(False)
-    for v, n in wanted.items():
-        if n:
-            test = test | ((F.col(label).cast("string") == v) & (place <= int(last[v, n - 1])))
-    return staged.withColumn(flag, test)
+    stratum = F.coalesce(F.concat(F.lit("="), F.col(label).cast("string")), F.lit(""))
+    place = F.coalesce(hash_order(key), F.lit(100 * 2**44))
+    keyed = staged.select(stratum.alias("stratum"), place.alias("place"))
+    last = _last_places(keyed, test_percent).withColumnRenamed("stratum", "_stratum").withColumnRenamed("last", "_last")
+    joined = staged.join(last, stratum == F.col("_stratum"), "left")
+    return joined.withColumn(flag, F.coalesce(place <= F.col("_last"), F.lit(False))).drop("_stratum", "_last")
 
 
 def mark_folds(df: DataFrame, folds: int = 5, key: str = "customer_id") -> DataFrame:
-    """Add ``fold``, 0..folds-1."""
-    return df.withColumn("fold", (_hex(key, 1, 8) % folds).cast("int"))
+    """Add ``fold``, 0..folds-1; rows without a key are in fold 0."""
+    return df.withColumn("fold", F.coalesce((_hex(key, 1, 8) % folds).cast("int"), F.lit(0)))
 
 
 def train_part(df: DataFrame, flag: str = "is_test") -> DataFrame:

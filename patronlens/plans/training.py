@@ -3,23 +3,24 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from collections.abc import Sequence
+from dataclasses import dataclass, field, replace
 from multiprocessing.pool import ThreadPool
 from typing import Any
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from patronlens import schema
 from patronlens.operators import evaluate
 from patronlens.operators.clean import clean_customers
-from patronlens.operators.features import FeatureStats, feature_table, fit_features
+from patronlens.operators.features import FeatureStats, feature_table, fill_features, fit_features, fit_fills, listed_columns
 from patronlens.operators.models import ChurnModel, ClvModel, SegmentModel
 from patronlens.operators.split import mark_hash_split, mark_stratified_split, test_part, train_part
 from patronlens.plans.scoring import ModelSet
 from patronlens.sources.sinks import write_report
-from patronlens.staging import stage
+from patronlens.staging import drop_path, stage, staged
 
 
 @dataclass(frozen=True)
@@ -27,13 +28,20 @@ class TrainingData:
     """Fitted statistics and the feature tables.
 
     ``features`` is what segments are fitted on; ``split`` adds the flags ``clv_test`` and ``churn_test``
-    of the rows held out from the two supervised models.
+    of the rows held out from the two supervised models. ``filled`` counts the rows that missed a feature.
     """
 
     stats: FeatureStats
     names: list[str]
     features: DataFrame
     split: DataFrame
+    filled: dict[str, int] = field(default_factory=dict)
+
+    def drop(self) -> None:
+        """Delete the staged tables; the fitted statistics stay."""
+        spark = self.features.sparkSession
+        for path in {f.rpartition("/")[0] for f in (*self.features.inputFiles(), *self.split.inputFiles())}:
+            drop_path(spark, path)
 
 
 @dataclass(frozen=True)
@@ -67,19 +75,28 @@ def together(spark: SparkSession, *steps) -> list:
         return pool.map(lambda step: step(), [inheritable_thread_target(spark)(step) for step in steps], chunksize=1)
 
 
-def prepare(customers: DataFrame, features: list[str] | None = None, clean_first: bool = True) -> TrainingData:
-    """Clean, fit the features and mark the held-out rows.
+def prepare(
+    customers: DataFrame, features: list[str] | None = None, clean_first: bool = True, order_by: Sequence[str] = ()
+) -> TrainingData:
+    """Clean, fit the features, fill what they miss and mark the held-out rows.
 
     ``clean_first=False`` computes the features on the raw rows and cleans afterwards, the order in
     which the lifetime value inside the features is not capped; segments then see uncleaned rows.
+    ``order_by`` says which of several rows of a customer stays.
     """
     names = features or schema.FEATURES_REF
-    base = stage(clean_customers(customers) if clean_first else customers, "customers")
-    stats = fit_features(base)
-    table = stage(feature_table(base, stats, names), "features")
-    modelling = table if clean_first else stage(clean_customers(table), "clean-features")
-    split = mark_stratified_split(modelling, schema.CHURN_TARGET, flag="churn_test")
-    return TrainingData(stats, names, table, mark_hash_split(split, flag="clv_test"))
+    spark = customers.sparkSession
+    base = clean_customers(customers, order_by) if clean_first else stage(customers, "customers")
+    fitted = fit_features(base)
+    with staged(feature_table(base, fitted, names), "raw-features") as raw:
+        fills, filled = fit_fills(raw, listed_columns(raw, names))
+        stats = replace(fitted, fills=fills)
+        table = stage(fill_features(raw, fills), "features")
+    for path in {f.rpartition("/")[0] for f in base.inputFiles()}:
+        drop_path(spark, path)
+    modelling = table if clean_first else clean_customers(table)
+    marked = mark_hash_split(mark_stratified_split(modelling, schema.CHURN_TARGET, flag="churn_test"), flag="clv_test")
+    return TrainingData(stats, names, table, stage(marked, "split"), filled)
 
 
 def fit_models(
@@ -99,7 +116,7 @@ def fit_models(
     )
 
 
-def held_out_impact(data: TrainingData, models: ModelSet) -> DataFrame:
+def held_out_impact(data: TrainingData, models: ModelSet) -> Row:
     """Business metrics over the customers that neither model saw, truth and prediction from the same row."""
     unseen = data.split.filter("clv_test AND churn_test")
     predicted = models.churn.transform(models.clv.transform(unseen)).select(
@@ -108,7 +125,8 @@ def held_out_impact(data: TrainingData, models: ModelSet) -> DataFrame:
         "predicted_clv",
         "churn_prediction",
     )
-    return evaluate.business_impact(stage(predicted, "impact"))
+    with staged(predicted, "impact") as table:
+        return evaluate.business_impact(table).first()
 
 
 def evaluate_models(data: TrainingData, models: ModelSet) -> dict[str, Any]:
@@ -120,7 +138,7 @@ def evaluate_models(data: TrainingData, models: ModelSet) -> dict[str, Any]:
         lambda: models.churn.evaluate(test_part(data.split, "churn_test")),
         lambda: models.segments.evaluate(data.features),
         lambda: models.segments.profiles(data.features).drop("center").orderBy("segment_id").collect(),
-        lambda: held_out_impact(data, models).first(),
+        lambda: held_out_impact(data, models),
     )
     importance = [{"feature": name, "importance": value} for name, value in models.clv.importances()[:10]]
     factors = [{"churn_factor": name, "importance_score": value} for name, value in models.churn.importances()[:5]]
@@ -129,6 +147,7 @@ def evaluate_models(data: TrainingData, models: ModelSet) -> dict[str, Any]:
         "churn_model": {"metrics": churn, "churn_factors": factors},
         "segmentation_model": {"metrics": segments, "segment_profiles": [row.asDict() for row in profiles]},
         "business_impact": impact.asDict(),
+        "filled_values": data.filled,
     }
 
 
@@ -139,8 +158,9 @@ def train(
     clv: dict[str, Any] | None = None,
     churn: dict[str, Any] | None = None,
     segments: dict[str, Any] | None = None,
+    order_by: Sequence[str] = (),
 ) -> TrainingRun:
-    """The whole run on a customer table."""
-    data = prepare(customers, features, clean_first)
+    """The whole run on a customer table; ``run.data.drop()`` deletes the tables it leaves staged."""
+    data = prepare(customers, features, clean_first, order_by)
     models = fit_models(data, clv, churn, segments)
     return TrainingRun(data, models, evaluate_models(data, models))

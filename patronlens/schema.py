@@ -58,7 +58,7 @@ SOURCE_TABLES = {
     ),
 }
 
-# What a scoring request carries, besides an optional customer_id.
+# What a scoring request carries, besides an optional customer_id.
 SCORING_FIELDS = [
     "age",
     "account_type",
@@ -79,10 +79,23 @@ SCORING = T.StructType(
     + [T.StructField(name, CUSTOMER[name].dataType) for name in SCORING_FIELDS]
 )
 
+# Text of a record that could not be read as declared; such records go to quarantine with it.
+UNREAD = "unread"
+SCORING_TEXT = T.StructType([*SCORING.fields, T.StructField(UNREAD, T.StringType())])
+
+# A scored record: three nested answers, or the record and the rules it breaks.
+SCORED = (
+    "customer_id string, "
+    "clv struct<customer_lifetime_value:double,clv_segment:string,confidence:string>, "
+    "churn struct<churn_probability:double,churn_prediction:int,risk_category:string,top_risk_factors:array<string>>, "
+    "segment struct<segment_id:int,segment_name:string,distance_to_center:double,recommended_actions:array<string>>, "
+    f"record {SCORING_TEXT.simpleString()}, violations array<string>, outcome string"
+)
+
 CLV_TARGET = "customer_lifetime_value"
 CHURN_TARGET = "churned"
 
-# Model features in the order the vectors use.
+# Model features in the order the vectors use.
 FEATURES_REF = [
     "age",
     "account_type",

@@ -28,8 +28,8 @@ def cluster_settings(input_bytes: int, total_cores: int) -> dict[str, str]:
     }
 
 
-def local_session(cores: int | str = "*", app: str = "patronlens") -> SparkSession:
-    """One-machine session for tests and the bench; a cluster brings its own."""
+def local_session(scratch: str, cores: int | str = "*", app: str = "patronlens") -> SparkSession:
+    """One-machine session for tests and the bench, staging in ``scratch``; a cluster brings its own."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -37,6 +37,7 @@ def local_session(cores: int | str = "*", app: str = "patronlens") -> SparkSessi
         .config("spark.driver.memory", "12g")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.checkpoint.dir", scratch)
     )
     for key, value in COMMON_SETTINGS.items():
         builder = builder.config(key, value)

@@ -31,8 +31,12 @@ def read_customers_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_records_json(spark: SparkSession, path: str) -> DataFrame:
-    """Scoring records, one JSON object per line; a missing field is null and fails validation later."""
-    return spark.read.schema(schema.SCORING).json(path)
+    """Scoring records, one JSON object per line; a missing field is null and fails validation later.
+
+    A line that is no JSON object, or has a value of another type, keeps its text in ``schema.UNREAD``: one bad
+    record of a batch is put aside, while a customer table with a bad line is not read at all.
+    """
+    return spark.read.schema(schema.SCORING_TEXT).option("columnNameOfCorruptRecord", schema.UNREAD).json(path)
 
 
 def records_table(

@@ -6,16 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from patronlens import schema
-from patronlens.operators.clean import mark_violations, quarantined_records, valid_records
-from patronlens.plans.scoring import ModelSet, score_records
+from patronlens.plans.scoring import ModelSet, score_marked, write_scored
 
 
 def read_record_stream(
     spark: SparkSession, path: str, file_format: str = "json", max_files_per_trigger: int = 1000
 ) -> DataFrame:
     """New record files as they arrive."""
-    reader = spark.readStream.schema(schema.SCORING).option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.format(file_format).load(path)
+    reader = spark.readStream.schema(schema.SCORING_TEXT).option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.option("columnNameOfCorruptRecord", schema.UNREAD).format(file_format).load(path)
 
 
 def score_stream(records: DataFrame, models: ModelSet, out: str, checkpoint: str) -> StreamingQuery:
@@ -25,10 +24,7 @@ def score_stream(records: DataFrame, models: ModelSet, out: str, checkpoint: str
     """
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        marked = mark_violations(batch)
-        answers = score_records(valid_records(marked), models)
-        answers.write.mode("overwrite").parquet(f"{out}/predictions/batch_id={batch_id}")
-        quarantined_records(marked).write.mode("overwrite").parquet(f"{out}/quarantine/batch_id={batch_id}")
+        write_scored(score_marked(batch, models), f"{out}/batch_id={batch_id}")
 
     return (
         records.writeStream.foreachBatch(write_batch)

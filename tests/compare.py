@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -67,7 +68,7 @@ def main() -> None:
 
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     wanted = sys.argv[2:]
-    spark, con, sql = local_session(8), connect(folder), oracle_sql()
+    spark, con, sql = local_session(tempfile.mkdtemp(prefix="compare-"), 8), connect(folder), oracle_sql()
     for name, query in queries().items():
         if wanted and name not in wanted:
             continue

@@ -6,22 +6,27 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-SMALL = "/root/testdata/sf0.001"
+FOLDER = "/root/testdata/sf0.001"
+SMALL = {
+    "clv": {"maxIter": 10, "maxDepth": 4, "stepSize": 0.3},
+    "churn": {"numTrees": 20, "maxDepth": 6},
+    "segments": {"restarts": 3, "maxIter": 50},
+}
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from patronlens.session import local_session
     from patronlens.staging import drop_staged
 
-    session = local_session(8)
+    session = local_session(str(tmp_path_factory.mktemp("staged")), 8)
     yield session
     drop_staged(session)
 
 
 @pytest.fixture(scope="session")
 def folder():
-    return SMALL
+    return FOLDER
 
 
 @pytest.fixture(scope="session")
@@ -33,6 +38,8 @@ def customers(spark, folder):
 
 @pytest.fixture(scope="session")
 def training(spark, folder):
-    from checks.queries import small_training
+    """A run with small models; the registered queries train the full ones."""
+    from checks.frames import profile
+    from patronlens.plans.training import train
 
-    return small_training(spark, folder)
+    return train(profile(spark, folder), **SMALL)

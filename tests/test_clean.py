@@ -1,24 +1,23 @@
 from pyspark.sql import functions as F
 
 from patronlens.operators import clean
-from patronlens.sources.tables import records_table
+from patronlens.sources.tables import read_records_json, records_table
 
-# The sample scoring record and an invalid one.
 RECORD = {
-    "age": 35,
-    "account_type": "Premium",
-    "tenure_days": 730,
-    "recency": 15,
-    "frequency": 2.5,
-    "monetary": 5000.0,
-    "email_open_rate": 75.0,
-    "website_visits_per_month": 12.0,
-    "support_tickets": 1,
-    "avg_purchase_amount": 150.0,
-    "purchase_frequency": 30.0,
-    "days_since_last_purchase": 15,
+    "age": 51,
+    "account_type": "Basic",
+    "tenure_days": 411,
+    "recency": 98,
+    "frequency": 0.73,
+    "monetary": 1544.32,
+    "email_open_rate": 41.5,
+    "website_visits_per_month": 67.0,
+    "support_tickets": 21,
+    "avg_purchase_amount": 154.43,
+    "purchase_frequency": 8.76,
+    "days_since_last_purchase": 98,
 }
-INVALID = {"age": -5, "account_type": "Premium"}
+INVALID = {"age": 12, "account_type": "Enterprise"}
 
 
 def test_duplicates_keep_the_first_by_order(spark):
@@ -65,7 +64,7 @@ def test_valid_and_invalid_records(spark):
     marked = clean.mark_violations(records_table(spark, [RECORD, INVALID, RECORD | {"account_type": "Gold"}]))
     bad = {r["account_type"]: r["violations"] for r in clean.quarantined_records(marked).collect()}
     assert clean.valid_records(marked).count() == 1
-    assert len(bad["Premium"]) == 11 and "age" in bad["Premium"]
+    assert len(bad["Enterprise"]) == 11 and "age" in bad["Enterprise"]
     assert bad["Gold"] == ["account_type"]
 
 
@@ -78,3 +77,15 @@ def test_range_limits_are_inclusive(spark):
 def test_not_a_number_is_a_violation(spark):
     marked = clean.mark_violations(records_table(spark, [RECORD | {"monetary": float("nan")}]))
     assert marked.first()["violations"] == ["monetary"]
+
+
+def test_lines_that_are_no_record_are_kept(spark, tmp_path):
+    import json
+
+    lines = [json.dumps(RECORD), '{"age": ', json.dumps(RECORD | {"age": "x"}), json.dumps(RECORD | {"age": 35.5}), "no record"]
+    (tmp_path / "records.json").write_text("\n".join(lines))
+    marked = clean.mark_violations(read_records_json(spark, str(tmp_path)))
+    assert marked.count() == 5 and clean.valid_records(marked).count() == 1
+    kept = sorted(r["unread"] for r in clean.quarantined_records(marked).collect())
+    assert kept == sorted(lines[1:])
+    assert all("unread" in r["violations"] for r in clean.quarantined_records(marked).collect())

@@ -16,12 +16,12 @@ def brute_auc(y, p):
 
 
 @pytest.mark.parametrize("digits", [1, 2, 6])
-@pytest.mark.parametrize("buckets", [2, 16, 256])
-def test_auc_equals_brute_force(spark, digits, buckets):
+@pytest.mark.parametrize("ranges", [1, 3, 16])
+def test_auc_equals_brute_force(spark, digits, ranges):
     rng = np.random.default_rng(digits)
     y = rng.integers(0, 2, 400)
     p = np.clip(rng.normal(0.4 + 0.2 * y, 0.3), 0, 1).round(digits)
-    got = evaluate.auc_roc(scores(spark, y, p), buckets=buckets).first()[0]
+    got = evaluate.auc_roc(scores(spark, y, p), ranges=ranges).first()[0]
     assert got == pytest.approx(brute_auc(y, p), abs=1e-12)
 
 
@@ -94,3 +94,36 @@ def test_constant_feature_has_no_correlation(spark):
     got = {(r[0], r[1]): r[2] for r in correlation_matrix(df, ["x", "c", "y"]).collect()}
     assert got["x", "c"] is None and got["c", "c"] == 1.0
     assert got["x", "y"] == pytest.approx(np.corrcoef([1, 2, 3], [2, 4, 6.5])[0, 1])
+
+
+def test_rows_without_a_label_are_in_no_cluster(clusters, spark):
+    labels, x, df = clusters
+    with_nulls = df.unionByName(spark.createDataFrame([(None, 50.0, 50.0)] * 5, "segment_id int, a double, b double"))
+    for metric in (evaluate.calinski_harabasz, evaluate.davies_bouldin):
+        assert metric(with_nulls, ["a", "b"]).first()[0] == pytest.approx(metric(df, ["a", "b"]).first()[0])
+    assert evaluate.silhouette_squared(with_nulls, ["a", "b"]) == pytest.approx(evaluate.silhouette_squared(df, ["a", "b"]))
+    assert evaluate.cluster_count(with_nulls).first()[0] == 3
+
+
+def test_one_cluster_has_no_score(spark):
+    df = spark.createDataFrame([(0, 1.0), (0, 2.0)], "segment_id int, a double")
+    assert evaluate.calinski_harabasz(df, ["a"]).first()[0] is None
+    assert evaluate.davies_bouldin(df, ["a"]).first()[0] is None
+
+
+def test_many_clusters(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 2))
+    rows = [(i % 150, float(a), float(b)) for i, (a, b) in enumerate(x)]
+    df = spark.createDataFrame(rows, "segment_id int, a double, b double")
+    member = np.arange(600) % 150
+    centers = np.array([x[member == c].mean(axis=0) for c in range(150)])
+    spread = np.array([np.linalg.norm(x[member == c] - centers[c], axis=1).mean() for c in range(150)])
+    gaps = np.linalg.norm(centers[:, None] - centers, axis=2) + np.eye(150) * 1e9
+    assert evaluate.davies_bouldin(df, ["a", "b"]).first()[0] == pytest.approx(((spread[:, None] + spread) / gaps).max(axis=1).mean())
+
+
+def test_missing_predictions_leave_all_terms(spark):
+    whole = [(1.0, 1.5), (2.0, 2.0), (4.0, 3.0)]
+    df = spark.createDataFrame([*whole, (100.0, None), (None, 3.0)], "y_true double, y_pred double")
+    assert evaluate.regression_metrics(df).first() == evaluate.regression_metrics(spark.createDataFrame(whole, "y_true double, y_pred double")).first()

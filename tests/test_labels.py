@@ -56,6 +56,12 @@ def test_empty_segments_are_listed(spark):
     assert rows[1]["percentage"] == pytest.approx(200 / 3)
 
 
+def test_unknown_segments_are_counted(spark):
+    df = spark.createDataFrame([(1,), (None,), (9,), (9,)], "segment_id int")
+    rows = {r["segment_id"]: (r["size"], r["percentage"]) for r in labels.segment_profiles(df).collect()}
+    assert rows == {0: (0, 0.0), 1: (1, 25.0), 2: (0, 0.0), 3: (0, 0.0), 4: (0, 0.0), 9: (2, 50.0), None: (1, 25.0)}
+
+
 def test_nearest_center_and_tie(spark):
     df = spark.createDataFrame([(0, 0.0), (1, 1.0), (2, 2.1)], "i int, x double")
     out = labels.assign_segment(df, [F.col("x")], [[0.0], [2.0]]).orderBy("i").collect()

@@ -2,14 +2,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks.frames import dirty_profile
-from checks.queries import SMALL_CLV
 from patronlens import schema
 from patronlens.operators.models import ChurnModel, ClvModel, SegmentModel
 from patronlens.operators.split import mark_hash_split, test_part as held_out
-from patronlens.plans.scoring import ModelSet, score_batch, score_records
+from patronlens.plans.scoring import ModelSet, answers, quarantine, score_batch, score_records
 from patronlens.plans.training import load_stats, train
 from patronlens.sources.tables import records_table
-from patronlens.staging import stage
+from patronlens.staging import application_folder, stage
 from patronlens.streaming.scoring import read_record_stream, score_stream
 from test_clean import RECORD
 
@@ -43,10 +42,10 @@ def test_segment_is_the_nearest_center(training):
     import numpy as np
 
     model = training.models.segments
-    points = model._add_predictions(training.data.features).select("segment_id", "scaled", "distance_to_center").collect()
+    points = model._add_predictions(training.data.features).select("segment_id", "vector", "distance_to_center").collect()
     centers = np.array(model.centers())
     for row in points:
-        gaps = np.linalg.norm(centers - row["scaled"].toArray(), axis=1)
+        gaps = np.linalg.norm(centers - row["vector"].toArray(), axis=1)
         assert gaps.argmin() == row["segment_id"]
         assert gaps.min() == pytest.approx(row["distance_to_center"])
 
@@ -62,7 +61,7 @@ def test_scaled_features_have_population_deviation_one(training):
 
 def test_report(training, spark):
     report = training.report_table(spark).first().asDict(recursive=True)
-    assert set(report) == {"clv_model", "churn_model", "segmentation_model", "business_impact"}
+    assert set(report) == {"clv_model", "churn_model", "segmentation_model", "business_impact", "filled_values"}
     assert len(report["clv_model"]["feature_importance"]) == 10
     assert len(report["churn_model"]["churn_factors"]) == 5
     assert len(report["segmentation_model"]["segment_profiles"]) == 5
@@ -110,7 +109,7 @@ def test_missing_or_wrong_model(spark, training, tmp_path):
 
 
 def test_cross_validation(training):
-    got = ClvModel(**SMALL_CLV | {"maxIter": 3}).cross_validate(training.data.features, folds=3)
+    got = ClvModel(maxIter=3, maxDepth=4, stepSize=0.3).cross_validate(training.data.features, folds=3)
     assert got["cv_r2_min"] <= got["cv_r2_mean"] <= got["cv_r2_max"]
     assert set(got) == {"cv_r2_mean", "cv_r2_std", "cv_r2_min", "cv_r2_max"}
 
@@ -136,10 +135,13 @@ def test_stream_equals_batch_and_goes_on_after_a_stop(spark, folder, training, t
         query = score_stream(read_record_stream(spark, incoming, max_files_per_trigger=3), training.models, out, state)
         query.awaitTermination()
     key = str  # two records of a customer may come in either order
-    streamed = sorted(spark.read.parquet(f"{out}/predictions").drop("batch_id").collect(), key=key)
-    expected = sorted(spark.read.parquet(str(tmp_path / "batch/predictions")).collect(), key=key)
+    streamed = sorted(answers(spark, out).collect(), key=key)
+    expected = sorted(answers(spark, str(tmp_path / "batch")).collect(), key=key)
     assert streamed == expected
-    assert spark.read.parquet(f"{out}/quarantine").count() == batch["rejected_records"]
+    assert quarantine(spark, out).count() == batch["rejected_records"]
+    assert sorted(map(str, quarantine(spark, out).drop("unread").collect())) == sorted(
+        map(str, quarantine(spark, str(tmp_path / "batch")).drop("unread").collect())
+    )
 
 
 def test_features_before_cleaning(spark, customers):
@@ -149,3 +151,64 @@ def test_features_before_cleaning(spark, customers):
     )
     assert run.models.clv.features == schema.FEATURES_SAFE
     assert run.report["segmentation_model"]["metrics"]["n_clusters"] >= 1
+
+
+TINY = {"clv": {"maxIter": 2, "maxDepth": 2}, "churn": {"numTrees": 3, "maxDepth": 3}, "segments": {"restarts": 1, "maxIter": 5}}
+
+
+def test_training_on_dirty_rows(spark, folder):
+    """Features that are missing are filled, and no row is lost."""
+    dirty = dirty_profile(spark, folder)
+    run = train(dirty, order_by=["copy"], **TINY)
+    customers = dirty.select("customer_id").distinct().count()
+    assert run.data.features.count() == customers == run.data.features.dropna(subset=run.data.names).count()
+    assert run.report["filled_values"]["purchase_velocity"] > 0
+
+
+@pytest.mark.parametrize("column", ["support_tickets", "website_visits_per_month", "frequency"])
+def test_training_without_variation(spark, customers, column):
+    same = customers.withColumn(column, F.lit(0).cast(customers.schema[column].dataType))
+    run = train(same, **TINY)
+    assert run.data.features.dropna(subset=run.data.names).count() == customers.count()
+
+
+def test_training_with_not_a_number(spark, customers):
+    holes = customers.withColumn("monetary", F.when(F.crc32("customer_id") % 7 == 0, float("nan")).otherwise(F.col("monetary")))
+    run = train(holes, clean_first=False, **TINY)
+    assert run.data.filled["monetary"] > 0
+    edges = run.data.stats.monetary_edges
+    assert list(edges) == sorted(edges)
+
+
+def test_cross_validation_of_every_model(training):
+    table = training.data.features
+    churn = ChurnModel(numTrees=3, maxDepth=3).cross_validate(table, folds=2)
+    segments = SegmentModel(restarts=1, maxIter=5).cross_validate(table, folds=2)
+    assert set(churn) == {f"cv_auc_roc_{p}" for p in ("mean", "std", "min", "max")}
+    assert set(segments) == {f"cv_silhouette_sq_{p}" for p in ("mean", "std", "min", "max")}
+
+
+def test_batch_reads_its_input_once(spark, folder, training, tmp_path):
+    records = stage(dirty_profile(spark, folder).select(*schema.SCORING.names), "records")
+    from patronlens.plans.scoring import score_marked
+
+    plan = score_marked(records, training.models)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan
+    summary = score_batch(records, training.models, str(tmp_path / "out")).first()
+    assert summary["total_customers"] == answers(spark, str(tmp_path / "out")).count()
+    assert summary["rejected_records"] == quarantine(spark, str(tmp_path / "out")).count()
+
+
+def test_staged_tables_go_when_they_are_read(spark, customers, tmp_path):
+    import os
+
+    def staged_now():
+        root = application_folder(spark).replace("file://", "")
+        return set(os.listdir(root)) if os.path.isdir(root) else set()
+
+    before = staged_now()
+    run = train(customers, **TINY)
+    assert {n.rpartition("-")[0] for n in staged_now() - before} <= {"features", "split"}
+    run.data.drop()
+    score_batch(customers.select(*schema.SCORING.names), run.models, str(tmp_path / "out"))
+    assert staged_now() == before
