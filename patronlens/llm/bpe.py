@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 LONG = 512
 CACHED_PIECES = 200_000
-CHUNK_CHARACTERS = 2_000_000
+CHUNK_CHARACTERS = 1_000_000
 NONE = np.int32(2**31 - 1)
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -88,7 +88,7 @@ class Codec:
         self.cut = regex.compile(pattern).findall
         self.pairs = PairTable(ranks)
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        self.tokens = {rank: token for token, rank in ranks.items()}
+        self.tokens = vocabulary(ranks)
         self._forget()
 
     def _forget(self) -> None:
@@ -196,20 +196,16 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         return self.encode_all([text])[0].tolist()
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
 
+def vocabulary(ranks: dict[bytes, int]) -> dict[int, bytes]:
+    return {rank: token for token, rank in ranks.items()}
 
-def _codec(shared, pattern: str) -> Codec:
-    """One codec per worker process and rank file, kept beside the shared ranks."""
-    held = shared.value
-    if "codec" not in held:
-        held["codec"] = Codec(held["ranks"], pattern)
-    return held["codec"]
 
+def _mapped(df: DataFrame, column: str, out: list[T.StructField], path: str, make, work) -> DataFrame:
+    """``df`` without ``column`` and with the columns ``out``, made by ``work(tool, values)``.
 
-def _mapped(df: DataFrame, column: str, out: list[T.StructField], path: str, pattern: str, work) -> DataFrame:
-    """``df`` without ``column`` and with the columns ``out``, made by ``work(codec, values)``."""
+    The tool, ``make(ranks)``, is made once per worker process and kept beside the shared ranks.
+    """
     shared = df.sparkSession.sparkContext.broadcast({"ranks": load_ranks(path)})
     rest = [f for f in df.schema.fields if f.name != column]
     source = df.select(F.col(column).alias("_value"), *[F.col(f.name).alias(f"_{i}") for i, f in enumerate(rest)])
@@ -217,9 +213,11 @@ def _mapped(df: DataFrame, column: str, out: list[T.StructField], path: str, pat
     made = [T.StructField(f"_made{i}", f.dataType) for i, f in enumerate(out)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared, pattern)
+        held = shared.value
+        if "tool" not in held:
+            held["tool"] = make(held.pop("ranks"))
         for batch in batches:
-            columns = work(codec, batch.column(0))
+            columns = work(held["tool"], batch.column(0))
             arrays = [*batch.columns[1:], *columns]
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in (*fields, *made)])
 
@@ -254,16 +252,16 @@ def encode(df: DataFrame, path: str, pattern: str, text_column: str = "text", id
         return [pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), pa.array(np.concatenate(flat)))]
 
     field = T.StructField(ids_column, T.ArrayType(T.IntegerType()))
-    return _mapped(df, text_column, [field], path, pattern, work)
+    return _mapped(df, text_column, [field], path, lambda ranks: Codec(ranks, pattern), work)
 
 
-def decode(df: DataFrame, path: str, pattern: str, ids_column: str = "ids", bytes_column: str = "decoded") -> DataFrame:
-    """``df`` with ``bytes_column``, the bytes that ``ids_column`` stands for, beside the ids."""
+def decode(df: DataFrame, path: str, ids_column: str = "ids", bytes_column: str = "decoded") -> DataFrame:
+    """``df`` with ``bytes_column``, the bytes that ``ids_column`` stands for, beside the ids; null ids are none."""
 
-    def work(codec: Codec, rows: pa.Array) -> list[pa.Array]:
+    def work(tokens: dict[int, bytes], rows: pa.Array) -> list[pa.Array]:
         ids, ends = rows.values.to_numpy(zero_copy_only=False), rows.offsets.to_numpy()
-        return [pa.array([codec.decode(ids[a:b].tolist()) for a, b in zip(ends, ends[1:])], pa.binary())]
+        return [pa.array([b"".join(map(tokens.__getitem__, ids[a:b].tolist())) for a, b in zip(ends, ends[1:])], pa.binary())]
 
     field = T.StructField(bytes_column, T.BinaryType())
     copied = df.withColumn("_ids", F.col(ids_column))
-    return _mapped(copied, "_ids", [field], path, pattern, work)
+    return _mapped(copied, "_ids", [field], path, vocabulary, work)
