@@ -36,9 +36,11 @@ BINS = 1000
 WINDOW = 5
 # Characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks"]
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks", "n_bare"]
 UPPER = bytes(range(65, 91))
 MARKS = b"!?"
+# Words of one ASCII character that is no letter and no digit.
+BARE = {bytes([b]) for b in range(33, 127) if not bytes([b]).isalnum()}
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -65,7 +67,7 @@ def counts_of(data: bytes, code_points: int) -> tuple[int, ...]:
 
     return (
         len(words), code_points - blanks, held(SYMBOLS), len(lines) - len(set(lines)), repeated_words(words),
-        len(lines), held(UPPER), held(MARKS),
+        len(lines), held(UPPER), held(MARKS), sum(map(BARE.__contains__, words)),
     )
 
 
@@ -86,17 +88,17 @@ def rule_counts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
 
 def statistics() -> list[Column]:
-    """Rates that do not depend on the length of a text, and the logarithm of its length."""
+    """Rates that do not depend on the length of a text."""
     words = F.greatest(F.col("n_words"), F.lit(1))
     characters = F.greatest(F.col("word_chars"), F.lit(1))
     return [
-        F.log1p("n_words"),
         F.col("word_chars") / words,
         F.col("n_symbols") / words,
         F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
         F.col("n_repeat_words") / words,
         F.col("n_upper") / characters,
         F.col("n_marks") / words,
+        F.col("n_bare") / words,
     ]
 
 

@@ -55,7 +55,7 @@ toi ton ta tes vous votre vos
 du dich dir dein deine deinen euch euer ihr
 """
 # What stands for letters in words that are written to get around a lexicon.
-DISGUISE = bytes.maketrans(b"0134578@$!+|", b"oleastbasiti")
+DISGUISES = [bytes.maketrans(b"0134578@$!+|", letters) for letters in (b"oieastbasiti", b"oleastbasiti")]
 MIXED = re.compile(rb"[a-z\x80-\xff][0-9@$!*.\-_+|]+[a-z\x80-\xff]|^[0-9@$!*]+[a-z\x80-\xff]{2}")
 EDGES = bytes(b for b in range(33, 128) if not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122))
 UPPER = bytes(range(65, 91))
@@ -121,8 +121,8 @@ class Words:
         flags = WRITTEN * (word in self.insults) | LEARNED * (word in self.learned) | SECOND * (word in self.second)
         flags |= BEGINS * (len(found) > (word in self.learned))
         if MIXED.search(word):
-            plain = word.translate(DISGUISE, b"*.-_")
-            flags |= DISGUISED | HIDDEN * (plain in self.insults or plain in self.learned)
+            plain = {word.translate(letters, b"*.-_") for letters in DISGUISES}
+            flags |= DISGUISED | HIDDEN * bool(plain & self.insults or plain & self.learned.keys())
         return flags, max(found, default=0.0)
 
     def places(self, tokens: list[bytes]) -> np.ndarray:
