@@ -64,8 +64,9 @@ def filter_urls(captures: DataFrame, entries: DataFrame, span_days: int = SPAN_D
     rows = captures.select("id", "url", "day").withColumn("row", F.monotonically_increasing_id())
     span = F.floor(F.datediff("day", F.lit("1970-01-01").cast("date")) / span_days)
     asked = rows.select("row", "day", F.explode(keys(F.col("url"))).alias("key")).where("day is not null").withColumn("span", span)
+    last_day = captures.agg(F.max("day")).scalar()
+    intervals = validity(entries).withColumn("last_day", last_day)
     horizon = F.floor(F.datediff("last_day", F.lit("1970-01-01").cast("date")) / span_days)
-    intervals = validity(entries).crossJoin(F.broadcast(captures.agg(F.max("day").alias("last_day"))))
     first = F.floor(F.datediff("valid_from", F.lit("1970-01-01").cast("date")) / span_days)
     end = F.floor((F.datediff("valid_to", F.lit("1970-01-01").cast("date")) - 1) / span_days)
     until = F.least(F.coalesce(end, horizon), horizon)
