@@ -710,9 +710,16 @@ def batch_scores(spark: SparkSession, folder: str) -> DataFrame:
     summary = score_batch(scoring_input(spark, folder), models, out)
     facts = answer_facts(answers(spark, out))
     good = F.col("clv_fits") & F.col("churn_fits") & F.col("risk_fits") & F.col("segment_fits")
-    answered = facts.agg(F.count("*").alias("answers"), F.count_if(good).alias("good_answers"))
-    put_aside = quarantine(spark, out).agg(F.count("*").alias("quarantined"), F.count(schema.UNREAD).alias("unread"))
-    return summary.select("total_customers", "rejected_records", (F.col("processing_time_seconds") > 0).alias("was_timed")).crossJoin(answered).crossJoin(put_aside)
+    put_aside = quarantine(spark, out)
+    return summary.select(
+        "total_customers",
+        "rejected_records",
+        (F.col("processing_time_seconds") > 0).alias("was_timed"),
+        facts.agg(F.count("*")).scalar().alias("answers"),
+        facts.agg(F.count_if(good)).scalar().alias("good_answers"),
+        put_aside.agg(F.count("*")).scalar().alias("quarantined"),
+        put_aside.agg(F.count(schema.UNREAD)).scalar().alias("unread"),
+    )
 
 
 def unread_records(spark: SparkSession, folder: str) -> DataFrame:
@@ -907,14 +914,17 @@ def rows_kept(spark: SparkSession, folder: str) -> DataFrame:
     stratified = split.mark_stratified_split(holes, "churned")
     profiles = labels.segment_profiles(holes)
 
-    def count(df: DataFrame, name: str) -> DataFrame:
-        return df.agg(F.count("*").alias(name))
-
-    return (
-        count(split.train_part(hashed), "hash_train").crossJoin(count(split.test_part(hashed), "hash_test"))
-        .crossJoin(count(split.train_part(stratified), "label_train")).crossJoin(count(split.test_part(stratified), "label_test"))
-        .crossJoin(profiles.agg(F.sum("size").alias("profiled"), F.count("*").alias("profiles"), F.round(F.sum("percentage"), 6).alias("percent")))
-    )
+    parts = {
+        "hash_train": split.train_part(hashed),
+        "hash_test": split.test_part(hashed),
+        "label_train": split.train_part(stratified),
+        "label_test": split.test_part(stratified),
+    }
+    sizes = [part.agg(F.count("*")).scalar().alias(name) for name, part in parts.items()]
+    totals = profiles.agg(
+        F.sum("size").alias("profiled"), F.count("*").alias("profiles"), F.round(F.sum("percentage"), 6).alias("percent")
+    )
+    return totals.select("*", *sizes)
 
 
 REGISTERED: list[Callable[[SparkSession, str], DataFrame]] = [

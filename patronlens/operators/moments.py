@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from patronlens.operators.features import fit_scaler, scale_features
 
-# Sums in one aggregate; more of them would not fit the generated code.
+# Sums in one aggregate; beyond 100 fields Spark generates no code for it.
 SUMS_AT_ONCE = 80
 
 
@@ -66,7 +66,9 @@ def correlation_matrix(df: DataFrame, features: Sequence[str]) -> DataFrame:
     found: dict[tuple[str, str], float | None] = {}
     for start in range(0, len(pairs), SUMS_AT_ONCE):
         some = pairs[start : start + SUMS_AT_ONCE]
-        row = scaled.agg(*[F.avg(F.col(a) * F.col(b)).alias(f"p{i}") for i, (a, b) in enumerate(some)]).first()
-        found.update({pair: value if all(stats.deviations[x] for x in pair) else None for pair, value in zip(some, row)})
+        sums = [F.sum(F.col(a) * F.col(b)).alias(f"p{i}") for i, (a, b) in enumerate(some)]
+        *values, rows = scaled.agg(*sums, F.count("*").alias("rows")).first()
+        for pair, value in zip(some, values):
+            found[pair] = value / rows if value is not None and all(stats.deviations[x] for x in pair) else None
     cells = [(a, b, 1.0 if a == b else found.get((a, b), found.get((b, a)))) for a in names for b in names]
     return df.sparkSession.createDataFrame(cells, "feature_a string, feature_b string, correlation double")

@@ -30,14 +30,14 @@ def mark_hash_split(
 
 
 #: Bits of a place that one round leaves open, from the widest cells to single places.
-ROUNDS = (40, 29, 18, 7, 0)
+ROUNDS = (36, 18, 0)
 
 
 def _last_places(keyed: DataFrame, test_percent: int) -> DataFrame:
     """``stratum, last``: the place of the last row of each stratum that belongs to the test part, null for none.
 
     Every round counts the rows of a stratum in cells of the hash order and goes on in the cell that holds the
-    wanted row; a round sees some thousand cells per stratum and never the rows of one in one task.
+    wanted row; a round sees at most 2**18 cells of a stratum, and never its rows, in one task.
     """
     wanted = F.floor((F.count("*") * test_percent + 50) / 100)
     strata = keyed.groupBy("stratum").agg(wanted.alias("wanted"))
