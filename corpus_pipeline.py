@@ -50,8 +50,7 @@ def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, decoded again, as counts and digests."""
-    encoded = bpe.encode(docs.select("doc_id", "text"), RANKS, public_tokenizers.PATTERN)
-    return bpe_digest(bpe.decode(encoded, RANKS))
+    return bpe_digest(bpe.round_trip(docs.select("doc_id", "text"), RANKS, public_tokenizers.PATTERN))
 
 
 STAGES = [

@@ -19,6 +19,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 
 LONG = 512
 CACHED_PIECES = 200_000
-CHUNK_CHARACTERS = 1_000_000
+CHUNK = 1_000_000
 NONE = np.int32(2**31 - 1)
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -201,6 +202,19 @@ def vocabulary(ranks: dict[bytes, int]) -> dict[int, bytes]:
     return {rank: token for token, rank in ranks.items()}
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in order, in parts of about ``CHUNK`` characters or ids of the first column."""
+    first = batch.column(0)
+    length = pc.list_value_length if pa.types.is_list(first.type) else pc.utf8_length
+    sizes = np.cumsum(pc.fill_null(length(first), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        before = sizes[start - 1] if start else 0
+        stop = int(np.searchsorted(sizes, before + CHUNK)) + 1
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def _mapped(df: DataFrame, column: str, out: list[T.StructField], path: str, make, work) -> DataFrame:
     """``df`` without ``column`` and with the columns ``out``, made by ``work(tool, values)``.
 
@@ -217,51 +231,52 @@ def _mapped(df: DataFrame, column: str, out: list[T.StructField], path: str, mak
         if "tool" not in held:
             held["tool"] = make(held.pop("ranks"))
         for batch in batches:
-            columns = work(held["tool"], batch.column(0))
-            arrays = [*batch.columns[1:], *columns]
-            yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in (*fields, *made)])
+            for part in _parts(batch):
+                arrays = [*part.columns[1:], *work(held["tool"], part.column(0))]
+                yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in (*fields, *made)])
 
     mapped = source.mapInArrow(run, T.StructType([*fields, *made]))
     names = [f.name for f in (*rest, *out)]
     return mapped.toDF(*names)
 
 
-def _chunks(texts: pa.Array) -> Iterator[list[str]]:
-    """Texts in order, null as empty, in lists of about ``CHUNK_CHARACTERS``."""
-    some, size = [], 0
-    for value in texts:
-        text = value.as_py() or ""
-        some.append(text)
-        size += len(text)
-        if size >= CHUNK_CHARACTERS:
-            yield some
-            some, size = [], 0
-    if some:
-        yield some
+def _ids(codec: Codec, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    flat, ends = codec.encode_all([t or "" for t in texts.to_pylist()])
+    return flat, np.concatenate([[0], ends])
 
 
-def encode(df: DataFrame, path: str, pattern: str, text_column: str = "text", ids_column: str = "ids") -> DataFrame:
-    """``df`` with ``ids_column``, the token ids of ``text_column`` by the rank file at ``path``, in place of the text."""
+def _lists(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+
+
+def _bytes(tokens: dict[int, bytes], flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.array([b"".join(map(tokens.__getitem__, flat[a:b].tolist())) for a, b in zip(ends, ends[1:])], pa.binary())
 
-    def work(codec: Codec, texts: pa.Array) -> list[pa.Array]:
-        flat, ends = [np.empty(0, np.int32)], [np.zeros(1, np.int64)]
-        for some in _chunks(texts):
-            ids, after = codec.encode_all(some)
-            ends.append(ends[-1][-1] + after)
-            flat.append(ids)
-        return [pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), pa.array(np.concatenate(flat)))]
 
+def encode(df: DataFrame, path: str, pattern: str, text_column: str = "text", ids_column: str = "ids") -> DataFrame:
+    """``df`` with ``ids_column``, the token ids of ``text_column`` by the rank file at ``path``, in place of the text."""
     field = T.StructField(ids_column, T.ArrayType(T.IntegerType()))
-    return _mapped(df, text_column, [field], path, lambda ranks: Codec(ranks, pattern), work)
+    return _mapped(
+        df, text_column, [field], path, lambda ranks: Codec(ranks, pattern), lambda codec, texts: [_lists(*_ids(codec, texts))]
+    )
 
 
 def decode(df: DataFrame, path: str, ids_column: str = "ids", bytes_column: str = "decoded") -> DataFrame:
-    """``df`` with ``bytes_column``, the bytes that ``ids_column`` stands for, beside the ids; null ids are none."""
+    """``df`` with ``bytes_column``, the bytes that ``ids_column`` stands for, in place of the ids; null ids are none."""
 
     def work(tokens: dict[int, bytes], rows: pa.Array) -> list[pa.Array]:
-        ids, ends = rows.values.to_numpy(zero_copy_only=False), rows.offsets.to_numpy()
-        return [pa.array([b"".join(map(tokens.__getitem__, ids[a:b].tolist())) for a, b in zip(ends, ends[1:])], pa.binary())]
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False))])
+        return [_bytes(tokens, rows.flatten().to_numpy(zero_copy_only=False), ends.astype(np.int64))]
+
+    return _mapped(df, ids_column, [T.StructField(bytes_column, T.BinaryType())], path, vocabulary, work)
+
+
+def round_trip(df: DataFrame, path: str, pattern: str, text_column: str = "text") -> DataFrame:
+    """``df`` with ``ids`` and ``decoded``, the bytes those ids stand for, in place of the text, in one pass."""
+
+    def work(codec: Codec, texts: pa.Array) -> list[pa.Array]:
+        flat, ends = _ids(codec, texts)
+        return [_lists(flat, ends), _bytes(codec.tokens, flat, ends)]
 
-    field = T.StructField(bytes_column, T.BinaryType())
-    copied = df.withColumn("_ids", F.col(ids_column))
-    return _mapped(copied, "_ids", [field], path, vocabulary, work)
+    fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())]
+    return _mapped(df, text_column, fields, path, lambda ranks: Codec(ranks, pattern), work)

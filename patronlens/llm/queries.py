@@ -94,8 +94,7 @@ def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "text")
-    encoded = bpe.encode(docs, RANKS, public_tokenizers.PATTERN)
-    return bpe_digest(bpe.decode(encoded, RANKS))
+    return bpe_digest(bpe.round_trip(docs, RANKS, public_tokenizers.PATTERN))
 
 
 def bpe_digest(decoded: DataFrame) -> DataFrame:

@@ -59,8 +59,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = utf8_values(batch.column(1))
-            bits = [majority_bits(shingle_hashes(t, shingle)) for t in texts]
+            bits = [majority_bits(shingle_hashes(t, shingle)) for t in utf8_values(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.int64())], ["id", "bits"])
 
     source = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("t"))

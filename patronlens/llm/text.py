@@ -6,7 +6,6 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,11 +13,15 @@ from pyspark.sql import functions as F
 ALNUM = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 
-def utf8_values(column: pa.Array) -> list[bytes]:
-    """Every value as UTF-8; null is empty."""
-    filled = pc.fill_null(column, "") if column.null_count else column
-    kind = pa.large_binary() if pa.types.is_large_string(filled.type) else pa.binary()
-    return filled.cast(kind).to_pylist()
+ROWS_AT_ONCE = 64
+
+
+def utf8_values(column: pa.Array) -> Iterator[bytes]:
+    """Every value as UTF-8, a few rows taken out of the batch at a time; null is empty."""
+    kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
+    for start in range(0, len(column), ROWS_AT_ONCE):
+        for value in column.slice(start, ROWS_AT_ONCE).cast(kind).to_pylist():
+            yield value or b""
 
 
 def blank_words(data: bytes) -> list[bytes]:
@@ -55,7 +58,8 @@ def cut_spans(df: DataFrame, text_column: str, spans_column: str, word: bytes) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pattern = re.compile(word)
-        for batch in batches:
+        parts = (batch.slice(i, ROWS_AT_ONCE) for batch in batches for i in range(0, batch.num_rows, ROWS_AT_ONCE))
+        for batch in parts:
             texts, spans = batch.column(at), batch.column(len(rest)).to_pylist()
             if any(spans):
                 values = texts.cast(pa.binary()).to_pylist()

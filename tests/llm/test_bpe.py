@@ -44,6 +44,15 @@ def test_odd_rows(odd_docs, odd_rows, library):
     assert sorted(found, key=str) == sorted(((i, library.encode_ordinary(t or "")) for i, t in odd_rows), key=str)
     decoded = bpe.decode(encoded(odd_docs), RANKS).collect()
     assert sorted(bytes(r["decoded"]) for r in decoded) == sorted((t or "").encode() for _, t in odd_rows)
+    both = bpe.round_trip(odd_docs.select("doc_id", "text"), RANKS, public_tokenizers.PATTERN).collect()
+    assert sorted((r["doc_id"], r["ids"]) for r in both if r["doc_id"]) == sorted((r["doc_id"], r["ids"]) for r in encoded(odd_docs).collect() if r["doc_id"])
+    assert all(bytes(r["decoded"]) in {(t or "").encode() for i, t in odd_rows if i == r["doc_id"]} for r in both)
+
+
+def test_null_ids(spark):
+    rows = spark.createDataFrame([(1, None), (2, []), (3, [64, 65])], "doc_id long, ids array<int>")
+    found = {r["doc_id"]: bytes(r["decoded"]) for r in bpe.decode(rows, RANKS).collect()}
+    assert found[1] == found[2] == b"" and len(found[3]) == 2
 
 
 def test_no_rows(no_docs):
