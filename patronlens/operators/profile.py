@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from patronlens import schema
 from patronlens.functions import clip, exact_quantiles, round_half_even, safe_divide
 
+# Upper bounds of the measures.
 MAX_TENURE = 1825
 MAX_RECENCY = 365
 MAX_FREQUENCY = 20

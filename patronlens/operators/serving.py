@@ -13,7 +13,7 @@ from patronlens import schema
 from patronlens.functions import clip
 from patronlens.operators.features import FeatureStats, add_features, encode_account_type, listed_columns
 
-# A single record has no quantiles: 5 - 2 for recency, 2 for frequency, 2 for monetary.
+# The scales of the scoring form. A single record has no quantiles: 5 - 2 for recency, 2 for frequency, 2 for monetary.
 NEUTRAL_RFM_SCORE = 7
 VISITS_SCALE = 50
 TICKETS_SCALE = 10

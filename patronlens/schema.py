@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# The customer table.
 CUSTOMER = T.StructType(
     [
         T.StructField("customer_id", T.StringType()),
