@@ -1,7 +1,7 @@
 """URL filter: dated list entries become validity intervals, captures are judged by what was active when fetched.
 
 The list is a log of (key, day, action, category) with actions "add" and "remove"; a key is a domain, which covers
-its subdomains, or a host with the start of a path. The last action of a key on a day counts (remove before
+its subdomains, or a host with the start of a path, of any number of steps; a capture gets as many as the longest key of the list has. The last action of a key on a day counts (remove before
 add in the order of ties, the smallest category first), and an "add" is valid from its day until the next entry of the key. A capture
 is matched by all its keys; the longest active key wins, then the first in order.
 
@@ -18,7 +18,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SPAN_DAYS = 64
-PATH_PARTS = 2
 
 
 def host(url: Column) -> Column:
@@ -33,8 +32,8 @@ def path_parts(url: Column) -> Column:
     return F.filter(F.split(path, "/"), lambda p: p != "")
 
 
-def keys(url: Column, parts: int = PATH_PARTS) -> Column:
-    """The host, its parent domains of two labels at least, and the host with up to ``parts`` steps of the path."""
+def keys(url: Column, parts: int | Column | None = None) -> Column:
+    """The host, its parent domains of two labels at least, and the host with every start of the path, or those of up to ``parts`` steps."""
     name = host(url)
     labels = F.split(name, r"\.")
     n = F.size(labels)
@@ -42,7 +41,7 @@ def keys(url: Column, parts: int = PATH_PARTS) -> Column:
         F.when(n > 2, F.sequence(F.lit(2), n - 1)).otherwise(F.array().cast("array<int>")),
         lambda k: F.array_join(F.slice(labels, n - k + 1, k), "."),
     )
-    steps = F.slice(path_parts(url), 1, parts)
+    steps = path_parts(url) if parts is None else F.slice(path_parts(url), F.lit(1), F.lit(parts))
     prefixes = F.transform(steps, lambda _, i: F.concat(name, F.lit("/"), F.array_join(F.slice(steps, F.lit(1), i + 1), "/")))
     found = F.array_distinct(F.concat(F.array(name), parents, prefixes))
     return F.when(name != "", found).otherwise(F.array().cast("array<string>"))
@@ -63,7 +62,10 @@ def filter_urls(captures: DataFrame, entries: DataFrame, span_days: int = SPAN_D
     """``captures`` (id, url, day) with ``host, blocked, entry, category, valid_from`` of the entry that decides."""
     rows = captures.select("id", "url", "day").withColumn("row", F.monotonically_increasing_id())
     span = F.floor(F.datediff("day", F.lit("1970-01-01").cast("date")) / span_days)
-    asked = rows.select("row", "day", F.explode(keys(F.col("url"))).alias("key")).where("day is not null").withColumn("span", span)
+    # No capture needs more steps of its path than the longest entry has.
+    longest = entries.agg(F.greatest(F.max(F.size(F.split("key", "/")) - 1), F.lit(0))).scalar()
+    own_keys = F.explode(keys(F.col("url"), F.col("longest"))).alias("key")
+    asked = rows.withColumn("longest", longest).select("row", "day", own_keys).where("day is not null").withColumn("span", span)
     last_day = captures.agg(F.max("day")).scalar()
     intervals = validity(entries).withColumn("last_day", last_day)
     horizon = F.floor(F.datediff("last_day", F.lit("1970-01-01").cast("date")) / span_days)

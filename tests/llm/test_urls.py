@@ -69,3 +69,16 @@ def test_random_lists(spark, span):
 def test_empty(spark):
     assert judged(spark, [], [("x.org", day(1), "add", "p")]) == []
     assert judged(spark, [(1, "http://x.org", day(2))], []) == [(1, day(2), False, None, None, None)]
+
+
+@pytest.mark.parametrize("depth", [3, 4, 40])
+def test_deep_entries(spark, depth):
+    """Entries of any number of steps block what lies below them, and the longest one decides."""
+    steps = [f"s{i}" for i in range(depth)]
+    entries = [(f"x.org/{'/'.join(steps[:n])}", day(n), "add", str(n)) for n in range(1, depth + 1)]
+    captures = [(n, f"https://x.org/{'//'.join(steps[:n])}/?q#f", day(99)) for n in range(depth + 1)]
+    captures += [(100, f"http://X.org/{'/'.join(steps)}/below/it", day(99)), (101, f"http://x.org/{'/'.join(steps)}x", day(99))]
+    found = {r[0]: r[3] for r in judged(spark, captures, entries)}
+    assert found == {0: None, **{n: entries[n - 1][0] for n in range(1, depth + 1)}, 100: entries[-1][0], 101: entries[-2][0]}
+    only = {r[0]: r[3] for r in judged(spark, captures, entries[-1:])}
+    assert {n for n, key in only.items() if key} == {depth, 100}
