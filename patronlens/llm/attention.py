@@ -3,7 +3,7 @@
 A document is a bag of passages of ``PASSAGE`` words, all of them. A passage becomes a vector of dense statistics,
 and a small layer encodes it: h = tanh(W x). Gated attention weighs the passages, a ~ exp(w (tanh(V h) * sigmoid(U h))),
 and the score is a logistic function of the weighted mean of h. All of it is learned together from document
-labels, on at most ``LEARN_DOCS`` documents with ``LEARN_PASSAGES`` passages; every document is scored whole.
+labels, on at most ``LEARN_DOCS`` documents with ``LEARN_PASSAGES`` passages, of the longest documents passages at even steps; every document is scored whole.
 
 Nulls: a null text is empty; a text without words is one passage whose statistics are 0. Null labels are not
 learned from, of several labels of an id the largest counts, of several texts the first in order. Without labels of both kinds the score is the share of good ones
@@ -138,6 +138,17 @@ def _bags(docs: DataFrame) -> DataFrame:
     return docs.select("id", "label", "t").mapInArrow(run, schema)
 
 
+def _most(sizes: list[int], limit: int) -> int:
+    """The most passages that each document can give so that all together stay within ``limit``; one at least."""
+    most, left = 1, limit
+    for rank, n in enumerate(sorted(sizes)):
+        share = left // (len(sizes) - rank)
+        if n > share:
+            return max(1, share)
+        most, left = n, left - n
+    return most
+
+
 def train(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str, label: str) -> Attention | float:
     """The network, or the share of good documents if there is nothing to tell apart."""
     spark = docs.sparkSession
@@ -146,15 +157,12 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str,
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("t")).join(F.broadcast(chosen), "id")
     one_each = texts.groupBy("id", "label").agg(F.min("t").alias("t"))
     bags, bags_path = keep(_bags(one_each), "bags")
-    sizes = sorted(tuple(r) for r in bags.select(F.xxhash64("id"), "n").collect())
-    total, limit = 0, None
-    for place, n in sizes:
-        total += n
-        if total > LEARN_PASSAGES:
-            break
-        limit = place
-    used = bags.where(F.xxhash64("id") <= F.lit(limit)) if limit is not None else bags.limit(0)
-    rows = sorted(used.select(F.xxhash64("id").alias("p"), "label", "n", "x").collect(), key=lambda r: (r["p"], r["n"]))
+    most = _most([r["n"] for r in bags.select("n").collect()], LEARN_PASSAGES)
+    taken = F.least("n", F.lit(most))
+    # Passages of a longer document are taken at even steps.
+    spread = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.slice("x", F.floor(i * F.col("n") / most).cast("int") * COLUMNS + 1, COLUMNS)))
+    some = bags.select(F.xxhash64("id").alias("p"), "label", taken.alias("n"), F.when(F.col("n") > most, spread).otherwise(F.col("x")).alias("x"))
+    rows = sorted(some.collect(), key=lambda r: (r["p"], r["n"]))
     forget(spark, chosen_path, bags_path)
     y = np.array([r["label"] for r in rows])
     if not len(rows) or y.min() == y.max():

@@ -146,3 +146,14 @@ def test_attention_finds_the_one_bad_passage():
     model.fit(x[: starts[200]], starts[:200], np.array(labels[:200]))
     found = model.score(x[starts[200] :], starts[200:] - starts[200]) > 0.5
     assert np.mean(found == np.array(labels[200:])) > 0.9
+
+
+def test_long_documents_leave_the_others_in_the_sample(spark, monkeypatch):
+    """The sample is bounded by passages of each document, not by documents."""
+    monkeypatch.setattr(attention, "LEARN_PASSAGES", 120)
+    rows = [(i, prose(i, 40_000 if i % 10 == 0 else 100) + (" ### $$$" * 20 if i % 2 else "")) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    model = attention.train(docs_of(spark, rows), labels, "doc_id", "text", "quality")
+    assert isinstance(model, attention.Attention)
+    sizes = [5, 1, 900, 3]
+    assert attention._most(sizes, 909) == 900 and attention._most(sizes, 20) == 11 and attention._most(sizes, 2) == 1
