@@ -141,9 +141,111 @@ select page_id, payload_bytes, payload_digest,
 from sized
 """
 
+FILTER_AUDIT = r"""
+with flags as (
+  select doc_id, max(cast(quality = 1 as bigint)) as good, max(cast(toxic = 1 as bigint)) as toxic from labels group by doc_id
+),
+doc as (
+  select coalesce(source, '') as part, d.doc_id, coalesce(text, '') as text, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w
+  from documents d left join flags f on d.doc_id = f.doc_id
+),
+failed as (
+  select part, good, toxic,
+    (case when len(w) < 200 then 'A' else '' end)
+    || (case when 100 * len(list_distinct(w)) < 50 * len(w) then 'B' else '' end)
+    || (case when 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) then 'C' else '' end)
+    || (case when regexp_matches(text, '[#$%&*|]') then 'D' else '' end)
+    || (case when doc_id > min(doc_id) over (partition by text) then 'E' else '' end) as letters
+  from doc
+),
+counted as (select part, letters, count(*) as n, sum(good) as good, sum(toxic) as toxic from failed group by part, letters),
+letter as (select unnest(['A', 'B', 'C', 'D', 'E']) as l),
+orders as (
+  select a.l || b.l || c.l || d.l || e.l as o
+  from letter a, letter b, letter c, letter d, letter e
+  where len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5
+),
+place as (select o, step, substr(o, step, 1) as l, substr(o, 1, step - 1) as before from orders, (select unnest(range(1, 6)) as step)),
+judged as (
+  select c.*, o, step, l, contains(letters, l) as fails, translate(letters, before, '') <> letters as gone from counted c, place
+),
+summed as (
+  select part, o, step, l,
+    sum(case when not fails and not gone then n else 0 end) as kept,
+    sum(case when fails and not gone then n else 0 end) as removed,
+    sum(case when fails and gone then n else 0 end) as redundant,
+    sum(case when letters = l then n else 0 end) as unique_fails,
+    sum(case when fails and not gone then good else 0 end) as good_lost,
+    sum(case when fails and not gone then toxic else 0 end) as toxic_lost
+  from judged group by part, o, step, l
+)
+select part, o as filter_order, cast(step as integer) as step, cast(kept as bigint) as kept, cast(removed as bigint) as removed,
+  cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost,
+  cast(toxic_lost as bigint) as toxic_lost, cast(sum(removed) over (partition by part, l) as bigint) as shapley
+from summed
+"""
+
+TOP_K = """
+with whole as (select vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) as v from embeddings
+  where list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))),
+scored as (
+  select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
+  from whole q join whole c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0
+)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
+from scored qualify rank <= 20
+"""
+
+# The table of CRC-32 by its rule, then one step for each byte.
+SPELLING = r"""
+with recursive crc as (
+  select list(list_reduce(list_prepend(i, range(8)), lambda c, k: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end) order by i) as steps
+  from range(256) r(i)
+),
+run as (
+  select doc_id, r, count(*) as n
+  from (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) as r
+        from documents)
+  where length(r) >= 6 group by doc_id, r
+),
+hashed as (
+  select r, n, xor(4294967295, list_reduce(
+    list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(doc_id || ':' || r)), '..'), lambda x: cast('0x' || x as bigint))),
+    lambda c, b: xor(steps[xor(c % 256, b) + 1], c // 256))) as h
+  from run, crc
+),
+word as (
+  select case when h % 199 = 0 then r[1:h % length(r)] || r[h % length(r) + 2:] else r end as w, cast(sum(n) as bigint) as n
+  from hashed group by w having sum(n) >= 5
+),
+kept as (select * from word where length(w) >= 6),
+less as (select w, n, i, w[1:i - 1] || w[i + 1:] as rest from (select w, n, unnest(range(1, length(w) + 1)) as i from kept)),
+near as (
+  select a.w, a.n, b.w as other, b.n as other_n from less a join less b on a.i = b.i and a.rest = b.rest and a.w <> b.w
+  union select a.w, a.n, b.w, b.n from less a join kept b on a.rest = b.w
+  union select b.w, b.n, a.w, a.n from less a join kept b on a.rest = b.w
+),
+best as (
+  select w, n, count(*) as n_near, first({'w': other, 'n': other_n} order by other_n desc, other) as b from near group by w, n
+),
+formed as (
+  select k.w, k.n, coalesce(n_near, 0) as n_near, case when b.n >= 5 * k.n then b.w end as form, case when b.n >= 5 * k.n then b.n end as form_n
+  from kept k left join best using (w)
+),
+walk as (
+  select w, w as here, form as next from formed
+  union all select walk.w, walk.next, f.form from walk join formed f on f.w = walk.next
+)
+select f.w as word, form, here as root, n, n_near, form_n from formed f join walk on walk.w = f.w and walk.next is null
+"""
+
 ORACLE = {
     "op2_license_scans": LICENSES,
     "op3_url_filters": URLS,
     "op6_decontamination": DECONTAMINATION,
     "op9_warc": WARC,
+    "op11_top_k": TOP_K,
+    "op12_spelling": SPELLING,
+    "op13_filter_audit": FILTER_AUDIT,
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronlens.llm import attention, bpe, chains, decontaminate, forest, licenses, simhash, toxicity, urls, warc
+from patronlens.llm import attention, bpe, chains, decontaminate, filter_audit, forest, licenses, mtree, simhash, spelling, toxicity, urls, warc
 from patronlens.llm.store import read
 from patronlens.staging import new_path
 
@@ -105,6 +105,20 @@ def bpe_digest(decoded: DataFrame) -> DataFrame:
     )
 
 
+def op11_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = read(spark, folder, "embeddings")
+    found = mtree.top_k(vectors, vectors.where("vec_id % 20 = 0"))
+    return found.withColumnRenamed("id", "vec_id")
+
+
+def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.group_variants(read(spark, folder, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.mask_counts(read(spark, folder, "documents"), read(spark, folder, "labels")))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -113,5 +127,5 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 REGISTERED: list[Callable[[SparkSession, str], DataFrame]] = [
     op1_substring_dedup, op2_license_scans, op3_url_filters, op4_simhash, op5_toxicity, op6_decontamination,
-    op7_quality_rules, op8_quality_classifier, op9_warc, op10_bpe, pipeline,
+    op7_quality_rules, op8_quality_classifier, op9_warc, op10_bpe, op11_top_k, op12_spelling, op13_filter_audit, pipeline,
 ]
