@@ -12,7 +12,7 @@ import duckdb
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-TABLES = ["customer", "orders", "events", "documents", "pages", "benchmark", "labels"]
+TABLES = ["customer", "orders", "events", "documents", "embeddings", "pages", "benchmark", "labels"]
 
 
 def connect(folder: str):
