@@ -19,7 +19,7 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,16 +55,17 @@ def majority_bits(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``id_column`` and ``bits``, the 64-bit fingerprint as a long, of every row."""
+    """``id_column``, ``hash`` of the text, and ``bits``, the 64-bit fingerprint as a long, of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bits = [majority_bits(shingle_hashes(t, shingle)) for t in utf8_values(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.int64())], ["id", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(bits, pa.int64())], ["id", "hash", "bits"])
 
-    source = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("t"))
-    schema = T.StructType([T.StructField("id", source.schema["id"].dataType), T.StructField("bits", T.LongType())])
-    return source.mapInArrow(run, schema).withColumnRenamed("id", id_column)
+    text = F.col(text_column).cast("string")
+    source = docs.select(F.col(id_column).alias("id"), text.alias("t"), F.xxhash64(text).alias("hash"))
+    fields = [T.StructField("id", source.schema["id"].dataType), T.StructField("hash", T.LongType()), T.StructField("bits", T.LongType())]
+    return source.mapInArrow(run, T.StructType(fields)).withColumnRenamed("id", id_column)
 
 
 def _counts() -> list:
@@ -201,6 +202,19 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return placed.mapInArrow(compare_tiles(radius), "src long, dst long")
 
 
+def _classes(printed: DataFrame, least: F.Column, radius: int) -> DataFrame:
+    """``bits, least`` of every fingerprint: the minimum of ``least`` over the rows of its component."""
+    spark = printed.sparkSession
+    distinct, distinct_path = keep(printed.groupBy("bits").agg(F.min(least).alias("least")), "distinct")
+    linked, linked_path = keep(links(distinct.select("bits"), radius), "links")
+    roots, roots_path = connected_components(linked)
+    named = roots.join(distinct, roots.node == distinct.bits).groupBy("component").agg(F.min("least").alias("least"))
+    member = roots.join(named, "component").select(F.col("node").alias("bits"), F.col("least").alias("joined"))
+    classes, _ = keep(distinct.join(member, "bits", "left").select("bits", F.coalesce("joined", "least").alias("least")), "classes")
+    forget(spark, distinct_path, linked_path, roots_path)
+    return classes
+
+
 def near_duplicates(
     docs: DataFrame,
     id_column: str = "doc_id",
@@ -209,18 +223,38 @@ def near_duplicates(
     radius: int = RADIUS,
 ) -> DataFrame:
     """``id_column, bits, component_id`` of every row; the component is named by its smallest id."""
-    spark = docs.sparkSession
     printed, _ = keep(fingerprints(docs, id_column, text_column, shingle), "prints")
-    distinct, distinct_path = keep(printed.groupBy("bits").agg(F.min(id_column).alias("least")), "distinct")
-    linked, linked_path = keep(links(distinct, radius), "links")
-    roots, roots_path = connected_components(linked)
-    named = roots.join(distinct, roots.node == distinct.bits).groupBy("component").agg(F.min("least").alias("least"))
-    member = roots.join(named, "component").select(F.col("node").alias("bits"), F.col("least").alias("joined"))
-    classes = distinct.join(member, "bits", "left").select("bits", F.coalesce("joined", "least").alias("component_id"))
-    classes, _ = keep(classes, "classes")
-    forget(spark, distinct_path, linked_path, roots_path)
+    classes = _classes(printed, F.col(id_column), radius).withColumnRenamed("least", "component_id")
     return printed.join(classes, "bits", "left").select(id_column, "bits", "component_id")
 
 
+def drop_near_duplicates(
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    shingle: int = SHINGLE,
+    radius: int = RADIUS,
+) -> DataFrame:
+    """One row of each component, that of the smallest id; rows without an id come last, and of equal ids the hash of the text decides.
+
+    Every row is judged by its own text, so rows that share an id or have none are dropped like any others.
+    """
+    printed, _ = keep(fingerprints(docs, id_column, text_column, shingle), "prints")
+    first = F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), F.col("hash").alias("hash"))
+    kept, _ = keep(_classes(printed, first, radius).select("least.id", "least.hash").distinct(), "kept")
+    again = printed.groupBy(F.col(id_column).alias("id"), "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    again, _ = keep(again.join(kept, again.id.eqNullSafe(kept.id) & (again.hash == kept.hash), "left_semi").select("id", "hash"), "again")
+    hashed = F.xxhash64(docs[text_column].cast("string"))
+    same = docs[id_column].eqNullSafe(kept.id) & (hashed == kept.hash)
+    once = docs.join(kept, same, "left_semi")
+    if again.isEmpty():
+        return once
+    # Rows that are equal in id and text: any one of them stays.
+    same = docs[id_column].eqNullSafe(again.id) & (hashed == again.hash)
+    turn = F.row_number().over(Window.partitionBy(id_column, F.xxhash64(F.col(text_column).cast("string"))).orderBy(text_column))
+    repeated = docs.join(again, same, "left_semi").withColumn("_turn", turn).where("_turn = 1").drop("_turn")
+    return once.join(again, same, "left_anti").unionByName(repeated)
+
+
 def hex_digits(bits: str = "bits") -> F.Column:
     return F.lpad(F.lower(F.hex(bits)), 16, "0")

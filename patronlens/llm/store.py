@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 from patronlens.staging import new_path
@@ -11,9 +14,25 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+_written: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession, *kept: str) -> Iterator[list[str]]:
+    """Tables that are written inside the block go at its end, but for those whose paths the block adds to the list."""
+    wanted = list(kept)
+    _written.append([])
+    try:
+        yield wanted
+    finally:
+        forget(spark, *[path for path in _written.pop() if path not in wanted])
+
+
 def keep(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """``df`` written as Parquet to the shared folder and read back, and its path."""
     path = new_path(df.sparkSession, name)
+    if _written:
+        _written[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 

@@ -57,6 +57,7 @@ du dich dir dein deine deinen euch euer ihr
 # What stands for letters in words that are written to get around a lexicon.
 DISGUISES = [bytes.maketrans(b"0134578@$!+|", letters) for letters in (b"oieastbasiti", b"oleastbasiti")]
 MIXED = re.compile(rb"[a-z\x80-\xff][0-9@$!*.\-_+|]+[a-z\x80-\xff]|^[0-9@$!*]+[a-z\x80-\xff]{2}")
+ROWS = 256
 EDGES = bytes(b for b in range(33, 128) if not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122))
 UPPER = bytes(range(65, 91))
 WRITTEN, LEARNED, BEGINS, SECOND, DISGUISED, HIDDEN = (1 << i for i in range(6))
@@ -167,65 +168,91 @@ class Words:
         ]
 
 
-def dense_features(docs: DataFrame, learned: dict[bytes, float], id_column: str, text_column: str) -> DataFrame:
-    """``id`` and the features of every document."""
-    source = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("t"))
+def with_features(docs: DataFrame, learned: dict[bytes, float], text_column: str) -> DataFrame:
+    """``docs`` with its columns renamed ``c0, c1, ...``, and the features of every row's text."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = docs.columns.index(text_column)
+    source = docs.withColumn(text_column, F.col(text_column).cast("string")).toDF(*names)
     shared = docs.sparkSession.sparkContext.broadcast(learned)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(shared.value)
-        for batch in batches:
-            rows = [words.features(data) for data in utf8_values(batch.column(1))]
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
+            rows = [words.features(data) for data in utf8_values(batch.column(at))]
             columns = list(zip(*rows)) or [[]] * len(FEATURES)
-            arrays = [batch.column(0), *[pa.array(c, pa.float64()) for c in columns]]
-            yield pa.RecordBatch.from_arrays(arrays, names=["id", *FEATURES])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c, pa.float64()) for c in columns]], names=[*names, *FEATURES])
 
-    fields = [T.StructField("id", source.schema["id"].dataType), *[T.StructField(f, T.DoubleType()) for f in FEATURES]]
-    return source.mapInArrow(run, T.StructType(fields))
+    return source.mapInArrow(run, T.StructType([*source.schema.fields, *[T.StructField(f, T.DoubleType()) for f in FEATURES]]))
 
 
 def _both(rows: DataFrame) -> bool:
     return rows.select("label").distinct().count() == 2
 
 
-def score_toxicity(
-    docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label: str = "toxic"
-) -> DataFrame:
-    """``id_column, held_out, score`` (0..1, calibrated) and ``predicted`` of every document."""
+class Scorer:
+    """Lexicon, trees and curve, or one share for all where the labels say nothing."""
+
+    def __init__(self, learned: dict[bytes, float], share: float, trees=None, curve=None):
+        self.learned, self.share, self.trees, self.curve = learned, share, trees, curve
+        self.assemble = VectorAssembler(inputCols=FEATURES, outputCol="vector")
+
+    def raw(self, rows: DataFrame) -> DataFrame:
+        return self.trees.transform(self.assemble.transform(rows)).withColumn("raw", F.round(vector_to_array("probability")[1], 3))
+
+    def add_scores(self, docs: DataFrame, text_column: str, name: str) -> DataFrame:
+        """``docs`` and its score in the column ``name``, in one pass over the rows."""
+        rows = with_features(docs, self.learned, text_column)
+        if self.trees is None:
+            scored = rows.withColumn("score", F.lit(self.share))
+        else:
+            scored = self.raw(rows)
+            scored = self.curve.transform(scored) if self.curve else scored.withColumn("score", F.col("raw"))
+        score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score"))
+        kept = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]
+        return scored.select(*kept, score.alias(name))
+
+
+def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label: str = "toxic") -> Scorer:
+    """A scorer from ``LEARN_ROWS`` labelled ids at most; of rows with one id the smallest text counts."""
     spark = docs.sparkSession
     chosen, chosen_path = keep(sample_labels(labels, label, LEARN_ROWS, id_column), "sample")
     part = F.pmod(F.xxhash64("place"), F.lit(10))  # 0..3 lexicon, 4..7 trees, 8..9 calibration
     # At most LEARN_ROWS ids, so they fit everywhere.
-    some = F.broadcast(chosen.where(part < 4).select("id", "label"))
+    some = F.broadcast(chosen.select("id", "label", part.alias("part")))
     to_read = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("t")).join(some, "id")
-    one_each = to_read.groupBy("id", "label").agg(F.min("t").alias("t"))
-    lexicon_docs, lexicon_path = keep(one_each.select("t", "label"), "lexicon")
-    learned = learn_lexicon(lexicon_docs)
-
-    features, _ = keep(dense_features(docs, learned, id_column, text_column), "features")
-    rest = features.join(F.broadcast(chosen.where(part >= 4).select("id", "label", part.alias("part"))), "id")
-    one_row = rest.groupBy("id", "label", "part").agg(F.min(F.struct(*FEATURES)).alias("f")).select("id", "label", "part", "f.*")
-    training, training_path = keep(one_row.coalesce(8), "training")
-    assemble = VectorAssembler(inputCols=FEATURES, outputCol="vector")
-    held = held_out("id").alias("held_out")
+    texts, texts_path = keep(to_read.groupBy("id", "label", "part").agg(F.min("t").alias("t")), "learning")
+    learned = learn_lexicon(texts.where("part < 4").select("t", "label"))
+    share = float(chosen.agg(F.coalesce(F.avg("label"), F.lit(0.0))).first()[0])
+    rest = with_features(texts.where("part >= 4").select("label", "part", "t"), learned, "t")
+    rest = rest.withColumnsRenamed({"c0": "label", "c1": "part"}).drop("c2")
+    training, training_path = keep(rest.coalesce(8), "training")
     fit, tune = training.where("part < 8"), training.where("part >= 8")
-    if not _both(fit):
-        share = chosen.agg(F.coalesce(F.avg("label"), F.lit(0.0))).first()[0]
-        scored = features.select("id", held, F.lit(float(share)).alias("score"))
-    else:
+    scorer = Scorer(learned, share)
+    if _both(fit):
         trees = GBTClassifier(labelCol="label", featuresCol="vector", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=5, checkpointInterval=-1)
-        model = trees.fit(assemble.transform(fit).select("vector", "label"))
-
-        def raw(rows: DataFrame) -> DataFrame:
-            return model.transform(assemble.transform(rows)).withColumn("raw", F.round(vector_to_array("probability")[1], 3))
-
-        scored = raw(features).withColumn("score", F.col("raw"))
+        scorer.trees = trees.fit(scorer.assemble.transform(fit).select("vector", "label"))
         if _both(tune):
             # 1001 rows at most, however many were labelled.
-            bins = raw(tune).groupBy("raw").agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
-            curve = IsotonicRegression(labelCol="label", featuresCol="raw", weightCol="weight", predictionCol="score").fit(bins.coalesce(1))
-            scored = curve.transform(raw(features))
-        scored = scored.select("id", held, F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score")).alias("score"))
-    forget(spark, chosen_path, lexicon_path, training_path)
+            bins = scorer.raw(tune).groupBy("raw").agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
+            curve = IsotonicRegression(labelCol="label", featuresCol="raw", weightCol="weight", predictionCol="score")
+            scorer.curve = curve.fit(bins.coalesce(1))
+    forget(spark, chosen_path, texts_path, training_path)
+    return scorer
+
+
+def score_toxicity(
+    docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label: str = "toxic"
+) -> DataFrame:
+    """``id_column, held_out, score`` (0..1, calibrated) and ``predicted`` of every document."""
+    scorer = learn(docs, labels, id_column, text_column, label)
+    scored = scorer.add_scores(docs.select(id_column, text_column), text_column, "score")
     predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
-    return scored.select(F.col("id").alias(id_column), "held_out", "score", predicted)
+    return scored.select(id_column, held_out(id_column).alias("held_out"), "score", predicted)
+
+
+def drop_toxic(
+    docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label: str = "toxic"
+) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic; each is judged by its own text, and no text is shuffled."""
+    scorer = learn(docs, labels, id_column, text_column, label)
+    return scorer.add_scores(docs, text_column, "_score").where("_score < 0.5").drop("_score")

@@ -8,6 +8,7 @@ from pathlib import Path
 import pytest
 import tiktoken
 import public_tokenizers
+from helpers import docs_of, prose
 from test_chains import shared_runs
 from test_decontaminate import brute as benchmark_hits
 from test_simhash import brute_bits, brute_components
@@ -16,6 +17,7 @@ import corpus_pipeline
 from patronlens.llm import bpe, toxicity
 from patronlens.llm.queries import RANKS
 from patronlens.llm.store import keep
+from patronlens.staging import application_folder
 
 ROOT = Path(__file__).resolve().parents[2]
 
@@ -30,6 +32,10 @@ def stages(spark, folder):
     return tables
 
 
+def staged(spark):
+    return [p.name for p in Path(application_folder(spark)).iterdir()]
+
+
 def rows(table):
     return sorted((r["doc_id"], r["text"]) for r in table.collect())
 
@@ -94,7 +100,39 @@ def test_odd_documents(spark, folder, odd_docs):
     for name, stage in corpus_pipeline.STAGES:
         docs = keep(stage(spark, docs, folder), name)[0]
     ids = [r["doc_id"] for r in docs.collect()]
-    assert set(ids) >= {None, 2, 5, 6, 7} and ids.count(1) == 2
+    # One row of each text stays; those without an id and the second row of an id go like any other copy.
+    assert set(ids) >= {1, 2, 5, 6, 7} and ids.count(1) == 1 and None not in ids
+
+
+def test_rows_are_judged_one_by_one(spark, folder):
+    """A toxic row goes though a clean one has its id or has none either; copies go though they share an id."""
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    rows = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    scored = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(spark.read.parquet(f"{folder}/documents.parquet"), labels).collect()}
+    bad = [rows[i] for i, s in scored.items() if s >= 0.5][:1] * 2
+    good = [t for t in dict.fromkeys(rows[i] for i, s in sorted(scored.items()) if s < 0.5 and rows[i]) if len(t) > 300][:3]
+    given = [(i, t) for i, t in rows.items()] + [(None, bad[0]), (None, good[0]), (90_001, bad[1]), (90_001, good[1]), (90_002, good[2]), (90_002, good[2])]
+    docs = docs_of(spark, given)
+    left = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_toxic(spark, docs, folder).collect()]
+    assert (None, good[0]) in left and (90_001, good[1]) in left and left.count((90_002, good[2])) == 2
+    assert (None, bad[0]) not in left and (90_001, bad[1]) not in left
+    mixed = [(None, good[0]), (None, good[0]), (5, good[1]), (5, good[1]), (5, good[2]), (7, good[2])]
+    left = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs_of(spark, mixed), folder).collect()]
+    assert sorted(left, key=str) == sorted([(None, good[0]), (5, good[1]), (5, good[2])], key=str)
+
+
+def test_one_id_with_two_texts(spark, folder):
+    """The greatest text takes part in substring dedup, rows with another text of the id stay whole; nothing fails."""
+    passage = prose("p", 80)
+    given = [(1, passage), (2, f"{prose('z', 9)} {passage}"), (2, "zz " + passage), (2, "short")]
+    left = [(r["doc_id"], r["text"]) for r in corpus_pipeline.cut_repeated_passages(spark, docs_of(spark, given), folder).collect()]
+    assert (1, passage) in left and (2, "short") in left and (2, "zz ") in left and (2, f"{prose('z', 9)} {passage}") in left
+
+
+def test_nothing_but_the_last_table_is_left(spark, folder):
+    before = set(staged(spark))
+    corpus_pipeline.run(spark, folder)
+    assert len(set(staged(spark)) - before) == 1
 
 
 def test_no_documents(spark, folder, no_docs):
