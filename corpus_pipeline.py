@@ -8,11 +8,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from patronlens.llm import bpe, chains, decontaminate, simhash, toxicity
 from patronlens.llm.queries import RANKS, bpe_digest
-from patronlens.llm.store import keep, read
+from patronlens.llm.store import forget, keep, read, scratch
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -20,22 +19,14 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 ORACLE_SQL = None
 
 
-def _joined(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """``docs`` whose id is in ``decided`` (id, once each)."""
-    return docs.join(decided, docs.doc_id.eqNullSafe(decided.id), "left_semi").select(*COLUMNS)
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model does not reject. Of rows with one id all stay if any does not count as toxic."""
-    scored = toxicity.score_toxicity(docs, read(spark, sf_dir, "labels"))
-    return _joined(docs, scored.where("predicted = 0").select(F.col("doc_id").alias("id")))
+    """Documents that the toxicity model does not reject, row by row."""
+    return toxicity.drop_toxic(docs.select(*COLUMNS), read(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component. Rows with one id are one document; those without an id stay."""
-    found = simhash.near_duplicates(docs)
-    first = found.where("doc_id is null or doc_id = component_id")
-    return _joined(docs, first.select(F.col("doc_id").alias("id")))
+    """One document of each component: that with the smallest id, of several rows one."""
+    return simhash.drop_near_duplicates(docs.select(*COLUMNS))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +54,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select(*COLUMNS)
+    docs, before = read(spark, sf_dir, "documents").select(*COLUMNS), None
     for name, stage in STAGES[:-1]:
-        docs, _ = keep(stage(spark, docs, sf_dir), name)
+        with scratch(spark) as kept:
+            docs, path = keep(stage(spark, docs, sf_dir), name)
+            kept.append(path)
+        if before:
+            forget(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
