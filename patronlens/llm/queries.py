@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patronlens.llm import attention, bpe, chains, decontaminate, filter_audit, forest, licenses, mtree, simhash, spelling, toxicity, urls, warc
-from patronlens.llm.store import read
+from patronlens.llm.store import limit_batches, read
 from patronlens.staging import new_path
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    limit_batches(spark)
     found = chains.find_passages(read(spark, folder, "documents"))
     return found.select(
         F.col("doc").alias("doc_id"), F.col("first").alias("first_word"), F.col("last").alias("last_word"),

@@ -14,6 +14,16 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+BATCH_ROWS = 1024
+
+
+def limit_batches(spark: SparkSession) -> None:
+    """Fewer rows in an Arrow batch where the session has Spark's own number of them: texts are long, and a task holds several batches."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 _written: list[list[str]] = []
 
 

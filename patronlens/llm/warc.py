@@ -7,8 +7,8 @@ with built-in functions and lets Spark's text writer put the two line breaks beh
 anything, line breaks and record headers too.
 
 Nulls: a null payload is empty, a null URL becomes an empty target and a null page id stays null. Repeated rows and rows with
-equal ids are captures of their own, as a record id comes from the row. Of equal payloads the response is the
-one with the largest (page id, row). An empty table gives one empty archive. Other columns are ignored.
+equal ids are captures of their own, as a record id comes from id, URL, payload and the number among equal rows. Of equal payloads the response is the
+one with the largest (page id, URL). An empty table gives one empty archive. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 LEAST_REVISIT = 1000
 FILE_BYTES = 32 * 1024 * 1024
+SALTS = 16
 CRLF = "\r\n"
 RECORD = (
     "record_id string, type string, concurrent_to string, refers_to string, target_uri string, date string, page_id long, "
@@ -45,27 +46,35 @@ def _record(kind: str, headers: dict[str, Column], content: Column, content_type
 
 
 def capture_rows(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """One row per page: payload, digest, record ids, and the page it repeats, if any."""
+    """One row per page: payload, digest, record ids, and the page it repeats, if any.
+
+    Nothing depends on the order or the partitions of ``pages``: rows that are equal in id, URL and payload are counted and told
+    apart by their number. Payloads are shuffled once; one that many pages share is dealt over ``SALTS`` groups by id and URL.
+    """
     row = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         # One line, as a header value has to be.
         F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), r"[\x00-\x20\x7F]+", "%20").alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"),
-        F.monotonically_increasing_id().alias("row"),
     )
-    row = row.withColumns({"digest": F.sha1("payload"), "bytes": F.octet_length("payload").cast("long"), "date": F.lit(date)})
-    shared = row.where(F.col("bytes") >= LEAST_REVISIT).select("digest", "bytes", "page_id", "row")
-    first = shared.groupBy("digest", "bytes").agg(F.max(F.struct("page_id", "row")).alias("kept"), F.count(F.lit(1)).alias("n"))
-    first = first.where("n > 1").select("digest", "bytes", "kept")
-    joined = row.join(first, ["digest", "bytes"], "left")
-    is_revisit = F.col("kept").isNotNull() & (F.col("kept.row") != F.col("row"))
+    row = row.withColumns({"digest": F.sha1("payload"), "bytes": F.octet_length("payload").cast("long")})
+    shared = row.where(F.col("bytes") >= LEAST_REVISIT).select("digest", "bytes", "page_id", "url")
+    first = shared.groupBy("digest", "bytes").agg(F.max(F.struct("page_id", "url")).alias("kept"), F.count(F.lit(1)).alias("n"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    first = first.where("n > 1").select("digest", "bytes", "kept", salts)
+    salted = row.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    place = ["digest", "bytes", "salt"]
+    equal = salted.repartition(*place).groupBy(*place, "page_id", "url").agg(F.count(F.lit(1)).alias("n"), F.first("payload").alias("payload"))
+    joined = equal.join(first, place, "left").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    is_first = F.col("kept.page_id").eqNullSafe(F.col("page_id")) & (F.col("kept.url") == F.col("url")) & (F.col("copy") == 1)
+    is_revisit = F.col("kept").isNotNull() & ~is_first
+    own = F.col("page_id"), F.col("url"), F.col("digest"), F.col("copy")
+    referred = _uuid(F.lit("response"), F.col("kept.page_id"), F.col("kept.url"), F.col("digest"), F.lit(1))
     return joined.select(
-        "page_id", "url", "date", "payload", "digest", "bytes",
+        "page_id", "url", F.lit(date).alias("date"), F.when(~is_revisit, F.col("payload")).alias("payload"), "digest", "bytes",
         is_revisit.alias("revisit"),
-        _uuid(F.lit("response"), F.col("page_id"), F.col("row")).alias("response_id"),
-        _uuid(F.lit("request"), F.col("page_id"), F.col("row")).alias("request_id"),
-        _uuid(F.lit("metadata"), F.col("page_id"), F.col("row")).alias("metadata_id"),
-        F.when(is_revisit, _uuid(F.lit("response"), F.col("kept.page_id"), F.col("kept.row"))).alias("refers_to"),
+        *[_uuid(F.lit(kind), *own).alias(f"{kind}_id") for kind in ("response", "request", "metadata")],
+        F.when(is_revisit, referred).alias("refers_to"),
     )
 
 

@@ -95,3 +95,19 @@ def test_records_by_length():
     found = list(warc.records(data))
     assert [r[0] for r in found] == ["<a>", "<a>"] and found[0][-1].endswith(b"abc") and found[1][-1] == b""
     assert list(warc.records(b"")) == [] and list(warc.records(b"no archive")) == []
+
+
+def test_any_order_of_rows(spark, tmp_path):
+    """Partitions, their order and a round-robin shuffle between decide nothing; equal rows are captures of their own."""
+    rows = [(i, f"http://h/{i}", f"{i % 50} " * 600) for i in range(400)] + [(7, "http://h/7", "7 " * 600)] * 3 + [(8, "u", "x" * 1500)] * 2
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    forms = [pages, pages.repartition(5), pages.repartition(5, "page_id"), pages.union(pages.limit(0)), pages.orderBy("url"), pages.repartition(9).coalesce(2)]
+    found = []
+    for i, form in enumerate(forms):
+        path = str(tmp_path / f"w{i}")
+        warc.write_archives(form, path)
+        got = warc.assemble(warc.read_archives(spark, path))
+        found.append(sorted((r["page_id"], r["type"], r["refers_page"] or -1, r["payload_bytes"], r["payload_digest"]) for r in got.collect()))
+    assert len(found[0]) == 405 and all(f == found[0] for f in found)
+    assert [r[1] for r in found[0]].count("response") == 51
+    assert all(r[2] == max(p for p, _, t in rows if t == f"{r[0] % 50} " * 600) for r in found[0] if r[1] == "revisit" and r[3] != 1500)
