@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from patronlens.llm import bpe, chains, decontaminate, simhash, toxicity
 from patronlens.llm.queries import RANKS, bpe_digest
-from patronlens.llm.store import forget, keep, read, scratch
+from patronlens.llm.store import forget, keep, limit_batches, read, scratch
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -21,16 +21,19 @@ ORACLE_SQL = None
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject, row by row."""
+    limit_batches(spark)
     return toxicity.drop_toxic(docs.select(*COLUMNS), read(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component: that with the smallest id, of several rows one."""
+    limit_batches(spark)
     return simhash.drop_near_duplicates(docs.select(*COLUMNS))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages that an earlier one keeps."""
+    limit_batches(spark)
     return chains.remove_passages(docs.select(*COLUMNS))
 
 
