@@ -76,12 +76,12 @@ labelled as (select *, string_split(host, '.') as labels from page where host <>
 asked as (
   select page_id, day, unnest(list_distinct(
     [host] || list_transform(range(2, len(labels)), lambda k: array_to_string(labels[len(labels) - k + 1:], '.'))
-    || list_transform(range(1, least(len(steps), 2) + 1), lambda k: host || '/' || array_to_string(steps[1:k], '/')))) as key
+    || list_transform(range(1, len(steps) + 1), lambda k: host || '/' || array_to_string(steps[1:k], '/')))) as key
   from labelled
 ),
 candidate as (
   select distinct unnest([host] || list_transform(range(2, len(labels)), lambda k: array_to_string(labels[len(labels) - k + 1:], '.'))
-    || case when len(steps) > 0 then [host || '/' || steps[1]] else [] end) as key
+    || list_transform(range(1, len(steps) + 1), lambda k: host || '/' || array_to_string(steps[1:k], '/'))) as key
   from labelled
 ),
 listed as (

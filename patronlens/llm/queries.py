@@ -35,8 +35,8 @@ def digest_part(column: F.Column, start: int, modulus: int) -> F.Column:
 
 
 def list_entries(pages: DataFrame) -> DataFrame:
-    """Dated entries for a third of all hosts, parent domains and first steps of paths: added, often removed, sometimes added again."""
-    keys = pages.select(F.explode(urls.keys(F.col("url"), 1)).alias("key")).distinct()
+    """Dated entries for a third of all hosts, parent domains and starts of paths of any depth: added, often removed, sometimes added again."""
+    keys = pages.select(F.explode(urls.keys(F.col("url"))).alias("key")).distinct()
     first, gap, again = digest_part(F.col("key"), 1, 500), digest_part(F.col("key"), 7, 120), digest_part(F.col("key"), 13, 90)
     listed = keys.where(digest_part(F.col("key"), 19, 3) == 0)
     category = F.element_at(F.array(*map(F.lit, ("adult", "gambling", "malware", "spam"))), (digest_part(F.col("key"), 25, 4) + 1).cast("int"))

@@ -60,12 +60,14 @@ def validity(entries: DataFrame) -> DataFrame:
 
 def filter_urls(captures: DataFrame, entries: DataFrame, span_days: int = SPAN_DAYS) -> DataFrame:
     """``captures`` (id, url, day) with ``host, blocked, entry, category, valid_from`` of the entry that decides."""
-    rows = captures.select("id", "url", "day").withColumn("row", F.monotonically_increasing_id())
+    rows = captures.select("id", "url", "day")
     span = F.floor(F.datediff("day", F.lit("1970-01-01").cast("date")) / span_days)
     # No capture needs more steps of its path than the longest entry has.
     longest = entries.agg(F.greatest(F.max(F.size(F.split("key", "/")) - 1), F.lit(0))).scalar()
     own_keys = F.explode(keys(F.col("url"), F.col("longest"))).alias("key")
-    asked = rows.withColumn("longest", longest).select("row", "day", own_keys).where("day is not null").withColumn("span", span)
+    # One question for each URL and day, however many captures share it.
+    different = rows.where("url is not null and day is not null").select("url", "day").distinct()
+    asked = different.withColumn("longest", longest).select("url", "day", own_keys).withColumn("span", span)
     last_day = captures.agg(F.max("day")).scalar()
     intervals = validity(entries).withColumn("last_day", last_day)
     horizon = F.floor(F.datediff("last_day", F.lit("1970-01-01").cast("date")) / span_days)
@@ -77,8 +79,8 @@ def filter_urls(captures: DataFrame, entries: DataFrame, span_days: int = SPAN_D
     active = (F.col("day") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("day") < F.col("valid_to")))
     hits = asked.join(listed, ["key", "span"]).where(active)
     best = F.min(F.struct((-F.length("key")).alias("short"), "key", "category", "valid_from")).alias("best")
-    decided = hits.groupBy("row").agg(best)
-    joined = rows.join(decided, "row", "left")
+    decided = hits.groupBy("url", "day").agg(best)
+    joined = rows.join(decided, ["url", "day"], "left")
     return joined.select(
         "id", "day", host(F.coalesce("url", F.lit(""))).alias("host"), F.col("best").isNotNull().alias("blocked"),
         F.col("best.key").alias("entry"), F.col("best.category").alias("category"), F.col("best.valid_from").alias("valid_from"),
