@@ -544,6 +544,8 @@ ORACLE: dict[str, str] = {
       count(*) FILTER (churn_prediction = 1) AS at_risk_customers_count,
       {r("coalesce(sum(true_clv) FILTER (churn_prediction = 1), 0)", 2)} AS potential_saved_revenue,
       {r(f"avg(abs({ERROR}))", 2)} AS avg_clv_prediction_error"""),
+    "sketched_bins": """SELECT date_trunc('month', o_orderdate)::DATE AS month, 'o_totalprice' AS name, count(o_totalprice) AS n, 10 AS bins,
+      true AS ranks_near, true AS ends_exact FROM orders GROUP BY 1""",
     "silhouette": f"""WITH {CLUSTERS},
       psi AS (SELECT segment_id, max(n) AS n, sum(sq) AS psi FROM cm GROUP BY 1),
       norms AS (SELECT customer_id, any_value(segment_id) AS own, sum(x * x) AS xx FROM long GROUP BY 1),
@@ -554,6 +556,13 @@ ORACLE: dict[str, str] = {
                max(CASE WHEN segment_id = own THEN far / nullif(n - 1, 0) END) AS a,
                min(CASE WHEN segment_id <> own THEN far / n END) AS b FROM sums GROUP BY 1)
       SELECT {r("avg(CASE WHEN size = 1 THEN 0 ELSE (b - a) / greatest(a, b) END)", 6)} AS silhouette_sq FROM ab""",
+    "silhouette_exact": f"""WITH {CLUSTERS},
+      pairs AS (SELECT a.customer_id, any_value(a.segment_id) AS own, any_value(b.segment_id) AS other, b.customer_id AS partner,
+                  sqrt(sum((a.x - b.x) * (a.x - b.x))) AS apart
+                FROM long a JOIN long b ON a.feature = b.feature AND a.customer_id <> b.customer_id GROUP BY a.customer_id, b.customer_id),
+      sums AS (SELECT customer_id, any_value(own) AS own, other, avg(apart) AS far FROM pairs GROUP BY customer_id, other),
+      ab AS (SELECT customer_id, max(CASE WHEN other = own THEN far END) AS a, min(CASE WHEN other <> own THEN far END) AS b FROM sums GROUP BY 1)
+      SELECT {r("avg(CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END)", 6)} AS silhouette_score FROM ab""",
     "calinski_harabasz": f"""WITH {CLUSTERS}, overall AS (SELECT feature, avg(x) AS g FROM long GROUP BY 1),
       t AS (SELECT sum(n * (c - g) * (c - g)) AS b, sum(n * v) AS w, count(DISTINCT segment_id) AS k FROM cm JOIN overall USING (feature))
       SELECT {r("(b / (k - 1)) / (w / ((SELECT count(*) FROM s) - k))")} AS calinski_harabasz_score FROM t""",

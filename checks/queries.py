@@ -23,6 +23,7 @@ from checks.frames import (
 )
 from patronlens import schema
 from patronlens.functions import clip, cut, qcut_code, qcut_label, quantile_edges, safe_divide
+from patronlens.functions import sketches
 from patronlens.operators import clean, evaluate, features, labels, moments, reports, serving, split
 from patronlens.operators import profile as prof
 from patronlens.operators.models import ChurnModel, ClvModel, summary_of_scores
@@ -58,6 +59,19 @@ def quantile_bins(spark: SparkSession, folder: str) -> DataFrame:
     return p.select("customer_id", *[qcut_code(n, edges[n]).alias(f"{n}_bin") for n in names])
 
 
+def sketched_bins(spark: SparkSession, folder: str) -> DataFrame:
+    """Bins of order values from one sketch per month: how many values each month's sketch has seen, and whether the merged ones keep their rank error."""
+    _, orders, _ = tables(spark, folder)
+    month = F.date_trunc("month", "o_orderdate").cast("date").alias("month")
+    kept = stage(sketches.column_sketches(orders, ["o_totalprice"], [month]), "sketches")
+    edges = sketches.sketched_edges(kept, {"o_totalprice": 10})["o_totalprice"]
+    below = [F.avg((F.col("o_totalprice") <= e).cast("double")) for e in edges[1:-1]]
+    exact = orders.agg(F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"), *[b.alias(f"b{i}") for i, b in enumerate(below)]).first()
+    near = all(abs(exact[f"b{i}"] - (i + 1) / 10) <= sketches.RANK_ERROR for i in range(len(below)))
+    ends = (edges[0], edges[-1]) == (float(exact["low"]), float(exact["high"]))
+    return kept.select("month", "name", "n", F.lit(len(edges) - 1).alias("bins"), F.lit(near).alias("ranks_near"), F.lit(ends).alias("ends_exact"))
+
+
 def quantile_labels(spark: SparkSession, folder: str) -> DataFrame:
     p = staged_profile(spark, folder)
     edges = quantile_edges(p, {"monetary": 4, "recency": 4})
@@ -230,8 +244,7 @@ def floored_at_zero(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def cleaning_row_counts(spark: SparkSession, folder: str) -> DataFrame:
-    dirty = dirty_profile(spark, folder)
-    return clean.row_counts(dirty, clean.drop_duplicate_keys(dirty, ["copy"]))
+    return clean.counts_of_keys(clean.counted_keys(dirty_profile(spark, folder), ["copy"]))
 
 
 def cleaned_customers(spark: SparkSession, folder: str) -> DataFrame:
@@ -777,6 +790,11 @@ def silhouette(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(spark.createDataFrame([(score,)], "silhouette_sq double"), 6)
 
 
+def silhouette_exact(spark: SparkSession, folder: str) -> DataFrame:
+    score = evaluate.silhouette(staged_scores(spark, folder), CENTER_FEATURES)
+    return rounded(spark.createDataFrame([(score,)], "silhouette_score double"), 6)
+
+
 def calinski_harabasz(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(evaluate.calinski_harabasz(rule_scores(spark, folder), CENTER_FEATURES))
 
@@ -929,6 +947,7 @@ def rows_kept(spark: SparkSession, folder: str) -> DataFrame:
 
 REGISTERED: list[Callable[[SparkSession, str], DataFrame]] = [
     quantile_bins,
+    sketched_bins,
     quantile_labels,
     fixed_bins,
     clipped_values,
@@ -1023,6 +1042,7 @@ REGISTERED: list[Callable[[SparkSession, str], DataFrame]] = [
     saved_revenue,
     business_impact,
     silhouette,
+    silhouette_exact,
     calinski_harabasz,
     davies_bouldin,
     cluster_count,

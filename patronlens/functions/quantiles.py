@@ -4,7 +4,9 @@ Spark's exact ``percentile`` keeps every distinct value of a column in one task,
 one task as well. Here each round counts the values of a range in ``BUCKETS`` equal buckets, with the
 least and the greatest value of each: an ordinary hash aggregate, combined in the map tasks, whose result has
 ``BUCKETS`` rows per range whatever the table. The bucket that holds the wanted rank is the next
-range; a bucket of one distinct value is the answer. All columns and ranks share the rounds, and
+range; a bucket of one distinct value is the answer. Values that lie over many powers of ten would fall into one bucket round after
+round; so the bucket nearest to zero is cut once more, by powers of two. From the second round on a range spans a factor of 16 at
+most, which holds fewer than 2^55 doubles, and six rounds of 1024 buckets part those: seven passes are enough for any values. All columns and ranks share the rounds, and
 tables of any size take the same path. Missing values (null and NaN) are left out.
 """
 
@@ -20,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1024
+# Over twice the powers of two of a double, four a step.
+SCALES = 2048
 LARGEST = sys.float_info.max
 
 
@@ -43,11 +47,25 @@ class _Span:
     ranks: tuple[int, ...]
 
     def bucket(self, value: Column) -> Column:
-        """0..BUCKETS-1, never falling as the value rises; the two ends are in different buckets."""
+        """Never falls as the value rises; the two ends are in different buckets, unless their scales are."""
         half = 0.5 if math.isinf(self.high - self.low) else 1.0
         width = self.high * half - self.low * half
         place = (value * half - self.low * half) / width * BUCKETS
-        return F.least(F.floor(place), F.lit(BUCKETS - 1)).cast("int")
+        linear = F.least(F.floor(place), F.lit(BUCKETS - 1)).cast("int")
+        if not self.is_wide:
+            return linear * SCALES
+        nearest = F.lit(min(max(0.0, self.low), self.high))
+        middle = F.least(F.floor((nearest * half - self.low * half) / width * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
+        # Four powers of two a step; zero is between the signs.
+        power = F.floor((F.log2(F.abs(value)) + 1080) / 4).cast("int")
+        scale = F.when(value == 0, 0).otherwise(F.signum(value).cast("int") * power) + SCALES // 2
+        return linear * SCALES + F.when(linear == middle, scale).otherwise(0)
+
+    @property
+    def is_wide(self) -> bool:
+        """Whether the values lie on both sides of zero or span more than a factor of 16."""
+        least, most = sorted((abs(self.low), abs(self.high)))
+        return self.low <= 0 <= self.high or most / 16 > least
 
     def cell(self, value: Column, number: int) -> Column:
         inside = (value >= self.low) & (value <= self.high)
@@ -81,6 +99,17 @@ def _open_or_answer(name, low, high, first, ranks, answers) -> list[_Span]:
     return [_Span(name, low, high, first, tuple(ranks))]
 
 
+def _round(df: DataFrame, values: Mapping[str, Column], spans: Sequence[_Span]) -> list[tuple]:
+    """``span, bucket, n, low, high`` in ascending order: one pass over the rows."""
+    cells = F.array_compact(F.array(*[s.cell(values[s.name], i) for i, s in enumerate(spans)]))
+    counted = (
+        df.select(F.explode(cells).alias("c"))
+        .groupBy("c.span", "c.bucket")
+        .agg(F.count("*").alias("n"), F.min("c.value").alias("low"), F.max("c.value").alias("high"))
+    )
+    return sorted(map(tuple, counted.collect()))
+
+
 def order_statistics(
     df: DataFrame,
     columns: Mapping[str, Column],
@@ -89,7 +118,7 @@ def order_statistics(
 ) -> dict[tuple[str, int], float]:
     """Values at 0-based ``ranks`` of the ascending values of each column.
 
-    Pass a staged table: every round reads it again, three or four times for most columns.
+    Pass a staged table: every round reads it again, three or four times for most columns and seven at most.
     """
     bounds = bounds or column_bounds(df, columns)
     values = {name: _value(column) for name, column in columns.items()}
@@ -99,15 +128,10 @@ def order_statistics(
         found = bounds[name]
         spans += _open_or_answer(name, found.low, found.high, 0, sorted(set(some)), answers)
     while spans:
-        cells = F.array_compact(F.array(*[s.cell(values[s.name], i) for i, s in enumerate(spans)]))
-        counted = (
-            df.select(F.explode(cells).alias("c"))
-            .groupBy("c.span", "c.bucket")
-            .agg(F.count("*").alias("n"), F.min("c.value").alias("low"), F.max("c.value").alias("high"))
-        )
+        counted = _round(df, values, spans)
         at = [s.first for s in spans]
         further: list[_Span] = []
-        for number, _, n, low, high in sorted(map(tuple, counted.collect())):
+        for number, _, n, low, high in counted:
             inside = [r for r in spans[number].ranks if at[number] <= r < at[number] + n]
             further += _open_or_answer(spans[number].name, low, high, at[number], inside, answers)
             at[number] += n

@@ -16,6 +16,8 @@ from patronlens.staging import stage, staged
 # Columns that cannot be negative.
 NON_NEGATIVE = ["tenure_days", "total_purchases", "monetary", "customer_lifetime_value", "avg_purchase_amount"]
 
+KEY_ROWS = "rows_of_key"
+
 
 def drop_duplicate_keys(df: DataFrame, order_by: Sequence[str] = (), key: str = "customer_id") -> DataFrame:
     """One row per key: the first by ``order_by``, then by the remaining columns.
@@ -23,13 +25,23 @@ def drop_duplicate_keys(df: DataFrame, order_by: Sequence[str] = (), key: str =
     An aggregate instead of a window: copies of a key collapse in the map tasks, so a key with a third
     of all rows does not land whole in one task.
     """
+    return counted_keys(df, order_by, key).drop(KEY_ROWS)
+
+
+def counted_keys(df: DataFrame, order_by: Sequence[str] = (), key: str = "customer_id") -> DataFrame:
+    """:func:`drop_duplicate_keys` with the rows of each key in ``KEY_ROWS``, so that one pass gives the table and its counts."""
     rest = [c for c in df.columns if c != key and c not in order_by]
     ordered = F.struct(*order_by, *rest)
-    return df.groupBy(key).agg(F.min(ordered).alias("row")).select(
-        *[F.col(c) if c == key else F.col(f"row.{c}").alias(c) for c in df.columns]
+    return df.groupBy(key).agg(F.min(ordered).alias("row"), F.count(F.lit(1)).alias(KEY_ROWS)).select(
+        *[F.col(c) if c == key else F.col(f"row.{c}").alias(c) for c in df.columns], KEY_ROWS
     )
 
 
+def counts_of_keys(counted: DataFrame) -> DataFrame:
+    """Rows before and after the duplicates went, as one row; ``counted`` is read once, and with it the table before."""
+    return counted.agg(F.coalesce(F.sum(KEY_ROWS), F.lit(0)).alias("rows_before"), F.count(F.lit(1)).alias("rows_after"))
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
 

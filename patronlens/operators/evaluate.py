@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +18,9 @@ from patronlens.operators.labels import percentile_threshold
 from patronlens.operators.moments import cluster_moments, gap_between, points_of
 from patronlens.staging import staged
 
+SILHOUETTE_ROWS = 20_000
+TILE_ROWS = 512
+
 
 def regression_metrics(df: DataFrame, truth: str = "y_true", prediction: str = "y_pred") -> DataFrame:
     """rmse, mae, r2 and mape in percent over rows with truth and prediction; a true value of 0 has no relative error."""
@@ -219,5 +224,55 @@ def silhouette_squared(df: DataFrame, features: Sequence[str] | str, label: str
     ).evaluate(points_of(with_cluster(df, label), features))
 
 
+def silhouette(
+    df: DataFrame,
+    features: Sequence[str] | str,
+    label: str = "segment_id",
+    key: str = "customer_id",
+    rows: int = SILHOUETTE_ROWS,
+) -> float | None:
+    """Mean silhouette with plain Euclidean distance over at most ``rows`` rows, all of them if there are no more; null for a single cluster.
+
+    The plain form needs the distances of all pairs, so it is taken over a sample: the rows with the smallest hashes of ``key``. The sample
+    is what ``rows`` bounds and goes to every task as a matrix; a task holds tiles of its points against tiles of the sample and keeps
+    one sum of distances per point and cluster. The only point of a cluster counts 0, as do points at no distance from any other.
+    """
+    spark = df.sparkSession
+    points = points_of(with_cluster(df, label), features).select(
+        vector_to_array("point").alias("point"), F.col(label).cast("string").alias("label"), F.xxhash64(key, "point").alias("place")
+    )
+    share = min(1.0, 1.5 * rows / max(points.count(), 1))
+    if share < 1.0:
+        points = points.where(F.col("place") < F.lit(int(share * 2.0**64) - 2**63))
+    with staged(points.orderBy("place").limit(rows).select("point", "label"), "sample") as sample:
+        held = sample.toArrow()
+        names, cluster, sizes = np.unique(held.column("label").to_pylist(), return_inverse=True, return_counts=True)
+        if len(names) < 2:
+            return None
+        order = np.argsort(cluster, kind="stable")
+        matrix = np.array(held.column("point").to_pylist(), float)[order]
+        shared = spark.sparkContext.broadcast((matrix, cluster[order], sizes, {n: i for i, n in enumerate(names.tolist())}))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            every, group, size, number = shared.value
+            for part in (b.slice(i, TILE_ROWS) for b in batches for i in range(0, b.num_rows, TILE_ROWS)):
+                own = np.array([number[n] for n in part.column(1).to_pylist()])
+                some, at = np.array(part.column(0).to_pylist(), float), np.arange(len(own))
+                sums = np.zeros((len(own), len(size)))
+                for start in range(0, len(every), TILE_ROWS):
+                    tile, groups = every[start : start + TILE_ROWS], group[start : start + TILE_ROWS]
+                    apart = np.sqrt(((some[:, None, :] - tile[None]) ** 2).sum(axis=2))
+                    first = np.concatenate([[0], np.nonzero(np.diff(groups))[0] + 1])
+                    sums[:, groups[first]] += np.add.reduceat(apart, first, axis=1)
+                inside = sums[at, own] / np.maximum(size[own] - 1, 1)
+                sums[at, own] = np.inf
+                outside = (sums / size).min(axis=1)
+                widest = np.maximum(inside, outside)
+                score = np.where((size[own] > 1) & (widest > 0), (outside - inside) / np.where(widest > 0, widest, 1), 0.0)
+                yield pa.RecordBatch.from_arrays([pa.array([score.sum()]), pa.array([len(score)], pa.int64())], names=["total", "n"])
+
+        return sample.mapInArrow(run, "total double, n long").agg(F.sum("total") / F.sum("n")).first()[0]
+
+
 def cluster_count(df: DataFrame, label: str = "segment_id") -> DataFrame:
     return df.agg(F.count_distinct(label).alias("n_clusters"))

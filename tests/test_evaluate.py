@@ -127,3 +127,51 @@ def test_missing_predictions_leave_all_terms(spark):
     whole = [(1.0, 1.5), (2.0, 2.0), (4.0, 3.0)]
     df = spark.createDataFrame([*whole, (100.0, None), (None, 3.0)], "y_true double, y_pred double")
     assert evaluate.regression_metrics(df).first() == evaluate.regression_metrics(spark.createDataFrame(whole, "y_true double, y_pred double")).first()
+
+
+def plain_silhouette(points, labels):
+    points, scores = np.array(points, float), []
+    for i, own in enumerate(labels):
+        apart = np.sqrt(((points - points[i]) ** 2).sum(axis=1))
+        mean = {c: apart[[j for j, other in enumerate(labels) if other == c and j != i]] for c in set(labels)}
+        if not len(mean[own]):
+            scores.append(0.0)
+            continue
+        a, b = mean[own].mean(), min(m.mean() for c, m in mean.items() if c != own)
+        scores.append((b - a) / max(a, b) if max(a, b) else 0.0)
+    return float(np.mean(scores))
+
+
+def clustered(spark, points, labels):
+    rows = [(i, *map(float, p), None if c is None else int(c)) for i, (p, c) in enumerate(zip(points, labels))]
+    return spark.createDataFrame(rows, "customer_id long, x double, y double, segment_id int").repartition(5)
+
+
+def test_exact_silhouette(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    labels = [*rng.integers(0, 4, 299).tolist(), 9]  # one cluster of a single point
+    points = rng.normal(size=(300, 2)) + np.array([[3 * c, -c] for c in labels])
+    points[:20] = points[20:40]
+    df = clustered(spark, points, labels)
+    expected = plain_silhouette(points, labels)
+    assert evaluate.silhouette(df, ["x", "y"]) == pytest.approx(expected, abs=1e-12)
+    monkeypatch.setattr(evaluate, "TILE_ROWS", 7)
+    assert evaluate.silhouette(df, ["x", "y"]) == pytest.approx(expected, abs=1e-12)
+
+
+def test_silhouette_of_few_clusters(spark):
+    assert evaluate.silhouette(clustered(spark, [(0, 0), (1, 1)], [1, 1]), ["x", "y"]) is None
+    assert evaluate.silhouette(clustered(spark, [(0, 0), (1, 1)], [None, None]), ["x", "y"]) is None
+    assert evaluate.silhouette(clustered(spark, [(0, 0), (0, 0), (0, 0)], [1, 1, 2]), ["x", "y"]) == 0.0
+    assert evaluate.silhouette(clustered(spark, [(0, 0), (5, 5), (0, 1)], [1, None, 2]), ["x", "y"]) == 0.0
+
+
+def test_silhouette_of_a_sample(spark):
+    """The bound of the sample is kept, and the sample does not depend on the partitions."""
+    rng = np.random.default_rng(9)
+    labels = rng.integers(0, 3, 4000).tolist()
+    points = rng.normal(size=(4000, 2)) + np.array([[6 * c, 0] for c in labels])
+    df = clustered(spark, points, labels)
+    some = evaluate.silhouette(df, ["x", "y"], rows=500)
+    assert some == pytest.approx(evaluate.silhouette(df.repartition(3), ["x", "y"], rows=500), abs=1e-12)
+    assert some == pytest.approx(evaluate.silhouette(df, ["x", "y"]), abs=0.03)

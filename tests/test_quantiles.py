@@ -70,3 +70,42 @@ def test_nan_is_missing(spark):
 def test_many_partitions(spark):
     df = spark.range(0, 20_000, 1, 300).select(F.pmod(F.col("id") * 7919, F.lit(20_000)).cast("double").alias("x"))
     assert exact_quantiles(df, {"x": ["0.25", "0.5"]})["x"] == [4999.75, 9999.5]
+
+
+def spread(n, seed=2):
+    rng = np.random.default_rng(seed)
+    return {
+        "decades": 10.0 ** rng.uniform(-307, 308, n),
+        "both signs": rng.choice([-1.0, 1.0], n) * 10.0 ** rng.uniform(-300, 300, n),
+        "tiny": 10.0 ** rng.uniform(-323, -300, n),
+        "negative": -(10.0 ** rng.uniform(-300, 300, n)),
+        "near one": 1 + rng.integers(0, 10**6, n) * 2.0**-52,
+        "near a power": np.where(rng.random(n) < 0.5, 1e300, 1) * (1 + rng.integers(0, 99, n) * 2.0**-52),
+        "constant": np.full(n, -7.5),
+        "tied": rng.integers(-2, 3, n).astype(float),
+        "with infinities": np.where(rng.random(n) < 0.2, rng.choice([-np.inf, np.inf], n), rng.normal(size=n)),
+        "zeros": np.where(rng.random(n) < 0.8, 0.0, 10.0 ** rng.uniform(-320, 300, n)),
+    }
+
+
+@pytest.mark.parametrize("name", list(spread(1)))
+def test_seven_passes_are_enough(spark, monkeypatch, name):
+    rounds, plain = [], module._round
+    monkeypatch.setattr(module, "_round", lambda *args: rounds.append(1) or plain(*args))
+    values = spread(3000)[name]
+    df = frame(spark, x=values).coalesce(2)
+    ranks = list(range(0, 3000, 333))
+    found = order_statistics(df, {"x": F.col("x")}, {"x": ranks})
+    assert [found["x", r] for r in ranks] == np.sort(values)[ranks].tolist()
+    assert len(rounds) <= 7
+
+
+def test_buckets_never_fall(spark):
+    """However the zero, the powers of two and the ends lie."""
+    values = sorted({0.0, 5e-324, -5e-324, 1.0, -1.0, 1e308, -1e308, *(s * 2.0**e * m for s in (1, -1) for e in range(-1070, 1020, 7) for m in (1, 1.5))})
+    df = spark.createDataFrame([(v,) for v in values], "x double").coalesce(1)
+    for low, high in ((-1e308, 1e308), (0.0, 1e308), (-1.0, 1.0), (5e-324, 1.0), (-1e308, -5e-324), (1.0, 16.5)):
+        span = module._Span("x", low, high, 0, ())
+        rows = df.where((F.col("x") >= low) & (F.col("x") <= high)).select("x", span.bucket(F.col("x")).alias("b")).collect()
+        buckets = [r["b"] for r in sorted(rows, key=lambda r: r["x"])]
+        assert buckets == sorted(buckets) and len(set(buckets)) > 1
