@@ -130,6 +130,20 @@ dedup AS (
   SELECT * EXCLUDE (place, copy) FROM
     (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY copy) AS place FROM dirty) WHERE place = 1)"""
 
+# What all values of a column of the customer file are; two whole columns have holes in the dirty one and become doubles.
+WITH_HOLES = ["monetary", "support_tickets"]
+
+
+def _inferred(name: str, kind: str) -> str:
+    if kind == "string":
+        shown, total = "string", f"sum(length({name}))::DOUBLE"
+    else:
+        shown, total = "bigint" if kind == "int" and name not in WITH_HOLES else "double", f"sum({name}::DOUBLE)"
+    return f"SELECT '{name}' AS name, '{shown}' AS type, count({name}) AS present, {r(total, 2)} AS total FROM dirty"
+
+
+INFERRED = " UNION ALL ".join(_inferred(name, kind) for name, kind in [*((f.name, f.dataType.simpleString()) for f in schema.CUSTOMER), ("copy", "int")])
+
 NUMERIC = [f.name for f in schema.CUSTOMER if f.name not in ("customer_id", "account_type")]
 MEDIANS = ", ".join(f"median({c}::DOUBLE) AS {c}" for c in NUMERIC)
 
@@ -346,6 +360,7 @@ ORACLE: dict[str, str] = {
       coalesce(total_purchases / nullif(support_tickets, 0), 0) AS per_ticket FROM p""",
     # sources and sinks
     "csv_round_trip": plain(ALL_COLUMNS, "p", PROFILE),
+    "csv_inferred": f"WITH {DIRTY} {INFERRED}",
     "parquet_round_trip": plain(ALL_COLUMNS, "p", PROFILE),
     "json_records": plain(SCORING_COLUMNS, "p", PROFILE),
     # customer profile
@@ -430,6 +445,10 @@ ORACLE: dict[str, str] = {
         10 AS importances, 5 AS factors, 5 AS segments, count(*) AS customers, true AS explains, true AS separates,
         count(*) FILTER (churn_test) AS churn_test_rows,
         {r("1 - avg(churned) FILTER (churn_test AND clv_test)")} AS actual_retention_rate FROM marked""",
+    "cross_validation_clv": f"""WITH {PROFILE} SELECT ({HASH8} % 5)::INTEGER AS fold, count(*) AS customers, count(*) AS predicted,
+      count(*) AS different, true AS not_negative, true AS explains FROM p GROUP BY 1""",
+    "cross_validation_segments": f"""WITH {PROFILE} SELECT ({HASH8} % 5)::INTEGER AS fold, count(*) AS customers, count(*) AS in_a_segment,
+      count(*) AS measured, count(*) AS different FROM p GROUP BY 1""",
     "cross_validation": "SELECT 5::BIGINT AS folds, 5::BIGINT AS in_range, true AS summary_fits, true AS in_order",
     "clv_model": f"""WITH {PROFILE} SELECT customer_id, {r("customer_lifetime_value", 2)} AS customer_lifetime_value,
       true AS not_negative, true AS explains FROM p WHERE {HASH8} % 100 < 20""",

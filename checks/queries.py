@@ -26,7 +26,7 @@ from patronlens.functions import clip, cut, qcut_code, qcut_label, quantile_edge
 from patronlens.functions import sketches
 from patronlens.operators import clean, evaluate, features, labels, moments, reports, serving, split
 from patronlens.operators import profile as prof
-from patronlens.operators.models import ChurnModel, ClvModel, summary_of_scores
+from patronlens.operators.models import ChurnModel, ClvModel, SegmentModel, summary_of_scores
 from patronlens.plans.dashboard import scored_customers
 from patronlens.plans.scoring import ModelSet, answers, quarantine, read_scored, score_batch, score_records
 from patronlens.plans.training import TrainingRun, prepare, train
@@ -122,6 +122,19 @@ def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return sources.read_customers_csv(spark, path)
 
 
+def csv_inferred(spark: SparkSession, folder: str) -> DataFrame:
+    """The customer file with inferred types, defects included: a type per column, its values and a sum or a count of letters."""
+    path = new_path(spark, "customers-inferred")
+    sinks.write_csv(dirty_profile(spark, folder), path)
+    found = sources.read_csv_inferred(spark, path)
+    kinds = dict(found.dtypes)
+    wanted = []
+    for c, kind in kinds.items():
+        total = F.sum(F.length(c)).cast("double") if kind == "string" else F.sum(F.col(c).cast("double"))
+        wanted.append(F.struct(F.lit(c).alias("name"), F.lit(kind).alias("type"), F.count(c).alias("present"), total.alias("total")))
+    return rounded(found.agg(F.array(*wanted).alias("columns")).select(F.inline("columns")), 2)
+
+
 def parquet_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     path = new_path(spark, "customers-parquet")
     sinks.write_parquet(profile(spark, folder), path)
@@ -395,6 +408,27 @@ def folds(spark: SparkSession, folder: str) -> DataFrame:
     return split.mark_folds(profile(spark, folder)).select("customer_id", "fold")
 
 
+def cross_validation_clv(spark: SparkSession, folder: str) -> DataFrame:
+    """Out-of-fold predictions with full settings: rows of each fold, rows that have a prediction, and whether these explain the values."""
+    found = stage(ClvModel().out_of_fold(staged_features(spark, folder)), "out-of-fold")
+    label = schema.CLV_TARGET
+    error = F.col("predicted_clv") - F.col(label)
+    r2 = 1 - F.try_divide(F.avg(error * error), F.var_pop(label))
+    return found.groupBy("fold").agg(
+        F.count(F.lit(1)).alias("customers"), F.count("predicted_clv").alias("predicted"), F.count_distinct("customer_id").alias("different"),
+        (F.min("predicted_clv") >= 0).alias("not_negative"), (r2 > 0).alias("explains"),
+    )
+
+
+def cross_validation_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Out-of-fold segments with full settings: rows of each fold, and rows with one of the segments and a distance to its centre."""
+    found = stage(SegmentModel().out_of_fold(staged_features(spark, folder)), "out-of-fold")
+    return found.groupBy("fold").agg(
+        F.count(F.lit(1)).alias("customers"), F.count_if(F.col("segment_id").between(0, 4)).alias("in_a_segment"),
+        F.count_if(F.col("distance_to_center") >= 0).alias("measured"), F.count_distinct("customer_id").alias("different"),
+    )
+
+
 def cross_validation(spark: SparkSession, folder: str) -> DataFrame:
     """The summary against the scores of the five folds, for a model with its full settings."""
     table = staged_features(spark, folder)
@@ -953,6 +987,7 @@ REGISTERED: list[Callable[[SparkSession, str], DataFrame]] = [
     clipped_values,
     guarded_division,
     csv_round_trip,
+    csv_inferred,
     parquet_round_trip,
     json_records,
     training_report_file,
@@ -1000,6 +1035,8 @@ REGISTERED: list[Callable[[SparkSession, str], DataFrame]] = [
     rows_kept,
     folds,
     cross_validation,
+    cross_validation_clv,
+    cross_validation_segments,
     clv_model,
     churn_model,
     churn_probabilities,

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 from typing import Any
 
@@ -135,12 +137,25 @@ class CustomerModel:
         self, df: DataFrame, features: list[str] | None = None, folds: int = 5, scoring: str | None = None
     ) -> list[float | None]:
         """Score of a fresh model on each fold, trained on the others."""
+        wanted = scoring or self.default_score
+        return self._each_fold(df, features, folds, lambda model, fold, held: model.score(held.drop("fold"), wanted))
+
+    def out_of_fold(self, df: DataFrame, features: list[str] | None = None, folds: int = 5) -> DataFrame:
+        """``df``, a staged table, with ``fold`` and the predictions of the model that was trained on the other folds."""
+        parts = self._each_fold(df, features, folds, lambda model, fold, held: model.transform(held))
+        return reduce(DataFrame.unionByName, parts)
+
+    def _each_fold(self, df: DataFrame, features: list[str] | None, folds: int, use: Callable) -> list:
+        """``use(model, fold, rows of the fold)`` for a fresh model per fold; the folds share the cluster and are fitted at the same time."""
         folded = mark_folds(df, folds)
-        scores = []
-        for fold in range(folds):
+        ensure_checkpoint_dir(df.sparkSession)
+
+        def one(fold: int):
             model = type(self)(**self.params).fit(folded.filter(F.col("fold") != fold), features)
-            scores.append(model.score(folded.filter(F.col("fold") == fold), scoring or self.default_score))
-        return scores
+            return use(model, fold, folded.filter(F.col("fold") == fold))
+
+        with ThreadPool(folds) as pool:
+            return pool.map(inheritable_thread_target(df.sparkSession)(one), range(folds))
 
     def importances(self) -> list[tuple[str, float]]:
         """Feature and importance, most important first."""
