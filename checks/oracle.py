@@ -335,6 +335,30 @@ both_ways AS (SELECT x.a AS feature_a, x.b AS feature_b, x.c AS c FROM pairs
 SELECT feature_a, feature_b, {r("c")} AS correlation FROM both_ways"""
 
 
+
+
+def history(months: int) -> str:
+    """The measures rebuilt for the day after every period of so many months."""
+    days = """bounds AS (SELECT date_trunc('month', min(day)) AS lo, max(day) AS hi FROM
+  (SELECT o_orderdate AS day FROM orders UNION ALL SELECT ts FROM events)),
+grid AS (SELECT (unnest(generate_series(lo, hi, INTERVAL {0} MONTH)) + INTERVAL {0} MONTH)::DATE AS d FROM bounds)"""
+    rebuilt = (
+        MEASURES.replace("SELECT o_custkey, count(*)", "SELECT d AS od, o_custkey, count(*)")
+        .replace("FROM orders GROUP BY o_custkey", "FROM orders JOIN grid ON o_orderdate < d GROUP BY d, o_custkey")
+        .replace("today AS (SELECT max(o_orderdate)::DATE + 1 AS d FROM orders),\n", "")
+        .replace("SELECT user_id, count(*)", "SELECT d AS ed, user_id, count(*)")
+        .replace("FROM events GROUP BY user_id", "FROM events JOIN grid ON ts < d WHERE event_type <> 'signup' GROUP BY d, user_id")
+        .replace("SELECT c_custkey AS custkey", "SELECT d AS as_of, c_custkey AS custkey")
+        .replace("CROSS JOIN today", "CROSS JOIN grid")
+        .replace("ON o_custkey = c_custkey", "ON o_custkey = c_custkey AND od = d")
+        .replace("ON user_id = c_custkey", "ON user_id = c_custkey AND ed = d")
+    )
+    return f"{days.format(months)},{rebuilt}"
+
+
+HISTORY_COLUMNS = ["custkey", "account_type", "total_purchases", "tenure_days", "recency", "support_tickets", "churned"]
+HISTORY_ROUNDED = [c for c in ROUNDED if c != "purchase_frequency"]
+
 MONTHLY = """months AS (SELECT date_trunc('month', o_orderdate)::DATE AS period, count(*) AS n, sum(o_totalprice) AS v
   FROM orders GROUP BY 1)"""
 
@@ -612,6 +636,18 @@ ORACLE: dict[str, str] = {
     "orders_per_month": f"""WITH {MONTHLY} SELECT period, n AS rows, {r("v", 2)} AS value FROM months""",
     "monthly_kpi_delta": f"""WITH {MONTHLY}, changed AS (SELECT *, v - lag(v) OVER (ORDER BY period) AS d FROM months)
       SELECT period, {r("v", 2)} AS value, {r("d", 2)} AS delta, {r("v - d", 2)} AS reference FROM changed""",
+    "profiles_by_year": f"""WITH {history(12)} SELECT as_of, {", ".join(HISTORY_COLUMNS)},
+      {", ".join(f"{half_even(c)} AS {c}" for c in HISTORY_ROUNDED)} FROM m""",
+    "kpi_deltas": f"""WITH {history(1)}, v AS (SELECT as_of, churned, round({half_even("customer_lifetime_value")} * 100)::BIGINT AS cents FROM m),
+      q AS (SELECT as_of, quantile_cont(cents::DOUBLE, 0.75) AS upper FROM v GROUP BY as_of),
+      k AS (SELECT as_of, count(*) AS total_customers, sum(cents)::BIGINT / count(*) / 100 AS avg_clv,
+        sum(churned)::BIGINT / count(*) AS churn_rate, count(*) FILTER (cents > upper) AS high_value_customers
+        FROM v JOIN q USING (as_of) GROUP BY as_of)
+      SELECT as_of, total_customers, {r("avg_clv")} AS avg_clv, {r("churn_rate")} AS churn_rate, high_value_customers,
+        total_customers - lag(total_customers) OVER w AS total_customers_delta, {r("avg_clv - lag(avg_clv) OVER w")} AS avg_clv_delta,
+        {r("churn_rate - lag(churn_rate) OVER w")} AS churn_rate_delta,
+        high_value_customers - lag(high_value_customers) OVER w AS high_value_customers_delta
+      FROM k WINDOW w AS (ORDER BY as_of)""",
     "feature_correlations": correlation_query(),
     "segment_radar": f"""WITH {CLUSTERS} SELECT segment_id, feature, {r("c")} AS value FROM cm""",
     "first_customers": scores(f"""customer_id, account_type, '$' || {two_digits("predicted_clv")} AS predicted_clv,

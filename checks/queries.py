@@ -21,10 +21,11 @@ from checks.frames import (
     staged_scores,
     tables,
 )
+from checks.oracle import HISTORY_COLUMNS, HISTORY_ROUNDED
 from patronlens import schema
-from patronlens.functions import clip, cut, qcut_code, qcut_label, quantile_edges, safe_divide
+from patronlens.functions import clip, cut, qcut_code, qcut_label, quantile_edges, round_half_even, safe_divide
 from patronlens.functions import sketches
-from patronlens.operators import clean, evaluate, features, labels, moments, reports, serving, split
+from patronlens.operators import clean, evaluate, features, history, labels, moments, reports, serving, split
 from patronlens.operators import profile as prof
 from patronlens.operators.models import ChurnModel, ClvModel, SegmentModel, summary_of_scores
 from patronlens.plans.dashboard import scored_customers
@@ -895,6 +896,20 @@ def monthly_kpi_delta(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(reports.kpi_delta(series, "value", "delta").select("period", "value", "delta", "reference"), 2)
 
 
+def profiles_by_year(spark: SparkSession, folder: str) -> DataFrame:
+    """The customer table as it stood after every year."""
+    customer, orders, events = tables(spark, folder)
+    past = history.profile_history(customer, orders, events, history.periods_of(orders, events, months=12))
+    return past.select("as_of", *[F.col(c) for c in HISTORY_COLUMNS], *[round_half_even(c, 2).alias(c) for c in HISTORY_ROUNDED])
+
+
+def kpi_deltas(spark: SparkSession, folder: str) -> DataFrame:
+    """The dashboard's KPIs at the end of every month, with the change to the month before."""
+    customer, orders, events = tables(spark, folder)
+    past = history.profile_history(customer, orders, events, history.periods_of(orders, events))
+    return rounded(history.kpis_with_change(history.period_kpis(past)))
+
+
 def feature_correlations(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(moments.correlation_matrix(staged_features(spark, folder), schema.FEATURES_REF))
 
@@ -1092,6 +1107,8 @@ REGISTERED: list[Callable[[SparkSession, str], DataFrame]] = [
     value_churn_grid,
     orders_per_month,
     monthly_kpi_delta,
+    profiles_by_year,
+    kpi_deltas,
     feature_correlations,
     segment_radar,
     first_customers,
