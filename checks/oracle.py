@@ -653,3 +653,4 @@ ORACLE: dict[str, str] = {
     "first_customers": scores(f"""customer_id, account_type, '$' || {two_digits("predicted_clv")} AS predicted_clv,
       risk_category, {NAME} AS segment_name""", "ORDER BY customer_id LIMIT 10"),
 }
+ORACLE["parquet_stream_against_batch"] = ORACLE["stream_against_batch"]

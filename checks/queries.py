@@ -926,12 +926,14 @@ def first_customers(spark: SparkSession, folder: str) -> DataFrame:
 # --- stream -------------------------------------------------------------------------------------
 
 
-def scored_stream(spark: SparkSession, folder: str, models: ModelSet) -> tuple[DataFrame, str]:
+def scored_stream(spark: SparkSession, folder: str, models: ModelSet, file_format: str = "json") -> tuple[DataFrame, str]:
     """Records of all customers, defects included, and the folder with the answers of a stream over them."""
     incoming, out, checkpoint = (new_path(spark, name) for name in ("incoming", "answers", "stream-state"))
-    dirty_profile(spark, folder).select(*schema.SCORING.names).write.json(incoming)
-    score_stream(read_record_stream(spark, incoming), models, out, checkpoint).awaitTermination()
-    return sources.read_records_json(spark, incoming), out
+    dirty_profile(spark, folder).select(*schema.SCORING.names).write.format(file_format).save(incoming)
+    score_stream(read_record_stream(spark, incoming, file_format), models, out, checkpoint).awaitTermination()
+    if file_format == "json":
+        return sources.read_records_json(spark, incoming), out
+    return spark.read.schema(schema.SCORING_TEXT).format(file_format).load(incoming), out
 
 
 def stream_scores(spark: SparkSession, folder: str) -> DataFrame:
@@ -942,10 +944,15 @@ def stream_scores(spark: SparkSession, folder: str) -> DataFrame:
     return facts.groupBy("customer_id").agg(F.count("*").alias("answers"), F.count_if(good).alias("good_answers"))
 
 
-def stream_against_batch(spark: SparkSession, folder: str) -> DataFrame:
+def parquet_stream_against_batch(spark: SparkSession, folder: str) -> DataFrame:
+    """:func:`stream_against_batch` over records in Parquet files."""
+    return stream_against_batch(spark, folder, "parquet")
+
+
+def stream_against_batch(spark: SparkSession, folder: str, file_format: str = "json") -> DataFrame:
     """All records of both, with how often they occur: a doubled, lost or different one is counted as such."""
     models = models_of(spark, folder)
-    records, out = scored_stream(spark, folder, models)
+    records, out = scored_stream(spark, folder, models, file_format)
     batch = new_path(spark, "batch")
     score_batch(records, models, batch)
 
@@ -1114,4 +1121,5 @@ REGISTERED: list[Callable[[SparkSession, str], DataFrame]] = [
     first_customers,
     stream_scores,
     stream_against_batch,
+    parquet_stream_against_batch,
 ]

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronlens import schema
+from patronlens import schema, versions
 from patronlens.functions import round_half_even
 from patronlens.operators import labels
 from patronlens.operators.clean import mark_violations
@@ -105,7 +105,12 @@ def write_scored(scored: DataFrame, out: str) -> None:
 
 
 def read_scored(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.schema(schema.SCORED).parquet(out)
+    """A scored batch, or the published micro-batches of a stream."""
+    if not versions.is_versioned(spark, out):
+        return spark.read.schema(schema.SCORED).parquet(out)
+    folders = versions.published(spark, out).values()
+    reader = spark.read.schema(schema.SCORED).option("basePath", out)
+    return reader.parquet(*folders) if folders else spark.createDataFrame([], schema.SCORED)
 
 
 def answers(spark: SparkSession, out: str) -> DataFrame:

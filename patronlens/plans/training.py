@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 from multiprocessing.pool import ThreadPool
@@ -12,7 +13,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from patronlens import schema
+from patronlens import schema, versions
 from patronlens.operators import evaluate
 from patronlens.operators.clean import clean_customers
 from patronlens.operators.features import FeatureStats, feature_table, fill_features, fit_features, fit_fills, listed_columns
@@ -64,6 +65,20 @@ class TrainingRun:
         self.data.stats.to_table(spark).coalesce(1).write.mode("overwrite").json(f"{path}/feature_stats")
         write_report(self.report_table(spark), f"{path}/training_report")
 
+    def publish(self, spark: SparkSession, path: str, keep: int = 3) -> int:
+        """Save as a new version under ``path``; readers see the old one until all of the new one is written."""
+        folder = f"version-{uuid.uuid4().hex}"
+        self.save(spark, f"{path}/{folder}")
+        number = versions.publish(spark, path, folder)
+        versions.prune(spark, path, keep)
+        return number
+
+
+def load_published(spark: SparkSession, path: str, number: int | None = None) -> tuple[ModelSet, FeatureStats]:
+    """Models and fitted statistics of the newest published version, or of the one asked for; both of one training."""
+    folder = versions.current(spark, path, number)
+    return ModelSet.load(spark, f"{folder}/models"), load_stats(spark, folder)
+
 
 def load_stats(spark: SparkSession, path: str) -> FeatureStats:
     return FeatureStats.from_json(spark.read.schema("stats string").json(f"{path}/feature_stats").first()[0])

@@ -123,7 +123,8 @@ def test_sample_record_gets_a_full_answer(spark, training):
     assert row["segment"]["segment_id"] >= 0 and len(row["segment"]["recommended_actions"]) == 3
 
 
-def test_stream_equals_batch_and_goes_on_after_a_stop(spark, folder, training, tmp_path):
+@pytest.mark.parametrize("file_format", ["json", "parquet"])
+def test_stream_equals_batch_and_goes_on_after_a_stop(spark, folder, training, tmp_path, file_format):
     records = stage(dirty_profile(spark, folder).select(*schema.SCORING.names), "records")
     batch = score_batch(records, training.models, str(tmp_path / "batch")).first()
     assert batch["total_customers"] + batch["rejected_records"] == records.count()
@@ -131,8 +132,9 @@ def test_stream_equals_batch_and_goes_on_after_a_stop(spark, folder, training, t
     incoming, out, state = (str(tmp_path / n) for n in ("incoming", "answers", "state"))
     first, second = records.randomSplit([0.5, 0.5], seed=1)
     for part in (first, second):
-        part.write.mode("append").json(incoming)
-        query = score_stream(read_record_stream(spark, incoming, max_files_per_trigger=3), training.models, out, state)
+        part.write.mode("append").format(file_format).save(incoming)
+        source = read_record_stream(spark, incoming, file_format, max_files_per_trigger=3)
+        query = score_stream(source, training.models, out, state)
         query.awaitTermination()
     key = str  # two records of a customer may come in either order
     streamed = sorted(answers(spark, out).collect(), key=key)
