@@ -442,6 +442,12 @@ ORACLE: dict[str, str] = {
       labels AS (SELECT label, (dense_rank() OVER (ORDER BY label) - 1)::INTEGER AS code FROM
         (SELECT DISTINCT account_type AS label FROM split WHERE NOT is_test))
       SELECT customer_id, code AS account_type FROM split JOIN labels ON label = account_type WHERE is_test""",
+    "category_codes": f"""WITH {PROFILE}, {SPLIT.format("p")},
+      fitted AS (SELECT label, dense_rank() OVER (ORDER BY label) - 1 AS code FROM
+        (SELECT DISTINCT account_type AS label FROM split WHERE NOT is_test))
+      SELECT customer_id, row_number() OVER (ORDER BY customer_id) - 1 AS label,
+        CASE WHEN account_type IS NOT NULL THEN coalesce(code, (SELECT count(*) FROM fitted)) END AS account_type
+      FROM split LEFT JOIN fitted ON fitted.label = account_type""",
     "feature_table": f"WITH {FEATURES} SELECT * FROM ft",
     "scaled_features": f"WITH {FEATURES} {scaled('ft', 'ft', schema.FEATURES_REF)}",
     "scaled_held_out": f"""WITH {FEATURES}, {SPLIT.format("ft")},

@@ -25,7 +25,7 @@ from checks.oracle import HISTORY_COLUMNS, HISTORY_ROUNDED
 from patronlens import schema
 from patronlens.functions import clip, cut, qcut_code, qcut_label, quantile_edges, round_half_even, safe_divide
 from patronlens.functions import sketches
-from patronlens.operators import clean, evaluate, features, history, labels, moments, reports, serving, split
+from patronlens.operators import categories, clean, evaluate, features, history, labels, moments, reports, serving, split
 from patronlens.operators import profile as prof
 from patronlens.operators.models import ChurnModel, ClvModel, SegmentModel, summary_of_scores
 from patronlens.plans.dashboard import scored_customers
@@ -349,6 +349,14 @@ def account_codes_held_out(spark: SparkSession, folder: str) -> DataFrame:
     return features.encode_account_type(split.test_part(marked), stats).select("customer_id", "account_type")
 
 
+def category_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Codes by a label table: of a column with a label per customer, and of account types fitted on the training part only."""
+    marked = split.mark_hash_split(staged_profile(spark, folder)).withColumn("label", F.col("customer_id"))
+    coded = categories.encode_by_table(marked, "label", categories.label_table(marked, "customer_id"))
+    fitted = categories.label_table(split.train_part(marked), "account_type")
+    return categories.encode_by_table(coded, "account_type", fitted, "keep").select("customer_id", "label", "account_type")
+
+
 def feature_table(spark: SparkSession, folder: str) -> DataFrame:
     return features.feature_table(*fitted_profile(spark, folder))
 
@@ -1045,6 +1053,7 @@ REGISTERED: list[Callable[[SparkSession, str], DataFrame]] = [
     value_features,
     account_codes,
     account_codes_held_out,
+    category_codes,
     feature_table,
     scaled_features,
     scaled_held_out,
