@@ -1,13 +1,15 @@
 """SimHash near-duplicates: exact comparison of fingerprints in tiles.
 
-A fingerprint is cut into four words of 16 bits. Two fingerprints within the radius have bit counts
-that differ, summed over the four words, by the radius at most; so a tile, which holds fingerprints
+A fingerprint is cut into radius + 1 parts. Two fingerprints within the radius are equal in one part at
+least, so only fingerprints of a block, those of one equal part, are compared. A block of up to ``TILE_ROWS``
+is one tile. A larger one is cut by bit counts of four 16-bit words: two fingerprints within the radius
+have counts that differ, summed over the words, by the radius at most; so a tile, which holds fingerprints
 of equal bit counts, is compared only with tiles whose counts are that close. Inside a pair of tiles
 numpy compares everything: exclusive-or and a count of bits, no candidate is left out.
 
 Nulls: a null text is empty; empty texts have fingerprint zero and link like any other. A null id
 takes part but never names a component unless all ids of the component are null. Rows with the
-same id are separate rows. Other columns of the input are ignored.
+same id are separate rows. Other columns of the input are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -84,27 +86,42 @@ def _cell(counts) -> F.Column:
     return sum((c * (32**i) for i, c in enumerate(counts)), F.lit(0).cast("long"))
 
 
-def tiles(prints: DataFrame, radius: int) -> DataFrame:
-    """``cell, tile, role, bits``: what every tile holds (role 0) and what visits it (role 1)."""
-    placed = prints.withColumn("counts", F.array(*_counts()))
+def blocks(prints: DataFrame, radius: int) -> DataFrame:
+    """``bits, block``: every fingerprint under each of its radius + 1 parts; two within the radius share a block."""
+    cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
+    masks = [(1 << hi - lo) - 1 if hi - lo < 64 else -1 for lo, hi in zip(cuts, cuts[1:])]
+    # The hash of a part and its number; two parts under one hash would only be compared in vain.
+    parts = [F.xxhash64(F.lit(i), F.shiftrightunsigned("bits", lo).bitwiseAND(F.lit(mask))) for i, (lo, mask) in enumerate(zip(cuts, masks))]
+    return prints.select("bits", F.explode(F.array(*parts)).alias("block"))
+
+
+def large_blocks(prints: DataFrame, radius: int) -> DataFrame:
+    """``block`` of more than ``TILE_ROWS`` fingerprints."""
+    return blocks(prints, radius).groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TILE_ROWS).select("block")
+
+
+def tiles(prints: DataFrame, radius: int, large: DataFrame) -> DataFrame:
+    """``tile, role, bits``: what every tile holds (role 0) and what visits it (role 1)."""
+    parted = blocks(prints, radius)
+    small = parted.join(large, "block", "left_anti").select(F.xxhash64("block").alias("tile"), F.lit(0).alias("role"), "bits")
+    placed = parted.join(large, "block").withColumn("counts", F.array(*_counts()))
     counts = [F.col("counts")[i] for i in range(WORDS)]
-    placed = placed.select("bits", "counts", _cell(counts).alias("cell"))
-    # At most 17 ** 4 rows, whatever the input.
-    cells = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).alias("tiles"))
-    homes = placed.join(F.broadcast(cells), "cell").withColumn("tile", F.pmod(F.xxhash64("bits"), "tiles"))
-    steps = F.array(*[F.array(*[F.lit(x).cast("long") for x in d]) for d in _steps(radius)])
-    moved = placed.select("bits", "counts", F.explode(steps).alias("step"))
+    placed = placed.select("bits", "block", "counts", _cell(counts).alias("cell"))
+    # Rows of large blocks only, at most 17 ** 4 cells each.
+    cells = placed.groupBy("block", "cell").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).alias("tiles"))
+    homes = placed.join(cells, ["block", "cell"]).withColumn("number", F.pmod(F.xxhash64("bits"), "tiles"))
+    steps = F.array(*[F.array(*[F.lit(x) for x in d]) for d in _steps(radius)]).cast("array<array<long>>")
+    moved = placed.select("bits", "block", "counts", F.explode(steps).alias("step"))
     target = [F.col("counts")[i] + F.col("step")[i] for i in range(WORDS)]
     inside = F.least(*target) >= 0, F.greatest(*target) <= WORD_BITS
-    visits = moved.where(inside[0] & inside[1]).select("bits", _cell(target).alias("cell"))
-    visitors = visits.join(F.broadcast(cells), "cell").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    # Larger tiles of the own cell.
-    further = homes.where("tile + 1 < tiles").withColumn("tile", F.explode(F.sequence(F.col("tile") + 1, F.col("tiles") - 1)))
-    row = ["cell", F.col("tile").cast("long").alias("tile")]
-    held = homes.select(*row, F.lit(0).alias("role"), "bits")
-    return held.unionByName(visitors.select(*row, F.lit(1).alias("role"), "bits")).unionByName(
-        further.select(*row, F.lit(1).alias("role"), "bits")
-    )
+    visits = moved.where(inside[0] & inside[1]).select("bits", "block", _cell(target).alias("cell"))
+    visitors = visits.join(cells, ["block", "cell"]).withColumn("number", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    # Later tiles of the own cell.
+    further = homes.where("number + 1 < tiles").withColumn("number", F.explode(F.sequence(F.col("number") + 1, F.col("tiles") - 1)))
+    tile = F.xxhash64("block", "cell", F.col("number").cast("long")).alias("tile")
+    held = homes.select(tile, F.lit(0).alias("role"), "bits")
+    visiting = [df.select(tile, F.lit(1).alias("role"), "bits") for df in (visitors, further)]
+    return small.unionByName(held).unionByName(visiting[0]).unionByName(visiting[1])
 
 
 def _pairs(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -163,22 +180,27 @@ class _Tile:
 
 
 def compare_tiles(radius: int):
-    """Links between fingerprints of a tile and of its visitors, for rows sorted by cell, tile and role."""
+    """Links between fingerprints of a tile and of its visitors, for rows sorted by tile and role."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, tile = None, None
         for batch in batches:
-            cell, number, role, bits = (batch.column(i).to_numpy() for i in range(4))
+            keys, role, bits = (batch.column(i).to_numpy() for i in range(3))
+            if not len(keys):
+                continue
             bits = bits.view(np.uint64)
-            change = (np.diff(cell) != 0) | (np.diff(number) != 0) | (np.diff(role) != 0)
-            cuts = [0, *(np.nonzero(change)[0] + 1).tolist(), len(cell)]
+            new_key = np.concatenate([[True], keys[1:] != keys[:-1], [True]])
+            change = new_key.copy()
+            change[1:-1] |= role[1:] != role[:-1]
+            cuts = np.nonzero(change)[0]
+            # A row that is alone in its tile meets nothing; at the ends of a batch its tile may go on.
+            alone = new_key[cuts[:-1]] & new_key[cuts[1:]] & (np.diff(cuts) == 1)
+            alone[[0, -1]] = False
             links = []
-            for lo, hi in zip(cuts, cuts[1:]):
-                if lo == hi:
-                    continue
-                if (cell[lo], number[lo]) != key:
+            for lo, hi in zip(cuts[:-1][~alone].tolist(), cuts[1:][~alone].tolist()):
+                if keys[lo] != key:
                     links += tile.close() if tile else []
-                    key, tile = (cell[lo], number[lo]), _Tile(radius)
+                    key, tile = keys[lo], _Tile(radius)
                 if role[lo] == 0:
                     tile.parts.append(bits[lo:hi])
                 else:
@@ -196,22 +218,26 @@ def _batch(links: list) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["src", "dst"])
 
 
-def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``src, dst``: links between distinct ``bits``, enough of them to connect all that are within the radius."""
-    placed = tiles(prints, radius).repartition("cell", "tile").sortWithinPartitions("cell", "tile", "role")
-    return placed.mapInArrow(compare_tiles(radius), "src long, dst long")
+def links(prints: DataFrame, radius: int = RADIUS, large: DataFrame | None = None) -> DataFrame:
+    """``src, dst``: links between distinct ``bits``, enough of them to connect all that are within the radius.
+
+    ``large`` may bring the large blocks, already written.
+    """
+    placed = tiles(prints, radius, large_blocks(prints, radius) if large is None else large)
+    return placed.repartition("tile").sortWithinPartitions("tile", "role").mapInArrow(compare_tiles(radius), "src long, dst long")
 
 
 def _classes(printed: DataFrame, least: F.Column, radius: int) -> DataFrame:
     """``bits, least`` of every fingerprint: the minimum of ``least`` over the rows of its component."""
     spark = printed.sparkSession
     distinct, distinct_path = keep(printed.groupBy("bits").agg(F.min(least).alias("least")), "distinct")
-    linked, linked_path = keep(links(distinct.select("bits"), radius), "links")
+    large, large_path = keep(large_blocks(distinct.select("bits"), radius), "blocks")
+    linked, linked_path = keep(links(distinct.select("bits"), radius, large), "links")
     roots, roots_path = connected_components(linked)
     named = roots.join(distinct, roots.node == distinct.bits).groupBy("component").agg(F.min("least").alias("least"))
     member = roots.join(named, "component").select(F.col("node").alias("bits"), F.col("least").alias("joined"))
     classes, _ = keep(distinct.join(member, "bits", "left").select("bits", F.coalesce("joined", "least").alias("least")), "classes")
-    forget(spark, distinct_path, linked_path, roots_path)
+    forget(spark, distinct_path, large_path, linked_path, roots_path)
     return classes
 
 

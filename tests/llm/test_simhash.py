@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 from helpers import docs_of, prose
 
@@ -83,6 +84,42 @@ def test_dense_tiles(spark, monkeypatch):
     assert sorted(map(sorted, parts.values())) == sorted(sorted(p) for p in expected.values() if len(p) > 1)
 
 
+@pytest.mark.parametrize("radius", [0, 1, 2, 3, 5])
+@pytest.mark.parametrize("tile_rows", [4, 2048])
+def test_links_of_any_radius(spark, monkeypatch, radius, tile_rows):
+    """The links connect what brute force connects and nothing else, in small blocks and in cut ones."""
+    monkeypatch.setattr(simhash, "TILE_ROWS", tile_rows)
+    r = random.Random(radius)
+    centers = [r.getrandbits(64) for _ in range(8)] + [0, (1 << 64) - 1]
+    bits = sorted({c ^ sum(1 << b for b in r.sample(range(64), r.randint(0, radius + 3))) for c in centers for _ in range(25)})
+    signed = [(int(np.uint64(b).astype(np.int64)),) for b in bits]
+    found = [(a % (1 << 64), b % (1 << 64)) for a, b in simhash.links(spark.createDataFrame(signed, "bits long"), radius).collect()]
+    wanted = [(a, b) for i, a in enumerate(bits) for b in bits[:i] if (a ^ b).bit_count() <= radius]
+
+    def groups(links):
+        root = {b: b for b in bits}
+
+        def find(b):
+            while root[b] != b:
+                b = root[b]
+            return b
+
+        for a, b in links:
+            root[find(a)] = find(b)
+        return Counter(tuple(b for b in bits if find(b) == top) for top in {find(b) for b in bits})
+
+    assert groups(found) == groups(wanted)
+
+
+def test_copies_of_a_fingerprint_do_not_grow(spark):
+    """Fingerprints without large blocks go to one tile for each part, however many there are."""
+    r = random.Random(1)
+    for n in (2_000, 40_000):
+        bits = [(r.getrandbits(63),) for _ in range(n)]
+        prints = spark.createDataFrame(bits, "bits long")
+        assert simhash.tiles(prints, 2, simhash.large_blocks(prints, 2)).count() == 3 * n
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)]
     star = [(100, i) for i in range(101, 160)]
