@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from checks import rules
 from checks.frames import (
     CENTER_FEATURES,
     CENTERS,
@@ -603,22 +604,20 @@ def feature_importance(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def top_feature_importance(spark: SparkSession, folder: str) -> DataFrame:
-    """The ten in ascending order are the head of the whole list."""
+    """The ten, from the last to the first, are those of the fitted trees in order."""
     model = models_of(spark, folder).clv
     top = [tuple(row) for row in reports.top_importance(model.feature_importance(spark)).collect()]
-    head = model.importances()[:10]
-    rows = spark.createDataFrame([(i, *a, *b) for i, (a, b) in enumerate(zip(top, reversed(head)))], "place int, feature string, importance double, wanted string, value double")
-    same = (F.col("feature") == F.col("wanted")) & (F.col("importance") == F.col("value"))
-    return rows.select("place", same.alias("same"))
+    rows = spark.createDataFrame([(i, *x) for i, x in enumerate(reversed(top))], "place long, feature string, importance double")
+    found = rules.factor_facts(rows, rules.ranked_importances(spark, model.pipeline))
+    return found.select(F.col("place").cast("int").alias("place"), "same")
 
 
 def churn_factors(spark: SparkSession, folder: str) -> DataFrame:
-    """The factors are the head of the importances under other names."""
+    """The factors are the head of the importances of the fitted trees under other names."""
     model = models_of(spark, folder).churn
-    factors = model.churn_factors(spark).withColumn("place", F.monotonically_increasing_id())
-    ranked = spark.createDataFrame([(i, *x) for i, x in enumerate(model.importances())], "place long, feature string, importance double")
-    joined = factors.coalesce(1).join(ranked, factors.churn_factor == ranked.feature, "left")
-    return joined.select(ranked.place, (F.col("importance_score") == F.col("importance")).alias("same"))
+    listed = [(i, *row) for i, row in enumerate(model.churn_factors(spark).collect())]
+    rows = spark.createDataFrame(listed, "place long, feature string, importance double")
+    return rules.factor_facts(rows, rules.ranked_importances(spark, model.pipeline))
 
 
 def model_info(spark: SparkSession, folder: str) -> DataFrame:
@@ -711,40 +710,19 @@ def comprehensive_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Every customer's nested answer, with its labels held against the numbers in it."""
     models = models_of(spark, folder)
     records = profile(spark, folder).select(*schema.SCORING.names)
-    return answer_facts(score_records(records, models)).join(records.select("customer_id", "tenure_days"), "customer_id").select(
+    facts = rules.answer_facts(score_records(records, models)).join(records.select("customer_id", "tenure_days"), "customer_id")
+    return facts.select(
         "customer_id", "clv_fits", "churn_fits", "risk_fits", "segment_fits", "factors", "actions",
-        (F.col("confidence") == labels.confidence()).alias("confidence_fits"),
+        rules.follows("confidence", rules.CONFIDENCE, "tenure_days").alias("confidence_fits"),
     )
 
 
-def answer_facts(answers: DataFrame) -> DataFrame:
-    clv, churn, segment = F.col("clv"), F.col("churn"), F.col("segment")
-    probability = churn["churn_probability"]
-    near = F.abs(probability - 0.5) < 1e-4  # the answer is rounded, the class is not
-    names = F.array(*map(F.lit, schema.SEGMENT_NAMES))
-    return answers.select(
-        "customer_id",
-        ((clv["customer_lifetime_value"] >= 0) & (clv["clv_segment"] == labels.clv_fixed_segment(clv["customer_lifetime_value"]))).alias("clv_fits"),
-        (probability.between(0, 1) & (near | (churn["churn_prediction"] == labels.churn_prediction(probability)))).alias("churn_fits"),
-        (churn["risk_category"].isin(schema.RISK_LABELS) & risk_fits(probability, churn["risk_category"])).alias("risk_fits"),
-        ((segment["segment_name"] == F.get(names, segment["segment_id"])) & (segment["distance_to_center"] >= 0)).alias("segment_fits"),
-        F.size(churn["top_risk_factors"]).alias("factors"),
-        F.size(segment["recommended_actions"]).alias("actions"),
-        clv["confidence"].alias("confidence"),
-    )
-
-
-def risk_fits(probability: F.Column, category: F.Column) -> F.Column:
-    """The category of the number, or of one that is rounded to it."""
-    around = [labels.risk_category_request(probability + d) == category for d in (-5e-5, 0.0, 5e-5)]
-    return around[0] | around[1] | around[2]
-
-
 def top_risk_factors(spark: SparkSession, folder: str) -> DataFrame:
-    """All answers name the three most important features of the churn model."""
+    """All answers name the three most important features of the churn model's trees."""
     models = models_of(spark, folder)
     scores = score_records(profile(spark, folder).select(*schema.SCORING.names), models)
-    head = F.array(*[F.lit(name) for name, _ in models.churn.importances()[:3]])
+    ranked = rules.ranked_importances(spark, models.churn.pipeline).where("place < 3").orderBy("place")
+    head = F.array(*[F.lit(row["feature"]) for row in ranked.collect()])
     return scores.agg(F.count("*").alias("customers"), F.count_if(F.col("churn.top_risk_factors") == head).alias("same"))
 
 
@@ -764,7 +742,7 @@ def batch_scores(spark: SparkSession, folder: str) -> DataFrame:
     models = models_of(spark, folder)
     out = new_path(spark, "batch")
     summary = score_batch(scoring_input(spark, folder), models, out)
-    facts = answer_facts(answers(spark, out))
+    facts = rules.answer_facts(answers(spark, out))
     good = F.col("clv_fits") & F.col("churn_fits") & F.col("risk_fits") & F.col("segment_fits")
     put_aside = quarantine(spark, out)
     return summary.select(
@@ -856,16 +834,7 @@ def cluster_count(spark: SparkSession, folder: str) -> DataFrame:
 def dashboard_customers(spark: SparkSession, folder: str) -> DataFrame:
     """Every customer with the labels of the dashboard held against its numbers."""
     run = trained(spark, folder).run
-    scored = scored_customers(profile(spark, folder), run.data.stats, models_of(spark, folder))
-    names = F.array(*map(F.lit, schema.SEGMENT_NAMES))
-    return scored.select(
-        "customer_id",
-        "account_type",
-        (F.col("predicted_clv") >= 0).alias("not_negative"),
-        F.col("churn_probability").between(0, 1).alias("in_range"),
-        F.col("risk_category").eqNullSafe(labels.risk_category_batch()).alias("risk_fits"),
-        (F.col("segment_name") == F.get(names, F.col("segment_id"))).alias("named"),
-    )
+    return rules.dashboard_facts(scored_customers(profile(spark, folder), run.data.stats, models_of(spark, folder)))
 
 
 def dashboard_kpis(spark: SparkSession, folder: str) -> DataFrame:
@@ -947,7 +916,7 @@ def scored_stream(spark: SparkSession, folder: str, models: ModelSet, file_forma
 def stream_scores(spark: SparkSession, folder: str) -> DataFrame:
     """How often each customer is answered by the stream, and how many of these answers are as they should be."""
     _, out = scored_stream(spark, folder, models_of(spark, folder))
-    facts = answer_facts(answers(spark, out))
+    facts = rules.answer_facts(answers(spark, out))
     good = F.col("clv_fits") & F.col("churn_fits") & F.col("risk_fits") & F.col("segment_fits")
     return facts.groupBy("customer_id").agg(F.count("*").alias("answers"), F.count_if(good).alias("good_answers"))
 
