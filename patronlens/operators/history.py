@@ -109,16 +109,43 @@ def cumulated(active: DataFrame, periods: Periods) -> DataFrame:
     )
 
 
-def profile_history(customer: DataFrame, orders: DataFrame, events: DataFrame, periods: Periods) -> DataFrame:
-    """Every measure of :func:`profile.profile_measures` before rounding, per customer and period, with ``as_of``."""
+def _each_period(periods: Periods) -> Column:
+    """Every period of a state as a span of its own."""
+    place = F.sequence(F.coalesce("since", F.lit(0)), F.coalesce("until", F.lit(periods.count - 1)))
+    return F.transform(place, lambda at: F.struct(at.alias("at"), at.alias("upto")))
+
+
+def _spans(periods: Periods) -> Column:
+    """The periods of a state, those that cannot differ in any measure as one span.
+
+    These are the ones before a customer does anything, and those for which tenure and recency both stand at their bounds.
+    """
+    since, place, until = (F.col(c) for c in ("since", "place", "until"))
+
+    def span(at: Column, upto: Column) -> Column:
+        return F.struct(at.cast("int").alias("at"), upto.cast("int").alias("upto"))
+
+    none = F.array().cast("array<struct<at:int,upto:int>>")
+    full_tenure = periods.place(F.date_add("first_order", profile.MAX_TENURE))
+    settled = F.coalesce(F.greatest(full_tenure, periods.place(F.date_add("last_order", profile.MAX_RECENCY))), F.lit(0))
+    last_moving, first_settled = F.least(until, settled - 1), F.greatest(place, settled)
+    parts = F.concat(
+        F.when(since < place, F.array(span(since, place - 1))).otherwise(none),
+        F.when(place <= last_moving, F.transform(F.sequence(place, last_moving), lambda at: span(at, at))).otherwise(none),
+        F.when(first_settled <= until, F.array(span(first_settled, until))).otherwise(none),
+    )
+    return F.when(place.isNull(), F.array(span(F.lit(0), F.lit(periods.count - 1)))).otherwise(parts)
+
+
+def _measured(customer: DataFrame, orders: DataFrame, events: DataFrame, periods: Periods, spans: Column) -> DataFrame:
+    """Every measure of each span, with ``as_of`` and ``until`` of its first and last period."""
     states = cumulated(activity(orders, events, periods), periods)
     base = customer.select(
         F.col("c_custkey").alias("custkey"),
         (F.col("c_custkey") % 63 + 18).cast("int").alias("age"),
         profile.account_type().alias("account_type"),
     )
-    spans = F.sequence(F.coalesce("since", F.lit(0)), F.coalesce("until", F.lit(periods.count - 1)))
-    dense = base.join(states, "custkey", "left").withColumn("at", F.explode(spans))
+    dense = base.join(states, "custkey", "left").withColumn("span", F.explode(spans)).withColumns({"at": F.col("span.at"), "upto": F.col("span.upto")})
     known = F.col("at") >= F.col("place")
     values = {c: F.when(known, F.col(c)) for c in [*SUMS, "first_order", "last_order"]}
     values["total_purchases"] = values["total_purchases"].cast("int")
@@ -126,7 +153,8 @@ def profile_history(customer: DataFrame, orders: DataFrame, events: DataFrame, p
         dense.withColumns(values)
         .transform(profile.add_purchases)
         .transform(profile.add_dates, periods.end(F.col("at")))
-        .withColumn("as_of", F.col("today"))
+        .withColumns({"as_of": F.col("today"), "until": periods.end(F.col("upto"))})
+        .drop("span", "upto")
         .transform(profile.add_frequency)
         .transform(profile.add_engagement_counts)
         .transform(profile.add_lifetime_value)
@@ -134,55 +162,71 @@ def profile_history(customer: DataFrame, orders: DataFrame, events: DataFrame, p
     )
 
 
-def period_kpis(history: DataFrame, percent: int = 75) -> DataFrame:
+def profile_history(customer: DataFrame, orders: DataFrame, events: DataFrame, periods: Periods) -> DataFrame:
+    """Every measure of :func:`profile.profile_measures` before rounding, per customer and period, with ``as_of``."""
+    return _measured(customer, orders, events, periods, _each_period(periods)).drop("until")
+
+
+def profile_spans(customer: DataFrame, orders: DataFrame, events: DataFrame, periods: Periods) -> DataFrame:
+    """:func:`profile_history` with one row for successive periods without any change, from ``as_of`` to ``until``, except for tenure and
+    recency in days beyond their bounds.
+    """
+    return _measured(customer, orders, events, periods, _spans(periods))
+
+
+def period_kpis(history: DataFrame, percent: int = 75, months: int = 1) -> DataFrame:
     """Customers, mean lifetime value, churn rate and customers above the percentile of lifetime value, per ``as_of``.
 
-    The history is evaluated once, into counts of equal values in cents: at most five million a period, as values are
-    bounded, however many customers there are. The percentile is exact and interpolated; ranks are found in cells of
-    4096 cents and then inside at most two cells, so no task sees all values of a period.
+    The rows are those of :func:`profile_history` or, if they have ``until``, of :func:`profile_spans` over periods of ``months``.
+    They are evaluated once, into counts of equal values in cents over the same periods. The percentile is exact and interpolated;
+    what lies above it are the values above that of the lower of its two ranks. That one is found in cells of 4096 cents, of which there
+    are at most 1221 a period as values are bounded, and then inside one cell: no task sees all values of a period, and only the
+    values of these cells are repeated over the periods of a span.
     """
     cents = F.round(round_half_even(schema.CLV_TARGET, 2) * 100).cast("long")
+    until = F.col("until" if "until" in history.columns else "as_of")
     counted = stage(
-        history.groupBy("as_of", cents.alias("cents")).agg(F.count("*").alias("n"), F.sum("churned").alias("churned")),
+        history.groupBy("as_of", until.alias("until"), cents.alias("cents"))
+        .agg(F.count("*").alias("n"), F.sum("churned").alias("churned"))
+        .withColumn("cell", F.floor(F.col("cents") / CELL)),
         "value_counts",
     )
-    cell = F.floor(F.col("cents") / CELL)
-    valued = counted.filter(F.col("cents").isNotNull()).withColumn("cell", cell)
+    periods = F.explode(F.sequence("as_of", "until", F.make_interval(months=F.lit(months))))
+    sums = ["cell_rows", "churned", "cents"]
+    cells = stage(
+        counted.groupBy("as_of", "until", "cell")
+        .agg(F.sum("n").alias("cell_rows"), F.sum("churned").alias("churned"), F.sum(F.col("cents") * F.col("n")).alias("cents"))
+        .select(periods.alias("as_of"), "cell", *sums)
+        .groupBy("as_of", "cell")
+        .agg(*[F.sum(c).alias(c) for c in sums]),
+        "value_cells",
+    )
     period = Window.partitionBy("as_of")
-    cells = valued.groupBy("as_of", "cell").agg(F.sum("n").alias("cell_rows"))
-    ranked = cells.select(
+    valued = cells.filter(F.col("cell").isNotNull())
+    ranked = valued.select(
         "as_of",
         "cell",
         "cell_rows",
         (F.sum("cell_rows").over(period.orderBy("cell")) - F.col("cell_rows")).alias("below"),
         (F.sum("cell_rows").over(period) - 1).alias("last"),
-    ).withColumns(
-        {
-            "low": F.floor(F.col("last") * percent / 100),
-            "high": F.ceil(F.col("last") * percent / 100),
-            "rest": F.col("last") * percent % 100,
-        }
+    ).withColumn("low", F.floor(F.col("last") * percent / 100))
+    holding = ranked.filter((F.col("below") <= F.col("low")) & (F.col("below") + F.col("cell_rows") > F.col("low")))
+    # One row per period.
+    wanted = F.broadcast(holding.withColumnRenamed("as_of", "date"))
+    inside = counted.join(wanted, "cell").filter(F.col("date").between(F.col("as_of"), F.col("until")))
+    values = inside.groupBy("date", "cell", "below", "low", "last", "cents").agg(F.sum("n").alias("n"))
+    up_to = F.col("below") + F.sum("n").over(Window.partitionBy("date", "cell").orderBy("cents"))
+    placed = values.withColumn("up_to", up_to)
+    # The limit lies at or above the value of the lower rank and, unless they are equal, below that of the next one.
+    here = (F.col("low") < F.col("up_to")) & (F.col("low") >= F.col("up_to") - F.col("n"))
+    limits = placed.groupBy("date").agg(F.max(F.when(here, F.col("last") + 1 - F.col("up_to"))).alias("above"))
+    totals = cells.groupBy("as_of").agg(
+        F.sum("cell_rows").alias("total_customers"),
+        (F.sum("cents") / F.sum(F.when(F.col("cell").isNotNull(), F.col("cell_rows"))) / 100).alias("avg_clv"),
+        (F.sum("churned") / F.sum("cell_rows")).alias("churn_rate"),
     )
-    holding = ranked.filter((F.col("below") <= F.col("high")) & (F.col("below") + F.col("cell_rows") > F.col("low")))
-    up_to = F.col("below") + F.sum("n").over(Window.partitionBy("as_of", "cell").orderBy("cents"))
-    placed = valued.join(holding, ["as_of", "cell"]).withColumn("up_to", up_to)
-
-    def at(rank: str) -> Column:
-        here = (F.col(rank) < F.col("up_to")) & (F.col(rank) >= F.col("up_to") - F.col("n"))
-        return F.max(F.when(here, F.col("cents")))
-
-    limit = at("low") * 100 + (at("high") - at("low")) * F.max("rest")
-    limits = placed.groupBy("as_of").agg(limit.alias("limit"))
-    above = F.col("cents") * 100 > F.col("limit")
-    return (
-        counted.join(limits, "as_of", "left")
-        .groupBy("as_of")
-        .agg(
-            F.sum("n").alias("total_customers"),
-            (F.sum(F.col("cents") * F.col("n")) / F.sum(F.when(F.col("cents").isNotNull(), F.col("n"))) / 100).alias("avg_clv"),
-            (F.sum("churned") / F.sum("n")).alias("churn_rate"),
-            F.coalesce(F.sum(F.when(above, F.col("n"))), F.lit(0)).alias("high_value_customers"),
-        )
+    return totals.join(limits, F.col("as_of") == F.col("date"), "left").select(
+        "as_of", "total_customers", "avg_clv", "churn_rate", F.coalesce("above", F.lit(0)).alias("high_value_customers")
     )
 
 

@@ -81,3 +81,19 @@ def test_tables_are_scanned_once(raw):
     past = history.profile_history(*raw, history.Periods(dt.date(2000, 1, 1), 24))
     plan = past._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LogicalRDD") == 3
+
+
+@pytest.mark.parametrize("months", [1, 5])
+def test_spans_hold_what_every_period_holds(spark, raw, months):
+    """Rows stand for all periods without a change; KPIs over them are those over all periods, on years after the last event too."""
+    periods = history.Periods(dt.date(2000, 1, 1), 96 // months, months)
+    customer, orders, events = raw
+    orders = orders.unionAll(spark.createDataFrame([(4, 30.0, dt.datetime(2004, 7, 1)), (3, 90.0, dt.datetime(2001, 1, 1))], ORDERS))
+    past, spans = history.profile_history(customer, orders, events, periods), history.profile_spans(customer, orders, events, periods)
+    measures = ["custkey", "customer_lifetime_value", "churned", "tenure_days", "recency", "frequency", "monetary", "email_open_rate"]
+    again = spans.withColumn("as_of", F.explode(F.sequence("as_of", "until", F.make_interval(months=F.lit(months)))))
+    every = sorted(map(tuple, past.select("as_of", *measures).collect()))
+    assert sorted(map(tuple, again.select("as_of", *measures).collect())) == every
+    assert len(every) == 4 * periods.count and spans.count() < len(every) * 0.9
+    kpis = [sorted(map(tuple, history.period_kpis(t, months=months).collect())) for t in (past, spans)]
+    assert kpis[0] == kpis[1] and len(kpis[0]) == periods.count
