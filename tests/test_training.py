@@ -214,3 +214,23 @@ def test_staged_tables_go_when_they_are_read(spark, customers, tmp_path):
     run.data.drop()
     score_batch(customers.select(*schema.SCORING.names), run.models, str(tmp_path / "out"))
     assert staged_now() == before
+
+
+def test_rows_are_dealt_over_the_cores(spark, customers, monkeypatch):
+    """What models pass over many times is dealt over all cores, however few parts the last shuffle left."""
+    from patronlens import staging
+    from patronlens.plans.training import prepare
+
+    monkeypatch.setattr(staging, "ROWS_OF_TASK", 10)
+    cores = spark.sparkContext.defaultParallelism
+    data = prepare(customers)
+    assert len(data.features.inputFiles()) == len(data.split.inputFiles()) == cores
+    seen = []
+
+    class Watched(ClvModel):
+        def _fit_last_stage(self, ready):
+            seen.extend(ready.rdd.glom().map(len).collect())
+            return super()._fit_last_stage(ready)
+
+    Watched(maxIter=1, maxDepth=1).fit(stage(data.split.coalesce(1), "one-part"), data.names)
+    assert len(seen) == cores and sum(seen) == data.split.count() and max(seen) - min(seen) <= 1
