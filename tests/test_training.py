@@ -234,3 +234,27 @@ def test_rows_are_dealt_over_the_cores(spark, customers, monkeypatch):
 
     Watched(maxIter=1, maxDepth=1).fit(stage(data.split.coalesce(1), "one-part"), data.names)
     assert len(seen) == cores and sum(seen) == data.split.count() and max(seen) - min(seen) <= 1
+
+
+def test_forest_keeps_nodes_where_there_is_room(training, monkeypatch):
+    """With and without the node of every row in memory: the same trees."""
+    from patronlens.operators import models
+
+    fitted = []
+    for room in (10**12, 0):
+        monkeypatch.setattr(models, "storage_bytes", lambda spark, room=room: room)
+        model = ChurnModel(numTrees=5, maxDepth=4).fit(training.data.split, training.data.names)
+        fitted.append(model.pipeline.stages[-1])
+    assert [f.getCacheNodeIds() for f in fitted] == [True, False]
+    assert fitted[0].toDebugString.partition("\n")[2] == fitted[1].toDebugString.partition("\n")[2]
+
+
+def test_storage_of_the_executors(spark):
+    from patronlens.staging import storage_bytes
+
+    assert 0 < storage_bytes(spark) < 12 * 2**30
+
+
+def test_segments_are_fitted_by_blocks(training):
+    assert SegmentModel().build().getSolver() == "block"
+    assert training.models.segments.pipeline.stages[-1].getSolver() == "block"
