@@ -27,7 +27,8 @@ from pyspark.sql import types as T
 
 LONG = 512
 CACHED_PIECES = 200_000
-CHUNK = 1_000_000
+# Characters or ids that a worker takes at a time: their pieces, and the matrices they are merged in, are all held at once.
+CHUNK = 250_000
 NONE = np.int32(2**31 - 1)
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -83,3 +84,11 @@ def test_cache_may_be_cleared(monkeypatch, ranks, library):
 def test_ids_that_repeat(spark, library):
     docs = docs_of(spark, [(1, "same"), (1, "same"), (1, "other")])
     assert sorted(r["ids"] for r in encoded(docs).collect()) == sorted(map(library.encode_ordinary, ["same", "same", "other"]))
+
+
+def test_a_worker_holds_the_pieces_of_little_text_at_once():
+    texts = ["a b" * 30_000, None, "", *["c d" * 30_000] * 9, "e" * 2_000_000, "f"]
+    parts = [p.column(0).to_pylist() for p in bpe._parts(pa.RecordBatch.from_arrays([pa.array(texts)], names=["t"]))]
+    assert [t for p in parts for t in p] == texts
+    # One text may go over, whatever its length.
+    assert all(sum(len(t or "") for t in p[:-1]) < 250_000 for p in parts)
