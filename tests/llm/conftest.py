@@ -3,7 +3,8 @@ from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parent))
+# Behind the folder of all tests, whose conftest is the one that tests import from.
+sys.path.append(str(Path(__file__).resolve().parent))
 
 from helpers import docs_of, prose, with_clashes  # noqa: E402
 
